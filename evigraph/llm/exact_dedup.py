@@ -49,7 +49,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         open_id = F.monotonically_increasing_id().alias("next_cls")
         classes = space.put(counted.select("k_cls", "k_digit", "k_ended", "n", F.col("best.id").alias("keep_id"), F.col("best.fewer").alias("fewer"), open_id), f"classes{number}")
         rest = F.when(F.col("n").isNotNull() & ~F.col("k_ended"), F.expr(f"substring(rest, {width + 1})"))
-        split = keyed.join(classes, ["k_cls", "k_digit", "k_ended"], "left").select(
+        # Always the same join: one that turned from broadcast to shuffle at some size would hide its growth.
+        split = keyed.join(classes.hint("merge"), ["k_cls", "k_digit", "k_ended"], "left").select(
             "doc_id", "n_cp", "text_sha256", "n", F.col("next_cls").alias("cls"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
             F.col("fewer"), (F.col("n").isNull() | F.col("k_ended")).alias("over"), rest.alias("rest"))
         stored = space.put(split, f"round{number}")
