@@ -2,23 +2,31 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm.exact_dedup import exact_dedup
+from evigraph.llm.sentencepiece_codec import sentencepiece_tokens
 from evigraph.llm.sharding import kd_shards
 from evigraph.llm.url_filter import judge_urls
 
 #: Rules of op5: host and path prefix, and whether the rule blocks.
 URL_RULES = [("com/en/", True), ("example.com/en/7", False), ("net/de/", False), ("example.net/de/8", True), ("org/es/", True)]
 SHARDS = 40
+#: The SentencePiece model; the driver reads it, executors get it broadcast.
+PIECES = os.environ.get("EVIGRAPH_PIECES", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentencepiece_tokens(table(spark, sf_dir, "documents"), PIECES)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -32,6 +40,7 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
