@@ -7,6 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from evigraph.llm import quality
 from evigraph.llm.exact_dedup import exact_dedup
 from evigraph.llm.sentencepiece_codec import sentencepiece_tokens
 from evigraph.llm.sharding import kd_shards
@@ -39,11 +40,17 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
     "op5_url_filter": op5_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
+    "op9_quality": op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
