@@ -35,6 +35,9 @@ SAMPLE, STEPS, PENALTY = 20_000, 400, 0.1
 TOKEN = re.compile(r"(?=[A-Za-z+/_=-]*[0-9])[A-Za-z0-9+/_=-]{8,}|[A-Za-z0-9+/_=-]{24,}")
 GAP = re.compile(r"""[ \t"'.,;:|]{0,3}\Z""")
 NEAR = 40
+#: Bits of features of the token itself.  Learning from each run once with all features and once with these
+#: alone keeps the field from leaning on what surrounds the patterns' secrets.
+SHAPE = (1 << 28) - 1
 OUT, BEGIN, INSIDE = 0, 1, 2
 FEATURES = 40
 _HEX_ONLY = bytes(120 if c in b"0123456789abcdef" else 32 for c in range(256))
@@ -187,7 +190,7 @@ def train(runs: list[tuple[list[int], list[int]]]) -> Field:
     field = Field()
     longest = 8
     # Longer runs are learned in parts; each begins anew, as the hard constraint lets any do.
-    parts = Counter((tuple(m[i : i + longest]), tuple([BEGIN if t[i] == INSIDE else t[i], *t[i + 1 : i + longest]])) for m, t in runs for i in range(0, len(m), longest))
+    parts = Counter((tuple(x & kept for x in m[i : i + longest]), tuple([BEGIN if t[i] == INSIDE else t[i], *t[i + 1 : i + longest]])) for m, t in runs for i in range(0, len(m), longest) for kept in (-1, SHAPE))
     if not parts:
         field.emission[0, OUT] = 1.0
         return field
