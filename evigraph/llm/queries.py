@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from evigraph.llm import decontaminate, quality, secrets
 from evigraph.llm.exact_dedup import exact_dedup
+from evigraph.llm.hmm import lm_scores
 from evigraph.llm.sentencepiece_codec import sentencepiece_tokens
 from evigraph.llm.sharding import kd_shards
 from evigraph.llm.url_filter import judge_urls
@@ -32,6 +33,10 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_scores(table(spark, sf_dir, "documents"))
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("n_near_items")
 
@@ -57,6 +62,7 @@ def op10_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_hidden_markov": op3_hidden_markov,
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
