@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evigraph.llm import decontaminate, quality, secrets
 from evigraph.llm.exact_dedup import exact_dedup
 from evigraph.llm.hmm import lm_scores
+from evigraph.llm.near_dedup import near_duplicates
 from evigraph.llm.sentencepiece_codec import sentencepiece_tokens
 from evigraph.llm.sharding import kd_shards
 from evigraph.llm.url_filter import judge_urls
@@ -49,6 +50,10 @@ def op6_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kd_shards(table(spark, sf_dir, "documents"), SHARDS)
 
 
+def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_decontamination": op4_decontamination,
     "op5_url_filter": op5_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
+    "op7_hyperminhash": op7_hyperminhash,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
@@ -96,4 +102,14 @@ ORACLE_SQL: dict[str, str] = {
         m AS (SELECT page_id, host, path, h || q AS rule, verdict, row_number() OVER (PARTITION BY page_id ORDER BY length(h || q) DESC NULLS LAST) AS k
               FROM p LEFT JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, q))
         SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM m WHERE k = 1""",
+    "op7_hyperminhash": r"""
+        WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS (SELECT DISTINCT doc_id, list_aggregate(w[i:i + 2], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 1, 2))) AS i FROM d WHERE len(w) > 0)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+        i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (SELECT i.a, i.b FROM i JOIN n na ON na.doc_id = i.a JOIN n nb ON nb.doc_id = i.b WHERE 100 * k >= 85 * (na.n + nb.n - k)),
+        r(id, upto) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.upto),
+        c AS (SELECT id, min(upto) AS component_id FROM r GROUP BY id)
+        SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id""",
 }
