@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from evigraph.llm import decontaminate, quality, secrets
 from evigraph.llm.exact_dedup import exact_dedup
 from evigraph.llm.hmm import lm_scores
+from evigraph.llm.line_dedup import line_marks
 from evigraph.llm.near_dedup import near_duplicates
 from evigraph.llm.sentencepiece_codec import sentencepiece_tokens
 from evigraph.llm.sharding import kd_shards
@@ -54,6 +55,10 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_marks(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score_quality(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +77,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_url_filter": op5_url_filter,
     "op6_kd_sharding": op6_kd_sharding,
     "op7_hyperminhash": op7_hyperminhash,
+    "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
     "op10_secrets": op10_secrets,
 }
