@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.workspace import Workspace
+from evigraph.llm.workspace import ROW_KEY, Workspace, kept_rows, keyed
 
 #: Bytes of the first digit, and the factor by which each round's digit is wider than the last.
 FIRST_DIGIT, GROWTH = 64, 16
@@ -27,8 +27,14 @@ def without_whitespace(text: Column) -> Column:
     return text
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
+def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns and no others."""
+    rows = keyed(docs, Workspace(docs.sparkSession, "copies"))
+    return kept_rows(rows, exact_dedup(rows, id_col, text_col, ROW_KEY).where("kept"))
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, and the columns in ``carry``.
 
     Of equal texts the row with the most code points stays, then the smallest id (a null id comes last).
     Null and empty texts, and texts of white space alone, are all equal to each other.  Of fully repeated
@@ -36,8 +42,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     space = Workspace(docs.sparkSession, "radix")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_cp"), without_whitespace(text).cast("binary").alias("rest"))
-    rows = rows.select("doc_id", "n_cp", F.lit(None).cast("bigint").alias("cls"), F.sha2("rest", 256).alias("text_sha256"), "rest")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.length(text).alias("n_cp"), without_whitespace(text).cast("binary").alias("rest"), *carry)
+    rows = rows.select("doc_id", "n_cp", F.lit(None).cast("bigint").alias("cls"), F.sha2("rest", 256).alias("text_sha256"), "rest", *carry)
     width, done, number = FIRST_DIGIT, [], 0
     best = F.struct((-F.col("n_cp")).alias("fewer"), F.col("doc_id").isNull().alias("unknown"), F.col("doc_id").alias("id"))
     while True:
@@ -52,10 +58,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # Always the same join: one that turned from broadcast to shuffle at some size would hide its growth.
         split = keyed.join(classes.hint("merge"), ["k_cls", "k_digit", "k_ended"], "left").select(
             "doc_id", "n_cp", "text_sha256", "n", F.col("next_cls").alias("cls"), F.when(F.col("n").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
-            F.col("fewer"), (F.col("n").isNull() | F.col("k_ended")).alias("over"), rest.alias("rest"))
+            F.col("fewer"), (F.col("n").isNull() | F.col("k_ended")).alias("over"), rest.alias("rest"), *carry)
         stored = space.put(split, f"round{number}")
-        done.append(stored.where("over").select("doc_id", "n_cp", "text_sha256", F.coalesce("n", F.lit(1)).alias("group_size"), "keep_id", "fewer"))
-        rows = stored.where("not over").select("doc_id", "n_cp", "cls", "text_sha256", "rest")
+        done.append(stored.where("over").select("doc_id", "n_cp", "text_sha256", F.coalesce("n", F.lit(1)).alias("group_size"), "keep_id", "fewer", *carry))
+        rows = stored.where("not over").select("doc_id", "n_cp", "cls", "text_sha256", "rest", *carry)
         if rows.isEmpty():
             break
         width, number = width * GROWTH, number + 1
@@ -65,7 +71,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     # Rows that equal the survivor in id and length are repeats of one row; the first of them stays.
     rival = (F.col("group_size") > 1) & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_cp") == -F.col("fewer"))
     first = F.row_number().over(Window.partitionBy("keep_id", "text_sha256").orderBy("n_cp")) == 1
-    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
+    columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256", *carry]
     rivals = result.where(rival).withColumn("kept", first).select(columns)
     others = result.where(~rival).withColumn("kept", F.col("group_size") == 1).select(columns)
     return rivals.unionByName(others)

@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.workspace import Workspace
+from evigraph.llm.workspace import ROW_KEY, Workspace, kept_rows, keyed
 
 BUCKETS, MIXES, MANTISSA = 64, 5, 4
 REGISTERS = BUCKETS * MIXES
@@ -122,7 +122,7 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
-def _sketches(rows: DataFrame, width: int) -> DataFrame:
+def _sketches(rows: DataFrame, width: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
@@ -132,9 +132,9 @@ def _sketches(rows: DataFrame, width: int) -> DataFrame:
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 registers.append(sketch(own).tobytes() if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary())], names=["doc_id", "print", "n_shingles", "digest", "registers"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), *(batch[c] for c in carry)], names=["doc_id", "print", "n_shingles", "digest", "registers", *carry])
 
-    return rows.mapInArrow(run, "doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary").withColumn("key", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary", *(f"{c} bigint" for c in carry)])).withColumn("key", F.monotonically_increasing_id())
 
 
 def _banded(nodes: DataFrame, rows: int) -> DataFrame:
@@ -263,8 +263,14 @@ def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, perc
         number += 1
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
+def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of ``docs`` for each component, with all its columns and no others."""
+    rows = keyed(docs, Workspace(docs.sparkSession, "similar"))
+    return kept_rows(rows, near_duplicates(rows, words, percent, id_col, text_col, ROW_KEY).where("kept"))
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs``: doc_id, n_shingles, component_id, kept, and the bigint columns in ``carry``.
 
     Documents are linked when 100 * intersection >= percent * union of their sets of distinct shingles of
     ``words`` words (with fewer words, the whole sequence).  ``component_id`` is the smallest id in reach.  A text
@@ -273,8 +279,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     empty result; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "near")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"))
-    found = space.put(_sketches(rows, words), "sketches")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"), *carry)
+    found = space.put(_sketches(rows, words, carry), "sketches")
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "print", "n_shingles", "registers")
     nodes = found.where("digest is not null").groupBy("digest").agg(F.min(first).alias("f")).select("digest", "f.*")
     nodes = space.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
@@ -287,8 +293,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
         least = space.put(in_comp.groupBy("comp").agg(F.min("first").alias("first")), "least")
         heads = in_comp.drop("first").join(least.hint("merge"), "comp").select("digest", "first")
     heads = space.put(heads, "heads")
-    filled = found.where("digest is not null").select("doc_id", "n_shingles", "key", "digest").join(heads.hint("merge"), "digest")
-    columns = ["doc_id", "n_shingles", "component_id", "kept"]
-    linked = filled.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"))
-    empty = found.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"))
+    filled = found.where("digest is not null").select("doc_id", "n_shingles", "key", "digest", *carry).join(heads.hint("merge"), "digest")
+    columns = ["doc_id", "n_shingles", "component_id", "kept", *carry]
+    linked = filled.select("doc_id", "n_shingles", F.col("first.doc_id").alias("component_id"), (F.col("key") == F.col("first.key")).alias("kept"), *carry)
+    empty = found.where("digest is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"), F.lit(True).alias("kept"), *carry)
     return linked.select(columns).union(empty.select(columns))

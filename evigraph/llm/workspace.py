@@ -12,7 +12,9 @@ import shutil
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,3 +52,24 @@ class Workspace:
     def drop(self, name: str) -> None:
         """Delete a table that nothing reads any more."""
         self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
+
+
+#: The columns that ``keyed`` adds.
+ROW_KEY = ("__file", "__row")
+
+
+def keyed(docs: DataFrame, space: Workspace) -> DataFrame:
+    """``docs`` with columns that tell its rows apart and are the same each time it is read: file and place in it.
+
+    Rows that don't come straight from Parquet files are written first.
+    """
+    where = F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1])
+    try:
+        return docs.select("*", *where)
+    except AnalysisException:
+        return space.put(docs, "keyed").select("*", *where)
+
+
+def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of keyed ``docs`` whose keys are in ``kept``, without the keys."""
+    return docs.join(kept.select(*ROW_KEY).hint("merge"), list(ROW_KEY), "left_semi").drop(*ROW_KEY)
