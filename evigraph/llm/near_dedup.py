@@ -20,7 +20,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.llm.workspace import ROW_KEY, Workspace, kept_rows, keyed
@@ -31,8 +31,10 @@ REGISTERS = BUCKETS * MIXES
 MISSED = 1e-5
 #: Standard deviations that an estimate may lie below the threshold; sets below this size aren't judged by estimate.
 MARGIN, SMALL = 6, 200
+#: Bits of a sketch that go along with its bands.
+TRAITS = 128
 #: Groups of at most so many make all their pairs; larger ones begin with so many pivots, and a round has so many times the last one's.
-ALL_PAIRS, PIVOTS, MORE = 8, 4, 4
+ALL_PAIRS, PIVOTS, MORE = 8, 8, 8
 REMEMBERED = 400_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -137,6 +139,26 @@ def _sketches(rows: DataFrame, width: int, carry: tuple[str, ...]) -> DataFrame:
     return rows.mapInArrow(run, ", ".join(["doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary", *(f"{c} bigint" for c in carry)])).withColumn("key", F.monotonically_increasing_id())
 
 
+def traits(registers: np.ndarray) -> np.ndarray:
+    """TRAITS bits of each sketch, the lowest mantissa bits of as many registers, as two 64-bit numbers."""
+    bits = (registers[:, :: REGISTERS // TRAITS][:, :TRAITS] & 1).astype(np.uint64)
+    place = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return np.stack([(bits[:, :64] * place).sum(axis=1), (bits[:, 64:] * place).sum(axis=1)], axis=1).view(np.int64)
+
+
+def _plausible(a: Column, b: Column, percent: int) -> Column:
+    """Whether sizes and traits (structs n, t0, t1) leave it possible that a pair reaches the threshold.
+
+    Bits of a pair at the threshold agree with a chance of (1 + threshold) / 2; a pair may fall MARGIN standard
+    deviations short of that.  Registers of small sets aren't independent, so the deviation counts more for them.
+    """
+    p = (1 + percent / 100) / 2
+    limit = lambda factor: int(TRAITS * (1 - p) + factor * MARGIN * math.sqrt(TRAITS * p * (1 - p))) + 1
+    differ = F.bit_count(a["t0"].bitwiseXOR(b["t0"])) + F.bit_count(a["t1"].bitwiseXOR(b["t1"]))
+    least, most = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
+    return (least * 100 >= most * percent) & (differ <= F.when(least >= SMALL, limit(1)).when(least >= SMALL // 4, limit(2)).otherwise(TRAITS))
+
+
 def _banded(nodes: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -144,9 +166,11 @@ def _banded(nodes: DataFrame, rows: int) -> DataFrame:
                 continue
             matrix = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
             keys = bands(matrix, rows)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch["nid"].to_numpy(), keys.shape[1])), pa.array(keys.ravel())], names=["nid", "band"])
+            own = traits(matrix)
+            columns = [batch["nid"].to_numpy(), batch["n_shingles"].to_numpy(), own[:, 0], own[:, 1]]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, keys.shape[1])) for c in columns), pa.array(keys.ravel())], names=["nid", "n", "t0", "t1", "band"])
 
-    return nodes.select("nid", "registers").mapInArrow(run, "nid bigint, band bigint")
+    return nodes.select("nid", "n_shingles", "registers").mapInArrow(run, "nid bigint, n bigint, t0 bigint, t1 bigint, band bigint")
 
 
 def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -202,6 +226,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     return found.select("nid", "digest", "text").mapInArrow(run, "nid bigint, shingles binary").dropDuplicates(["nid"])
 
 
+def _label_sum(labels: DataFrame) -> object:
+    return labels.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("n")).first()["n"]
+
+
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(nid, comp) for all ends of ``links`` (a, b), comp being the least nid connected.
 
@@ -210,46 +238,50 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """
     both = space.put(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both")
     labels = space.put(both.groupBy(F.col("a").alias("nid")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), f"{name}-0")
-    number = 0
+    number, before = 0, _label_sum(labels)
     while True:
         number += 1
         seen = both.join(labels.withColumnRenamed("nid", "b").hint("merge"), "b").select(F.col("a").alias("nid"), "comp")
         least = space.put(seen.union(labels).groupBy("nid").agg(F.min("comp").alias("comp")), f"{name}-{number}-least")
         jump = least.select(F.col("nid").alias("comp"), F.col("comp").alias("next"))
         moved = space.put(least.join(jump.hint("merge"), "comp").select("nid", F.least("comp", "next").alias("comp")), f"{name}-{number}")
-        changed = not moved.join(labels.withColumnRenamed("comp", "old"), "nid").where("comp <> old").isEmpty()
-        labels = moved
-        if not changed:
+        labels, total = moved, _label_sum(moved)
+        if total == before:  # labels only ever fall
             return labels
+        before = total
 
 
-def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, percent: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame | None]:
-    """Confirmed links that connect all that is connected, and the components they make (None without links)."""
-    threshold = percent / 100
+def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
+    """(nid, comp) of the nodes that have links, by components; None if there are no links."""
+    threshold, member = percent / 100, ("band", "nid", "n", "t0", "t1")
     banded = space.put(_banded(nodes, band_rows(threshold)), "bands")
     groups = space.put(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "groups")
     active = space.put(banded.join(groups.hint("merge"), "band"), "active")
     small = active.where(F.col("members") <= ALL_PAIRS)
-    pairs = small.select("band", F.col("nid").alias("a")).join(small.select("band", F.col("nid").alias("b")).hint("merge"), "band").where("a < b").select("a", "b")
+    a, b = small.alias("x"), small.alias("y").hint("merge")
+    fits = _plausible(F.struct("x.n", "x.t0", "x.t1"), F.struct("y.n", "y.t0", "y.t1"), percent)
+    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.nid") < F.col("y.nid")) & fits).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
     wanted = active.select("nid").distinct().join(nodes.select("nid", "doc_id", "print", "digest"), "nid")
     sets = space.put(_sets(docs, wanted, width, id_col, text_col), "sets")
-    large = space.put(active.where(F.col("members") > ALL_PAIRS).select("band", "nid"), "large0")
-    links, comps, number, pivots = None, None, 0, PIVOTS
+    large = space.put(active.where(F.col("members") > ALL_PAIRS).select(*member), "large0")
+    comps, number, pivots = None, 0, PIVOTS
     while True:
         if number:
             if large.isEmpty():
-                return links, comps
+                return comps
             labelled = large if comps is None else large.join(comps.hint("merge"), "nid", "left")
-            labelled = space.put(labelled.select("band", "nid", (F.col("nid") if comps is None else F.coalesce("comp", "nid")).alias("comp")), f"labelled{number}")
+            labelled = space.put(labelled.select(*member, (F.col("nid") if comps is None else F.coalesce("comp", "nid")).alias("comp")), f"labelled{number}")
             open_bands = space.put(labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), f"open{number}")
             labelled = space.put(labelled.join(open_bands.hint("merge"), "band"), f"members{number}")
             # In each group one pivot of each of so many parts, by the hash of the node.
             part = F.pmod(F.xxhash64("nid"), F.lit(pivots))
-            chosen = space.put(labelled.groupBy("band", part.alias("part")).agg(F.min(F.struct("nid", "comp")).alias("p")).select("band", "p.*"), f"pivots{number}")
-            met = labelled.join(chosen.select("band", F.col("nid").alias("p"), F.col("comp").alias("p_comp")).hint("merge"), "band").where("comp <> p_comp")
-            pairs = met.select(F.least("nid", "p").alias("a"), F.greatest("nid", "p").alias("b"))
+            chosen = space.put(labelled.groupBy("band", part.alias("part")).agg(F.min(F.struct("nid", "comp", "n", "t0", "t1")).alias("p")).select("band", "p.*"), f"pivots{number}")
+            a, b = labelled.alias("x"), chosen.alias("y").hint("merge")
+            fits = _plausible(F.struct("x.n", "x.t0", "x.t1"), F.struct("y.n", "y.t0", "y.t1"), percent)
+            met = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & fits)
+            pairs = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
             used = chosen.select("band", "nid", F.lit(True).alias("used"))
-            large = space.put(labelled.select("band", "nid").join(used.hint("merge"), ["band", "nid"], "left").where("used is null").select("band", "nid"), f"large{number}")
+            large = space.put(labelled.select(*member).join(used.hint("merge"), ["band", "nid"], "left").where("used is null").select(*member), f"large{number}")
             pivots *= MORE
         pairs = space.put(pairs.distinct(), f"pairs{number}")
         narrow = nodes.select("nid", "registers", F.col("n_shingles").alias("n"))
@@ -258,8 +290,8 @@ def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, perc
         with_sets = about.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
         fresh = space.put(_confirmed(with_sets, percent), f"links{number}")
         if not fresh.isEmpty():
-            links = fresh if links is None else links.union(fresh)
-            comps = components(links, space, f"comps{number}")
+            known = fresh if comps is None else fresh.union(comps.select(F.col("nid").alias("a"), F.col("comp").alias("b")))
+            comps = components(known, space, f"comps{number}")
         number += 1
 
 
@@ -284,7 +316,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "print", "n_shingles", "registers")
     nodes = found.where("digest is not null").groupBy("digest").agg(F.min(first).alias("f")).select("digest", "f.*")
     nodes = space.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
-    _, comps = _links(docs, nodes, space, words, percent, id_col, text_col)
+    comps = _links(docs, nodes, space, words, percent, id_col, text_col)
     own = nodes.select("nid", "digest", F.struct("unknown", "doc_id", "key").alias("first"))
     if comps is None:
         heads = own.select("digest", "first")
