@@ -5,10 +5,10 @@ of leading zeros and a few mantissa bits, one byte in all.  Bands of registers g
 may be similar; a Jaccard estimate, corrected for registers that agree by chance, drops pairs far below the
 threshold; the rest are confirmed on the full sets of 64-bit shingle hashes.
 
-Documents with equal sets are one node from the start, so copies never meet each other.  In a large group
-not all pairs are made: a few pivots of each group are compared with the members that aren't yet in their
-component, and rounds with ever more pivots go on until every group is one component or every member
-has been a pivot.  A pair that is left out therefore joins two nodes that are connected anyway.
+Documents with equal sets are one node from the start, so copies never meet each other.  In a large band not
+all pairs are made: a few pivots are compared with all members.  What these leave outside the main component of
+a group of overlapping bands is then compared with the whole group in blocks, of which only links are
+returned.  A pair that is left out therefore joins two nodes that are connected anyway.
 """
 
 from __future__ import annotations
@@ -31,10 +31,13 @@ REGISTERS = BUCKETS * MIXES
 MISSED = 1e-5
 #: Standard deviations that an estimate may lie below the threshold; sets below this size aren't judged by estimate.
 MARGIN, SMALL = 6, 200
-#: Bits of a sketch that go along with its bands.
-TRAITS = 128
-#: Groups of at most so many make all their pairs; larger ones begin with so many pivots, and a round has so many times the last one's.
-ALL_PAIRS, PIVOTS, MORE = 8, 8, 8
+#: Bits of a sketch that go along with its bands, and the columns that hold them.
+TRAITS = 256
+_TRAITS = [f"t{i}" for i in range(TRAITS // 64)]
+#: Bands of at most so many members make all their pairs; in larger ones so many pivots meet all members.
+ALL_PAIRS, PIVOTS = 8, 2
+#: Rows of a block that is compared with another one at once, and shingles that are counted at a time.
+BLOCK, COLUMNS = 1536, 4096
 REMEMBERED = 400_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -124,6 +127,12 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
     return ((a == b).mean(axis=1) - chance) / (1 - chance)
 
 
+def signature(shingles: np.ndarray) -> bytes:
+    """The registers of a set that isn't empty, and its traits."""
+    registers = sketch(shingles)
+    return registers.tobytes() + traits(shingles, registers).tobytes()
+
+
 def _sketches(rows: DataFrame, width: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
@@ -133,30 +142,34 @@ def _sketches(rows: DataFrame, width: int, carry: tuple[str, ...]) -> DataFrame:
                 own = shingles(text or b"")
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
-                registers.append(sketch(own).tobytes() if len(own) else None)
+                registers.append(signature(own) if len(own) else None)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), *(batch[c] for c in carry)], names=["doc_id", "print", "n_shingles", "digest", "registers", *carry])
 
     return rows.mapInArrow(run, ", ".join(["doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary", *(f"{c} bigint" for c in carry)])).withColumn("key", F.monotonically_increasing_id())
 
 
-def traits(registers: np.ndarray) -> np.ndarray:
-    """TRAITS bits of each sketch, the lowest mantissa bits of as many registers, as two 64-bit numbers."""
-    bits = (registers[:, :: REGISTERS // TRAITS][:, :TRAITS] & 1).astype(np.uint64)
-    place = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return np.stack([(bits[:, :64] * place).sum(axis=1), (bits[:, 64:] * place).sum(axis=1)], axis=1).view(np.int64)
+def traits(shingles: np.ndarray, registers: np.ndarray) -> np.ndarray:
+    """TRAITS bits of a set: of a small one a bitmap of its hashes, else the lowest mantissa bits of registers."""
+    if len(shingles) >= SMALL:
+        return np.packbits(registers[:TRAITS] & 1)
+    bits = np.zeros(TRAITS, np.uint8)
+    bits[(shingles >> np.uint64(40)).astype(np.int64) % TRAITS] = 1
+    return np.packbits(bits)
 
 
 def _plausible(a: Column, b: Column, percent: int) -> Column:
-    """Whether sizes and traits (structs n, t0, t1) leave it possible that a pair reaches the threshold.
+    """Whether sizes and traits (structs n, t) leave it possible that a pair reaches the threshold.
 
-    Bits of a pair at the threshold agree with a chance of (1 + threshold) / 2; a pair may fall MARGIN standard
-    deviations short of that.  Registers of small sets aren't independent, so the deviation counts more for them.
+    Bitmaps of small sets differ in no more bits than the sets in members, which the threshold bounds.
+    Bits of large ones agree with a chance of (1 + threshold) / 2 at the threshold; a pair may fall MARGIN standard
+    deviations short of that.
     """
     p = (1 + percent / 100) / 2
-    limit = lambda factor: int(TRAITS * (1 - p) + factor * MARGIN * math.sqrt(TRAITS * p * (1 - p))) + 1
-    differ = F.bit_count(a["t0"].bitwiseXOR(b["t0"])) + F.bit_count(a["t1"].bitwiseXOR(b["t1"]))
+    limit = int(TRAITS * (1 - p) + MARGIN * math.sqrt(TRAITS * p * (1 - p))) + 1
+    differ = sum(F.bit_count(a[t].bitwiseXOR(b[t])) for t in _TRAITS)
     least, most = F.least(a["n"], b["n"]), F.greatest(a["n"], b["n"])
-    return (least * 100 >= most * percent) & (differ <= F.when(least >= SMALL, limit(1)).when(least >= SMALL // 4, limit(2)).otherwise(TRAITS))
+    small = differ * (100 + percent) <= (least + most) * (100 - percent)
+    return (least * 100 >= most * percent) & F.when(most < SMALL, small).when(least >= SMALL, differ <= limit).otherwise(True)
 
 
 def _banded(nodes: DataFrame, rows: int) -> DataFrame:
@@ -164,13 +177,13 @@ def _banded(nodes: DataFrame, rows: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            matrix = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS)
-            keys = bands(matrix, rows)
-            own = traits(matrix)
-            columns = [batch["nid"].to_numpy(), batch["n_shingles"].to_numpy(), own[:, 0], own[:, 1]]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, keys.shape[1])) for c in columns), pa.array(keys.ravel())], names=["nid", "n", "t0", "t1", "band"])
+            matrix = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS + TRAITS // 8)
+            keys = bands(matrix[:, :REGISTERS], rows)
+            own = np.ascontiguousarray(matrix[:, REGISTERS:]).view(np.int64)
+            columns = [batch["nid"].to_numpy(), batch["n_shingles"].to_numpy(), *own.T]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, keys.shape[1])) for c in columns), pa.array(keys.ravel())], names=["nid", "n", *_TRAITS, "band"])
 
-    return nodes.select("nid", "n_shingles", "registers").mapInArrow(run, "nid bigint, n bigint, t0 bigint, t1 bigint, band bigint")
+    return nodes.select("nid", "n_shingles", "registers").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("nid", "n", *_TRAITS, "band")))
 
 
 def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -180,7 +193,7 @@ def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            ra, rb = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            ra, rb = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint8).reshape(-1, REGISTERS + TRAITS // 8)[:, :REGISTERS] for c in ("ra", "rb"))
             na, nb = batch["na"].to_numpy(), batch["nb"].to_numpy()
             about = estimate(ra, rb, na, nb)
             keep = (about >= threshold - MARGIN * math.sqrt(threshold * (1 - threshold) / REGISTERS)) | (np.minimum(na, nb) < SMALL)
@@ -251,48 +264,106 @@ def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
         before = total
 
 
+def _across(rows: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between the two sides of each (grp, i, j), both at most BLOCK rows of (nid, comp, side, shingles).
+
+    Intersections of all pairs come from products of 0/1 matrices, some shingles at a time; pairs within a
+    component don't count.  Nothing but links leaves the function.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        comp, nid = table["comp"].to_numpy(), table["nid"].to_numpy()
+        sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in table["shingles"]]
+        sizes = np.array([len(s) for s in sets])
+        whole = np.concatenate(sets)
+        owner = np.repeat(np.arange(len(sets)), sizes)
+        values, code, count = np.unique(whole, return_inverse=True, return_counts=True)
+        shared = np.flatnonzero(count > 1)
+        rank = np.full(len(values), -1, np.int64)
+        rank[shared] = np.arange(len(shared))
+        code = rank[code]
+        place = np.empty(len(sets), np.int64)
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        same = np.zeros((len(left), len(right)), np.float32)
+        for low in range(0, len(shared), COLUMNS):
+            on = (code >= low) & (code < low + COLUMNS)
+            parts = []
+            for number, rows in ((0, left), (1, right)):
+                own = on & (side[owner] == number)
+                matrix = np.zeros((len(rows), min(COLUMNS, len(shared) - low)), np.float32)
+                matrix[place[owner[own]], code[own] - low] = 1
+                parts.append(matrix)
+            same += parts[0] @ parts[1].T
+        union = sizes[left][:, None] + sizes[right][None] - same
+        x, y = np.nonzero((100 * same >= percent * union) & (comp[left][:, None] != comp[right][None]))
+        return pa.table({"a": nid[left[x]], "b": nid[right[y]]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return rows.groupBy("grp", "i", "j").applyInArrow(run, "a bigint, b bigint")
+
+
+def _rest(members: DataFrame, comps: DataFrame | None, sets: DataFrame, space: Workspace, percent: int) -> DataFrame:
+    """Links that pivots may have left out: between what isn't in the main component of a large group and all of it.
+
+    ``members`` (band, nid) are those of large bands; bands that overlap are one group.
+    """
+    leaders = space.put(members.groupBy("band").agg(F.min("nid").alias("b")), "leaders")
+    groups = components(members.select("band", F.col("nid").alias("a")).join(leaders.hint("merge"), "band").select("a", "b").distinct(), space, "groups")
+    own = groups.withColumnRenamed("comp", "grp")
+    labelled = own.withColumn("comp", F.col("nid")) if comps is None else own.join(comps.hint("merge"), "nid", "left").select("nid", "grp", F.coalesce("comp", "nid").alias("comp"))
+    labelled = space.put(labelled, "rest-labelled")
+    sizes = space.put(labelled.groupBy("grp", "comp").agg(F.count("*").alias("n")), "rest-sizes")
+    main = sizes.groupBy("grp").agg(F.max(F.struct("n", "comp")).alias("main"), F.sum("n").alias("all"))
+    main = space.put(main.select("grp", F.col("main.comp").alias("main"), (F.ceil(F.col("all") / BLOCK)).alias("n_j"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).alias("n_i")).where("n_i > 0"), "rest-main")
+    placed = space.put(labelled.join(main.hint("merge"), "grp"), "rest-placed")
+    # Blocks are dealt by hash and so may hold somewhat more than BLOCK rows.
+    block = lambda count, salt: F.pmod(F.xxhash64("nid", F.lit(salt)), F.col(count))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(count) - 1))
+    outside = placed.where("comp <> main").select("grp", block("n_i", 1).alias("i"), every("n_j").alias("j"), "nid", "comp", F.lit(0).alias("side"))
+    inside = placed.select("grp", every("n_i").alias("i"), block("n_j", 2).alias("j"), "nid", "comp", F.lit(1).alias("side"))
+    met = outside.unionByName(inside).join(sets.hint("merge"), "nid")
+    return space.put(_across(met, percent), "rest-links")
+
+
+def _confirm(pairs: DataFrame, nodes: DataFrame, sets: DataFrame, space: Workspace, percent: int, name: str) -> DataFrame:
+    """The links among candidate pairs, by estimate first and then by the full sets."""
+    pairs = space.put(pairs.distinct(), f"{name}-pairs")
+    narrow = nodes.select("nid", "registers", F.col("n_shingles").alias("n"))
+    with_a = pairs.join(narrow.toDF("a", "ra", "na").hint("merge"), "a")
+    about = space.put(_estimated(with_a.join(narrow.toDF("b", "rb", "nb").hint("merge"), "b"), percent / 100), f"{name}-about")
+    with_sets = about.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
+    return space.put(_confirmed(with_sets, percent), f"{name}-links")
+
+
 def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, percent: int, id_col: str, text_col: str) -> DataFrame | None:
     """(nid, comp) of the nodes that have links, by components; None if there are no links."""
-    threshold, member = percent / 100, ("band", "nid", "n", "t0", "t1")
-    banded = space.put(_banded(nodes, band_rows(threshold)), "bands")
-    groups = space.put(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "groups")
+    member = ("band", "nid", "n", *_TRAITS)
+    banded = space.put(_banded(nodes, band_rows(percent / 100)), "bands")
+    groups = space.put(banded.groupBy("band").agg(F.count("*").alias("members")).where("members > 1"), "sizes")
     active = space.put(banded.join(groups.hint("merge"), "band"), "active")
-    small = active.where(F.col("members") <= ALL_PAIRS)
-    a, b = small.alias("x"), small.alias("y").hint("merge")
-    fits = _plausible(F.struct("x.n", "x.t0", "x.t1"), F.struct("y.n", "y.t0", "y.t1"), percent)
-    pairs = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.nid") < F.col("y.nid")) & fits).select(F.col("x.nid").alias("a"), F.col("y.nid").alias("b"))
     wanted = active.select("nid").distinct().join(nodes.select("nid", "doc_id", "print", "digest"), "nid")
     sets = space.put(_sets(docs, wanted, width, id_col, text_col), "sets")
-    large = space.put(active.where(F.col("members") > ALL_PAIRS).select(*member), "large0")
-    comps, number, pivots = None, 0, PIVOTS
-    while True:
-        if number:
-            if large.isEmpty():
-                return comps
-            labelled = large if comps is None else large.join(comps.hint("merge"), "nid", "left")
-            labelled = space.put(labelled.select(*member, (F.col("nid") if comps is None else F.coalesce("comp", "nid")).alias("comp")), f"labelled{number}")
-            open_bands = space.put(labelled.groupBy("band").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band"), f"open{number}")
-            labelled = space.put(labelled.join(open_bands.hint("merge"), "band"), f"members{number}")
-            # In each group one pivot of each of so many parts, by the hash of the node.
-            part = F.pmod(F.xxhash64("nid"), F.lit(pivots))
-            chosen = space.put(labelled.groupBy("band", part.alias("part")).agg(F.min(F.struct("nid", "comp", "n", "t0", "t1")).alias("p")).select("band", "p.*"), f"pivots{number}")
-            a, b = labelled.alias("x"), chosen.alias("y").hint("merge")
-            fits = _plausible(F.struct("x.n", "x.t0", "x.t1"), F.struct("y.n", "y.t0", "y.t1"), percent)
-            met = a.join(b, (F.col("x.band") == F.col("y.band")) & (F.col("x.comp") != F.col("y.comp")) & fits)
-            pairs = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
-            used = chosen.select("band", "nid", F.lit(True).alias("used"))
-            large = space.put(labelled.select(*member).join(used.hint("merge"), ["band", "nid"], "left").where("used is null").select(*member), f"large{number}")
-            pivots *= MORE
-        pairs = space.put(pairs.distinct(), f"pairs{number}")
-        narrow = nodes.select("nid", "registers", F.col("n_shingles").alias("n"))
-        with_a = pairs.join(narrow.toDF("a", "ra", "na").hint("merge"), "a")
-        about = space.put(_estimated(with_a.join(narrow.toDF("b", "rb", "nb").hint("merge"), "b"), threshold), f"about{number}")
-        with_sets = about.join(sets.toDF("a", "sa").hint("merge"), "a").join(sets.toDF("b", "sb").hint("merge"), "b")
-        fresh = space.put(_confirmed(with_sets, percent), f"links{number}")
-        if not fresh.isEmpty():
-            known = fresh if comps is None else fresh.union(comps.select(F.col("nid").alias("a"), F.col("comp").alias("b")))
-            comps = components(known, space, f"comps{number}")
-        number += 1
+    small, large = active.where(F.col("members") <= ALL_PAIRS).select(*member), space.put(active.where(F.col("members") > ALL_PAIRS).select(*member), "large")
+    # In each large band one pivot of each of PIVOTS parts, by the hash of the node.
+    part = F.pmod(F.xxhash64("nid"), F.lit(PIVOTS))
+    pivots = space.put(large.groupBy("band", part.alias("part")).agg(F.min(F.struct("nid", "n", *_TRAITS)).alias("p")).select("band", "p.*"), "pivots")
+    pairs = None
+    for left, right in ((small, small), (large, pivots)):
+        fits = _plausible(F.struct("x.n", *(f"x.{t}" for t in _TRAITS)), F.struct("y.n", *(f"y.{t}" for t in _TRAITS)), percent)
+        order = F.col("x.nid") < F.col("y.nid") if left is small else F.col("x.nid") != F.col("y.nid")
+        met = left.alias("x").join(right.alias("y").hint("merge"), (F.col("x.band") == F.col("y.band")) & order & fits)
+        found = met.select(F.least("x.nid", "y.nid").alias("a"), F.greatest("x.nid", "y.nid").alias("b"))
+        pairs = found if pairs is None else pairs.union(found)
+    links = _confirm(pairs, nodes, sets, space, percent, "first")
+    comps = None if links.isEmpty() else components(links, space, "comps")
+    if large.isEmpty():
+        return comps
+    more = _rest(large.select("band", "nid"), comps, sets, space, percent)
+    if more.isEmpty():
+        return comps
+    known = more if comps is None else more.union(comps.select(F.col("nid").alias("a"), F.col("comp").alias("b")))
+    return components(known, space, "all-comps")
 
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
