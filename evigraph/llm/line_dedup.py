@@ -21,17 +21,27 @@ from evigraph.llm.workspace import Workspace
 PART, WHOLE = 4, 5
 #: Hash buckets in which words are counted, as bits; bits of the filter for lines to verify.
 RARITY_BITS, FILTER_BITS = 17, 22
-#: Prefix words shared by more lines are first met by so many early lines.
-COMMON, PIVOTS = 16, 8
+#: Words that occur more often than this in the corpus first meet so many early lines; all others are in few lines.
+COMMON, PIVOTS = 256, 8
 BLANKS = "\t\x0b\f\r"
 
 
-def words_of(line: Column) -> Column:
-    """The distinct words of a line in lower case, split at ASCII white space."""
+def _split(line: Column) -> Column:
+    """The words of a line in lower case, split at ASCII white space, with empty ones between blanks."""
     line = F.lower(line)
     for blank in BLANKS:
         line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.array_remove(F.array_distinct(F.split(line, " ")), "")
+    return F.split(line, " ")
+
+
+def words_of(line: Column) -> Column:
+    """The distinct words of a line."""
+    return F.array_remove(F.array_distinct(_split(line)), "")
+
+
+def _constant(numbers: list[int], kind: str) -> Column:
+    """An array of fixed size as a constant of the plan, which the optimiser folds; joined in, it would be copied for every row."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
 def _lines(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
@@ -44,46 +54,44 @@ def _prints() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2")]
 
 
-def _rarity(docs: DataFrame, text_col: str, space: Workspace) -> DataFrame:
-    """One row: ``ranks``, the rank by frequency of every hash bucket of words (an array of fixed size)."""
+def _rarity(docs: DataFrame, text_col: str) -> list[int]:
+    """How often words of every hash bucket occur: a list of fixed size."""
     size = 1 << RARITY_BITS
-    text = F.replace(F.lower(F.coalesce(F.col(text_col), F.lit(""))), F.lit("\n"), F.lit(" "))
-    for blank in BLANKS:
-        text = F.replace(text, F.lit(blank), F.lit(" "))
-    words = docs.select(F.explode(F.split(text, " ")).alias("w")).where("w <> ''")
-    seen = words.select(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).alias("bucket")).groupBy("bucket").agg(F.count("*").alias("n"))
-    every = docs.sparkSession.range(size).select(F.col("id").alias("bucket"))
-    counted = every.join(seen, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
-    # A fixed number of rows, whatever the corpus: sorted by count, and each bucket's place in that order.
-    order = F.transform(F.array_sort(F.collect_list(F.struct("n", "bucket"))), lambda s: s["bucket"])
-    ranked = counted.agg(order.alias("order")).select(F.posexplode("order").alias("rank", "bucket"))
-    ranks = ranked.agg(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "rank"))), lambda s: s["rank"]).alias("ranks"))
-    return space.put(ranks, "rarity")
-
-
-def _unique(docs: DataFrame, ranks: DataFrame, id_col: str, text_col: str, space: Workspace) -> DataFrame:
-    """Each different line that has words: uid, h1, h2, first occurrence, size, prefix and bitmaps."""
+    text = _split(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" ")))
+    words = docs.select(F.explode(text).alias("w")).where("w <> ''")
+    counts = [0] * size
+    for bucket, n in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).alias("bucket")).agg(F.count("*").alias("n")).toLocalIterator():
+        counts[bucket] = n
+    return counts
+
+
+def _unique(docs: DataFrame, counts: list[int], id_col: str, text_col: str, space: Workspace) -> DataFrame:
+    """Each different line that has words: uid in the order of first occurrence, h1, h2, at, size, prefix and bits."""
     mask = (1 << RARITY_BITS) - 1
-    lines = _lines(docs, text_col, F.col(id_col).alias("doc_id")).crossJoin(F.broadcast(ranks))  # one row of fixed size
-    # The rank of the bucket in place of the bucket keeps all 64 bits of the hash, so keys differ when hashes do.
-    key = lambda w, ranks: F.shiftleft(F.get(ranks, F.xxhash64(w).bitwiseAND(F.lit(mask))).cast("bigint"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
-    keyed = lines.select("doc_id", "pos", *_prints(), F.array_sort(F.transform(words_of(F.col("line")), lambda w: key(w, F.col("ranks")))).alias("keys"))
-    keyed = keyed.where("size(keys) > 0")
+    ranks = [0] * len(counts)
+    for rank, bucket in enumerate(sorted(range(len(counts)), key=lambda k: (counts[k], k))):
+        ranks[bucket] = rank
+    table = _constant(ranks, "int")
+    empty = docs.sparkSession.range(1).select(F.xxhash64(F.lit(""))).first()[0]
+    lines = _lines(docs, text_col, F.col(id_col).alias("doc_id")).select("doc_id", "pos", *_prints(), F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
+    # The rank of the bucket in place of the bucket keeps all but one of the bits of the hash.
+    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(mask)).cast("int")).cast("bigint"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1))
+    keyed = lines.select("doc_id", "pos", "h1", "h2", F.array_sort(F.transform(F.array_distinct(F.array_remove("hashes", empty)), key)).alias("keys")).where("size(keys) > 0")
     size = F.size("keys")
     # The longest prefix that may hold the first common word: size - ceil(size * T) + 1.
     prefix = F.slice("keys", 1, size - F.ceil(size * PART / WHOLE).cast("int") + 1)
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(1L, cast(k & 63 AS int)))")
     rows = keyed.select("h1", "h2", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos").alias("at"), size.alias("size"), prefix.alias("prefix"), bits.alias("bits"))
     groups = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    return space.put(groups.withColumn("uid", F.monotonically_increasing_id()), "unique")
+    return space.put(groups.repartitionByRange("at").sortWithinPartitions("at").withColumn("uid", F.monotonically_increasing_id()), "unique")
 
 
 def _met(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) on a prefix word that pass all filters; ``at`` orders lines."""
+    """Pairs (later, earlier) on a prefix word that pass all filters; uids are in the order of lines."""
     a, b = later.alias("a"), earlier.alias("b").hint("merge")
     total = F.col("a.size") + F.col("b.size")
     least = lambda overlap: overlap * (PART + WHOLE) >= total * PART
-    cond = (F.col("a.word") == F.col("b.word")) & (F.col("b.at") < F.col("a.at"))
+    cond = (F.col("a.word") == F.col("b.word")) & (F.col("b.uid") < F.col("a.uid"))
     cond &= F.least("a.size", "b.size") * WHOLE >= F.greatest("a.size", "b.size") * PART
     cond &= least(1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")))
     cond &= least((total - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))) / 2)
@@ -97,11 +105,12 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, text_col: s
     # A bitmap of fixed size lets most lines that aren't wanted go before they are shuffled.
     spot = F.col("h1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
     marks = wanted.select(F.shiftright(spot, 6).alias("at"), F.expr("shiftleft(1L, cast(h1 & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    every = docs.sparkSession.range(1 << (FILTER_BITS - 6)).select(F.col("id").alias("at"))
-    filled = every.join(marks, "at", "left").select("at", F.coalesce("bits", F.lit(0).cast("bigint")).alias("bits"))
-    sieve = space.put(filled.agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "bits"))), lambda s: s["bits"]).alias("sieve")), f"{name}-sieve")
-    lines = _lines(docs, text_col).select("line", *_prints()).crossJoin(F.broadcast(sieve))  # one row of fixed size
-    kept = lines.where(F.expr(f"(shiftrightunsigned(sieve[cast((h1 & {(1 << FILTER_BITS) - 1}) >> 6 AS int)], cast(h1 & 63 AS int)) & 1) = 1")).select("line", "h1", "h2")
+    sieve = [0] * (1 << (FILTER_BITS - 6))
+    for at, bits in marks.toLocalIterator():
+        sieve[at] = bits
+    word = F.get(_constant(sieve, "bigint"), F.shiftright(spot, 6).cast("int"))
+    found = F.getbit(word, F.col("h1").bitwiseAND(F.lit(63)).cast("int")) == 1
+    kept = _lines(docs, text_col).select("line", *_prints()).where(found)
     one = kept.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     sets = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", words_of(F.col("line")).alias("words")), f"{name}-sets")
     both = pairs.join(sets.toDF("later", "x").hint("merge"), "later").join(sets.toDF("earlier", "y").hint("merge"), "earlier")
@@ -109,18 +118,17 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, text_col: s
     return space.put(both.where(same * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select(F.col("later").alias("uid")).distinct(), f"{name}-removed")
 
 
-def _removed(docs: DataFrame, unique: DataFrame, text_col: str, space: Workspace) -> DataFrame:
+def _removed(docs: DataFrame, unique: DataFrame, counts: list[int], text_col: str, space: Workspace) -> DataFrame:
     """The different lines (uid) that an earlier one removes."""
-    posted = unique.select("uid", "at", "size", "bits", F.posexplode("prefix").alias("place0", "word")).select("uid", "at", "size", "bits", (F.col("place0") + 1).alias("place"), "word")
-    shared = space.put(posted.groupBy("word").agg(F.count("*").alias("lines"), F.min("at").alias("first")).where("lines > 1").select("word", "lines"), "shared")
-    posted = space.put(posted.join(shared.hint("merge"), "word"), "posted")
-    small, large = posted.where(F.col("lines") <= COMMON), posted.where(F.col("lines") > COMMON)
+    # Keys begin with ranks by frequency, so common words are those from a certain key on.
+    common = sum(n <= COMMON for n in counts) << (63 - RARITY_BITS)
+    posted = unique.select("uid", "size", "bits", F.posexplode("prefix").alias("place0", "word")).select("uid", "size", "bits", (F.col("place0") + 1).alias("place"), "word")
+    small, large = posted.where(F.col("word") < common), posted.where(F.col("word") >= common)
     # The earliest line in each of some parts of a common word's lines.
     part = F.pmod(F.xxhash64("uid"), F.lit(PIVOTS))
-    row = F.struct("at", "uid", "size", "bits", "place")
-    pivots = space.put(large.groupBy("word", part.alias("part")).agg(F.min(row).alias("p")).select("word", "p.*"), "pivots")
+    pivots = space.put(large.groupBy("word", part.alias("part")).agg(F.min(F.struct("uid", "size", "bits", "place")).alias("p")).select("word", "p.*"), "pivots")
     first = _confirmed(_met(small, small).union(_met(large, pivots)), unique, docs, text_col, space, "first")
-    left = space.put(large.join(first.withColumn("gone", F.lit(True)).hint("merge"), "uid", "left").where("gone is null").drop("gone"), "left")
+    left = large.join(first.hint("merge"), "uid", "left_anti")
     second = _confirmed(_met(left, large), unique, docs, text_col, space, "second")
     return first.union(second).distinct()
 
@@ -133,14 +141,15 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     first.  A null text has one empty line.  An empty table gives an empty result; other columns are ignored.
     """
     space = Workspace(docs.sparkSession, "lines")
-    unique = _unique(docs, _rarity(docs, text_col, space), id_col, text_col, space)
-    gone = _removed(docs, unique, text_col, space).withColumn("gone", F.lit(True))
+    counts = _rarity(docs, text_col)
+    unique = _unique(docs, counts, id_col, text_col, space)
+    gone = _removed(docs, unique, counts, text_col, space).withColumn("gone", F.lit(True))
     known = space.put(unique.select("uid", "h1", "h2", "at").join(gone.hint("merge"), "uid", "left").select("h1", "h2", "at", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
     places = _lines(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, F.col("__row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"))
     places = places.select("row", "doc_id", "pos", *_prints())
     marked = places.join(known.hint("merge"), ["h1", "h2"], "left")
     own = (F.col("at.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("at.pos") == F.col("pos"))
-    marked = marked.select("row", "doc_id", "pos", F.coalesce(F.col("gone") | ~own, F.lit(False)).alias("out"))
+    marked = marked.select("row", "doc_id", "pos", (F.col("gone").isNotNull() & (F.col("gone") | ~own)).alias("out"))
     found = marked.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("out"), F.col("pos")))).alias("removed"))
     return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
 
