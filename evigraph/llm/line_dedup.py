@@ -121,7 +121,7 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, text_col: s
 def _removed(docs: DataFrame, unique: DataFrame, counts: list[int], text_col: str, space: Workspace) -> DataFrame:
     """The different lines (uid) that an earlier one removes."""
     # Keys begin with ranks by frequency, so common words are those from a certain key on.
-    common = sum(n <= COMMON for n in counts) << (63 - RARITY_BITS)
+    common = min(sum(n <= COMMON for n in counts) << (63 - RARITY_BITS), 2**63 - 1)
     posted = unique.select("uid", "size", "bits", F.posexplode("prefix").alias("place0", "word")).select("uid", "size", "bits", (F.col("place0") + 1).alias("place"), "word")
     small, large = posted.where(F.col("word") < common), posted.where(F.col("word") >= common)
     # The earliest line in each of some parts of a common word's lines.
