@@ -28,7 +28,7 @@ SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Score of an unknown character below the lowest piece score, in unigram models (fixed value).
 UNKNOWN_PENALTY = 10.0
 #: Words that are searched together, words that a Python worker remembers, and bytes of text handled at once.
-BATCH_WORDS, REMEMBERED, BATCH_BYTES = 4096, 800_000, 16 << 20
+BATCH_WORDS, REMEMBERED, BATCH_BYTES = 4096, 600_000, 4 << 20
 #: Longer words are first cut where no piece can span.
 LONG = 48
 MIX, MEMO_BITS = 0x9E3779B97F4A7C15, 21
