@@ -1,6 +1,6 @@
 """All query modules, imported for what they register."""
 
-from evigraph.plans import claims, edges, labels  # noqa: F401
+from evigraph.plans import claims, documents, edges, labels, logs  # noqa: F401
 from evigraph.plans.registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

@@ -54,7 +54,7 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                {_level('p_size % 7')} AS level, CASE WHEN p_size % 5 = 0 THEN p_size END AS wiki_id FROM part"""),
     "telemetry": (("events",), "SELECT event_id, ts, user_id AS run_id, event_type, value, props FROM events"),
     "workflow_log": (("orders",), """
-        SELECT o_orderkey AS log_id, o_custkey AS target_id, CASE WHEN o_custkey % 2 = 0 THEN 'ke' ELSE 'ker' END AS target_type, o_orderdate AS at,
+        SELECT o_orderkey AS log_id, o_custkey AS target_id, CASE WHEN o_custkey % 2 = 0 THEN 'ke' ELSE 'ker' END AS target_type, o_orderdate AS logged_at,
                CASE o_orderpriority WHEN '1-URGENT' THEN 'approved' WHEN '2-HIGH' THEN 'curated' WHEN '3-MEDIUM' THEN 'normalized' WHEN '5-LOW' THEN 'synthesized' ELSE 'raw' END AS state,
                o_orderstatus AS note
         FROM orders"""),
