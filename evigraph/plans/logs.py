@@ -168,3 +168,10 @@ def agreed_abbrev(alias: DataFrame) -> DataFrame:
 @query("recount_source_rows", "claims", sql="SELECT event, count(*) AS n_source_rows FROM (SELECT up_id AS event FROM claims UNION ALL SELECT down_id FROM claims WHERE down_id <> up_id) GROUP BY event")
 def recount_source_rows(claims: DataFrame) -> DataFrame:
     return claims.select("record_key", F.explode(F.array_distinct(F.array("up_id", "down_id"))).alias("event")).groupBy("event").agg(F.count("*").alias("n_source_rows"))
+
+
+@query("telemetry_windows", "events", sql="SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def telemetry_windows(events: DataFrame) -> DataFrame:
+    from evigraph.streaming.telemetry import windowed_counts
+
+    return windowed_counts(events).withColumn("total", F.round("total", 4))
