@@ -239,29 +239,30 @@ def _sets(docs: DataFrame, wanted: DataFrame, width: int, id_col: str, text_col:
     return found.select("nid", "digest", "text").mapInArrow(run, "nid bigint, shingles binary").dropDuplicates(["nid"])
 
 
-def _label_sum(labels: DataFrame) -> object:
-    return labels.agg(F.sum(F.col("comp").cast("decimal(38,0)")).alias("n")).first()["n"]
-
-
 def components(links: DataFrame, space: Workspace, name: str) -> DataFrame:
     """(nid, comp) for all ends of ``links`` (a, b), comp being the least nid connected.
 
-    Each round takes the least label among a node's neighbours and then that label's own label, so the
-    number of rounds grows with the logarithm of the longest path.
+    Each round gives every end the least of its neighbours, and that one's own, for a label, and replaces the
+    ends of links by their labels.  Links within a label vanish, so few are left after the first round.
     """
-    both = space.put(links.select("a", "b").union(links.select("b", "a")).distinct(), f"{name}-both")
-    labels = space.put(both.groupBy(F.col("a").alias("nid")).agg(F.least(F.first("a"), F.min("b")).alias("comp")), f"{name}-0")
-    number, before = 0, _label_sum(labels)
+    edge = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    edges = space.put(links.where("a <> b").select(*edge).distinct(), f"{name}-edges")
+    mapping, number = None, 0
     while True:
         number += 1
-        seen = both.join(labels.withColumnRenamed("nid", "b").hint("merge"), "b").select(F.col("a").alias("nid"), "comp")
-        least = space.put(seen.union(labels).groupBy("nid").agg(F.min("comp").alias("comp")), f"{name}-{number}-least")
-        jump = least.select(F.col("nid").alias("comp"), F.col("comp").alias("next"))
-        moved = space.put(least.join(jump.hint("merge"), "comp").select("nid", F.least("comp", "next").alias("comp")), f"{name}-{number}")
-        labels, total = moved, _label_sum(moved)
-        if total == before:  # labels only ever fall
-            return labels
-        before = total
+        ends = edges.select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.*")
+        least = space.put(ends.groupBy(F.col("a").alias("nid")).agg(F.min("b").alias("b")).select("nid", F.least("nid", "b").alias("comp")), f"{name}-{number}-least")
+        further = least.select(F.col("nid").alias("comp"), F.col("comp").alias("next"))
+        step = space.put(least.join(further.hint("merge"), "comp").select("nid", F.least("comp", "next").alias("comp")), f"{name}-{number}-step")
+        if mapping is None:
+            mapping = step
+        else:
+            again = step.toDF("comp", "next").hint("merge")
+            mapping = space.put(mapping.join(again, "comp", "left").select("nid", F.coalesce("next", "comp").alias("comp")), f"{name}-{number}-mapping")
+        moved = edges.join(step.toDF("a", "x").hint("merge"), "a").join(step.toDF("b", "y").hint("merge"), "b").where("x <> y")
+        edges = space.put(moved.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), f"{name}-{number}-edges")
+        if edges.isEmpty():
+            return mapping
 
 
 def _across(rows: DataFrame, percent: int) -> DataFrame:
