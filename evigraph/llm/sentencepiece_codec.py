@@ -28,7 +28,7 @@ SPACE, UNKNOWN_TEXT = "▁", " ⁇ "
 #: Score of an unknown character below the lowest piece score, in unigram models (fixed value).
 UNKNOWN_PENALTY = 10.0
 #: Words that are searched together, words that a Python worker remembers, and bytes of text handled at once.
-BATCH_WORDS, REMEMBERED, BATCH_BYTES = 4096, 600_000, 4 << 20
+BATCH_WORDS, REMEMBERED, BATCH_BYTES = 4096, 600_000, 6 << 20
 #: Longer words are first cut where no piece can span.
 LONG = 48
 MIX, MEMO_BITS = 0x9E3779B97F4A7C15, 21
@@ -291,15 +291,15 @@ class Codec:
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text (UTF-8)."""
         marked = [(b" " if self.dummy_prefix and t else b"") + t.replace(SPACE.encode(), b" ") for t in texts]
+        parts = [self._words.findall(t) for t in marked]
         new: set[bytes] = set()
-        for t in marked:
-            new.update(self._words.findall(t))
+        new.update(*parts)
         missing = new.difference(self.known)
         if len(self.known) + len(missing) > REMEMBERED:
             missing = new
         if missing:
             self._learn(missing)
-        return [np.frombuffer(b"".join(map(self.known.__getitem__, self._words.findall(t))), np.int32) for t in marked]
+        return [np.frombuffer(b"".join(map(self.known.__getitem__, own)), np.int32) for own in parts]
 
     def decode(self, ids: list[np.ndarray]) -> list[bytes]:
         """The texts of id sequences; bytes that are no UTF-8 stay as they are."""
