@@ -1,7 +1,9 @@
 """Near duplicates by HyperMinHash sketches, banding and verification on full shingle sets.
 
 A sketch has ``MIXES`` x ``BUCKETS`` registers.  Each keeps of the smallest hash in its bucket only the number
-of leading zeros and a few mantissa bits, one byte in all.  Bands of registers group documents that
+of leading zeros and a few mantissa bits, one byte in all.  Registers of sets of at most ``SHORT`` shingles have
+no buckets but a hash function each: with few shingles most buckets would be empty, and as these borrow from the next one, a
+single shingle would spoil many registers at once and with them every band.  Bands of registers group documents that
 may be similar; a Jaccard estimate, corrected for registers that agree by chance, drops pairs far below the
 threshold; the rest are confirmed on the full sets of 64-bit shingle hashes.
 
@@ -31,6 +33,8 @@ REGISTERS = BUCKETS * MIXES
 MISSED = 1e-5
 #: Standard deviations that an estimate may lie below the threshold; sets below this size aren't judged by estimate.
 MARGIN, SMALL = 6, 200
+#: Sets of at most so many shingles (fewer than SMALL) have independent registers.
+SHORT = 128
 #: Bits of a sketch that go along with its bands, and the columns that hold them.
 TRAITS = 256
 _TRAITS = [f"t{i}" for i in range(TRAITS // 64)]
@@ -74,6 +78,21 @@ class Shingler:
         return np.unique(total)
 
 
+def _code(rest: np.ndarray) -> np.ndarray:
+    """One byte for each hash, of which the highest bit is the first that counts."""
+    zeros = np.clip(63 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64), 0, 63)
+    mantissa = (rest << (zeros.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - MANTISSA)
+    return (np.minimum(zeros, 15).astype(np.uint8) << MANTISSA) | mantissa.astype(np.uint8)
+
+
+_SALTS = _mix(np.arange(1, REGISTERS + 1, dtype=np.uint64) * _K[0])[:, None]
+
+
+def independent(shingles: np.ndarray) -> np.ndarray:
+    """The registers of a set that isn't empty, each by a hash function of its own."""
+    return _code(_mix((shingles * _K[4])[None] ^ _SALTS).min(axis=1) | np.uint64(1))
+
+
 _STARTS = np.arange(BUCKETS, dtype=np.uint64) << np.uint64(58)
 _PLACES = np.arange(BUCKETS)
 
@@ -86,11 +105,7 @@ def sketch(shingles: np.ndarray) -> np.ndarray:
         first = np.searchsorted(x, _STARTS)
         least = x[np.minimum(first, len(x) - 1)]
         full = (first < len(x)) & (least >> np.uint64(58) == _PLACES.astype(np.uint64))
-        rest = (least << np.uint64(6)) | np.uint64(1)
-        zeros = 63 - np.floor(np.log2(rest.astype(np.float64))).astype(np.int64)
-        zeros = np.clip(zeros, 0, 63)
-        mantissa = (rest << (zeros.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - MANTISSA)
-        code = (np.minimum(zeros, 15).astype(np.uint8) << MANTISSA) | mantissa.astype(np.uint8)
+        code = _code((least << np.uint64(6)) | np.uint64(1))
         places = np.flatnonzero(full)
         source = np.searchsorted(places, _PLACES) % len(places)
         far = (places[source] - _PLACES) % BUCKETS
@@ -129,23 +144,29 @@ def estimate(a: np.ndarray, b: np.ndarray, n: np.ndarray, m: np.ndarray) -> np.n
 
 def signature(shingles: np.ndarray) -> bytes:
     """The registers of a set that isn't empty, and its traits."""
-    registers = sketch(shingles)
+    registers = independent(shingles) if len(shingles) <= SHORT else sketch(shingles)
     return registers.tobytes() + traits(shingles, registers).tobytes()
 
 
-def _sketches(rows: DataFrame, width: int, carry: tuple[str, ...]) -> DataFrame:
+def beside(shingles: np.ndarray, percent: int) -> bytes | None:
+    """The registers by buckets of a short set that may be similar to sets that aren't short."""
+    return sketch(shingles).tobytes() if len(shingles) <= SHORT and 100 * len(shingles) >= percent * (SHORT + 1) else None
+
+
+def _sketches(rows: DataFrame, width: int, percent: int, carry: tuple[str, ...]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingles = Shingler(width)
         for batch in batches:
-            sizes, digests, registers = [], [], []
+            sizes, digests, registers, more = [], [], [], []
             for text in batch["text"].to_pylist():
                 own = shingles(text or b"")
                 sizes.append(len(own))
                 digests.append(hashlib.blake2b(own.tobytes(), digest_size=16).digest() if len(own) else None)
                 registers.append(signature(own) if len(own) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), *(batch[c] for c in carry)], names=["doc_id", "print", "n_shingles", "digest", "registers", *carry])
+                more.append(beside(own, percent) if len(own) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["print"], pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(registers, pa.binary()), pa.array(more, pa.binary()), *(batch[c] for c in carry)], names=["doc_id", "print", "n_shingles", "digest", "registers", "beside", *carry])
 
-    return rows.mapInArrow(run, ", ".join(["doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary", *(f"{c} bigint" for c in carry)])).withColumn("key", F.monotonically_increasing_id())
+    return rows.mapInArrow(run, ", ".join(["doc_id bigint, print bigint, n_shingles bigint, digest binary, registers binary, beside binary", *(f"{c} bigint" for c in carry)])).withColumn("key", F.monotonically_increasing_id())
 
 
 def traits(shingles: np.ndarray, registers: np.ndarray) -> np.ndarray:
@@ -172,18 +193,29 @@ def _plausible(a: Column, b: Column, percent: int) -> Column:
     return (least * 100 >= most * percent) & F.when(most < SMALL, small).when(least >= SMALL, differ <= limit).otherwise(True)
 
 
+#: Keeps bands of independent registers apart from others.
+_APART = np.int64(0x5851F42D4C957F2D)
+
+
 def _banded(nodes: DataFrame, rows: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             matrix = np.frombuffer(b"".join(batch["registers"].to_pylist()), np.uint8).reshape(-1, REGISTERS + TRAITS // 8)
+            sizes = batch["n_shingles"].to_numpy()
             keys = bands(matrix[:, :REGISTERS], rows)
+            keys[sizes <= SHORT] ^= _APART
+            both = np.flatnonzero(batch["beside"].is_valid().to_numpy(zero_copy_only=False))
+            if len(both):
+                more = np.frombuffer(b"".join(batch["beside"].drop_null().to_pylist()), np.uint8).reshape(-1, REGISTERS)
+                keys = np.concatenate([keys, bands(more, rows)])
+            at = np.concatenate([np.arange(len(sizes)), both])
             own = np.ascontiguousarray(matrix[:, REGISTERS:]).view(np.int64)
-            columns = [batch["nid"].to_numpy(), batch["n_shingles"].to_numpy(), *own.T]
-            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c, keys.shape[1])) for c in columns), pa.array(keys.ravel())], names=["nid", "n", *_TRAITS, "band"])
+            columns = [batch["nid"].to_numpy(), sizes, *own.T]
+            yield pa.RecordBatch.from_arrays([*(pa.array(np.repeat(c[at], keys.shape[1])) for c in columns), pa.array(keys.ravel())], names=["nid", "n", *_TRAITS, "band"])
 
-    return nodes.select("nid", "n_shingles", "registers").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("nid", "n", *_TRAITS, "band")))
+    return nodes.select("nid", "n_shingles", "registers", "beside").mapInArrow(run, ", ".join(f"{c} bigint" for c in ("nid", "n", *_TRAITS, "band")))
 
 
 def _estimated(pairs: DataFrame, threshold: float) -> DataFrame:
@@ -384,8 +416,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col:
     """
     space = Workspace(docs.sparkSession, "near")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text_col).alias("print"), F.col(text_col).cast("binary").alias("text"), *carry)
-    found = space.put(_sketches(rows, words, carry), "sketches")
-    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "print", "n_shingles", "registers")
+    found = space.put(_sketches(rows, words, percent, carry), "sketches")
+    first = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key", "print", "n_shingles", "registers", "beside")
     nodes = found.where("digest is not null").groupBy("digest").agg(F.min(first).alias("f")).select("digest", "f.*")
     nodes = space.put(nodes.withColumn("nid", F.monotonically_increasing_id()), "nodes")
     comps = _links(docs, nodes, space, words, percent, id_col, text_col)

@@ -249,6 +249,28 @@ def test_near_duplicates_in_a_large_group(spark):
     assert Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got) == near_brute(rows, 3, 85)[0]
 
 
+@pytest.mark.parametrize(("same", "union", "percent"), [(6, 7, 85), (8, 9, 85), (12, 14, 85), (17, 20, 85), (34, 40, 85), (108, 127, 85), (4, 5, 80), (8, 10, 80), (16, 20, 80)])
+def test_short_pairs_share_a_band(same, union, percent):
+    rng, rows = np.random.default_rng(union), near_dedup.band_rows(percent / 100)
+    pairs = rng.integers(0, 2**63, (3000, union), np.int64).astype(np.uint64)
+    found = []
+    for a in pairs:
+        both = np.stack([np.frombuffer(near_dedup.signature(s), np.uint8)[: near_dedup.REGISTERS] for s in (a, a[:same])])
+        keys = near_dedup.bands(both, rows)
+        found.append((keys[0] == keys[1]).any())
+    assert all(found)
+
+
+@pytest.mark.parametrize(("width", "percent", "long", "short"), [(3, 85, 7, 6), (3, 85, 14, 12), (3, 85, 129, 110), (3, 85, 128, 109), (5, 80, 5, 4), (5, 80, 10, 8), (5, 80, 130, 104)])
+def test_short_pairs_at_the_threshold_are_linked(spark, width, percent, long, short):
+    rows = []
+    for i in range(300):
+        own = [f"w{i}x{j}" for j in range(long + width - 1)]
+        rows += [(2 * i, " ".join(own)), (2 * i + 1, " ".join(own[: short + width - 1]))]
+    got = rows_of(near_dedup.near_duplicates(frame(spark, rows), width, percent))
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == {(i, short if i % 2 else long, i - i % 2) for i in range(600)}
+
+
 def test_estimates():
     rng = np.random.default_rng(1)
     for share in (0.3, 0.6, 0.9):
