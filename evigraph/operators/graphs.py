@@ -54,11 +54,14 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
         labels = moved
 
 
-def depth(edges: DataFrame, most: int = 64) -> DataFrame:
-    """(node, depth): the longest path to each node of an acyclic graph of edges (a, b), in at most ``most`` rounds."""
+def depth(edges: DataFrame, most: int | None = None) -> DataFrame:
+    """(node, depth): the longest path to each node of an acyclic graph of edges (a, b), in at most ``most`` rounds.
+
+    By default as many rounds as there are nodes, which any acyclic graph does with.
+    """
     edges = stored(edges.select("a", "b").distinct())
     depths = stored(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("depth", F.lit(0)))
-    for _ in range(most):
+    for _ in range(depths.count() if most is None else most):
         deeper = edges.join(depths.withColumnRenamed("node", "a"), "a").select(F.col("b").alias("node"), (F.col("depth") + 1).alias("depth"))
         moved = stored(depths.union(deeper).groupBy("node").agg(F.max("depth").alias("depth")))
         if moved.join(depths.withColumnRenamed("depth", "before"), "node").where("depth <> before").isEmpty():
@@ -74,7 +77,9 @@ def simple_paths(edges: DataFrame, most: int) -> DataFrame:
     ends = edges.select(F.col("b").alias("last")).distinct().join(edges.select(F.col("a").alias("last")), "last", "left_anti")
     growing = starts.select(F.array("a").alias("path"), F.col("a").alias("last"))
     found = None
-    for _ in range(most):
+    for number in range(1, most + 1):
+        if number == most:  # what doesn't end now is too long
+            edges = edges.join(ends.withColumnRenamed("last", "b"), "b", "left_semi")
         growing = stored(growing.join(edges.withColumnRenamed("a", "last"), "last").where(~F.array_contains("path", F.col("b"))).select(F.concat("path", F.array("b")).alias("path"), F.col("b").alias("last")))
         done = growing.join(ends, "last", "left_semi").select("path")
         found = done if found is None else found.union(done)

@@ -47,9 +47,9 @@ def label_similarity_query(labels: DataFrame) -> DataFrame:
 
 @query("causal_depth", "claims")
 def causal_depth(claims: DataFrame) -> DataFrame:
-    return graphs.depth(forward(claims.where("down_id - up_id > 60")))
+    return graphs.depth(forward(claims))
 
 
 @query("pathway_chains", "claims")
 def pathway_chains(claims: DataFrame) -> DataFrame:
-    return graphs.simple_paths(forward(claims.where("down_id - up_id BETWEEN 30 AND 35")), 4).select("path", F.size("path").alias("n_events"))
+    return graphs.simple_paths(forward(claims), 4).select("path", F.size("path").alias("n_events"))
