@@ -3,7 +3,7 @@
 Words are counted over all training texts.  The most frequent ``OWN`` words are symbols of their own, all
 others fall into classes by their shape, and a word's probability within its class follows from its count, so
 the model is a distribution over all words, unknown ones included.  Baum-Welch runs over the symbols of all
-training texts: every task sums the expected counts of its rows, the sums of all tasks are added up by a
+training texts until their likelihood hardly gains: every task sums the expected counts of its rows, the sums of all tasks are added up by a
 distributed aggregation, and only states x symbols numbers reach the driver.  The score of a text is the
 exact likelihood of its whole sequence by scaled forward recursion.
 
@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.workspace import Workspace
 
-#: States, words with symbols of their own, words whose counts are broadcast, and rounds of Baum-Welch.
-STATES, OWN, HEAD, ROUNDS = 8, 2000, 250_000, 3
+#: States, words with symbols of their own, words whose counts are broadcast.
+STATES, OWN, HEAD = 8, 2000, 250_000
+#: Baum-Welch ends when the training likelihood gains less than this in a round, in log10 a token, and gains are
+#: falling: from a near-uniform start they are small at first and grow.
+TOLERANCE = 0.001
 #: Expected counts are taken over segments of so many tokens; tokens handled at once; words counted at once.
 SEGMENT, SLICE, COUNTED = 64, 1 << 20, 300_000
 #: Added to every count.
@@ -163,45 +166,45 @@ class Chain:
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, steps and emissions, over segments of the texts."""
+        return self.counted(texts)[:3]
+
+    def counted(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """The expected counts and the log10 likelihood of the segments; states come first in all arrays."""
         states = len(self.start)
-        parts = [t[i : i + SEGMENT] for t in texts for i in range(0, len(t), SEGMENT)]
-        begins = np.array([i == 0 for t in texts for i in range(0, len(t), SEGMENT)])
-        lengths = np.array([len(p) for p in parts])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        flat = np.concatenate(texts).astype(np.int64)
+        number = -(-sizes // SEGMENT)
+        place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)  # of a segment in its text
+        lengths = np.minimum(np.repeat(sizes, number) - place * SEGMENT, SEGMENT)
         order = np.argsort(-lengths, kind="stable")
-        lengths, begins = lengths[order], begins[order]
-        codes = np.zeros((SEGMENT, len(parts)), np.int64)
-        for column, k in enumerate(order.tolist()):
-            codes[: len(parts[k]), column] = parts[k]
+        lengths, begins = lengths[order], place[order] == 0
+        at = (np.repeat(np.cumsum(sizes) - sizes, number) + place * SEGMENT)[order]
+        codes = flat[np.minimum(at[None] + np.arange(SEGMENT)[:, None], len(flat) - 1)]
         active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(SEGMENT)]  # lengths > t
-        emit, step = self.emit.T.astype(np.float32), self.step.astype(np.float32)
-        inner = np.full(states, 1 / states, np.float32)
-        alpha, scale = np.zeros((SEGMENT, len(parts), states), np.float32), np.ones((SEGMENT, len(parts)), np.float32)
+        emit, step = self.emit.astype(np.float32), self.step.astype(np.float32)
+        alpha, scale = np.zeros((SEGMENT, states, len(at)), np.float32), np.ones((SEGMENT, len(at)), np.float32)
         for t in range(SEGMENT):
             n = active[t]
             if not n:
                 break
-            came = alpha[t - 1, :n] @ step if t else np.where(begins[:n, None], self.start.astype(np.float32), inner)
-            own = came * emit[codes[t, :n]]
-            scale[t, :n] = own.sum(axis=1)
-            alpha[t, :n] = own / scale[t, :n, None]
-        beta = np.ones((len(parts), states), np.float32)
+            own = step.T @ alpha[t - 1, :, :n] if t else np.where(begins[:n], self.start.astype(np.float32)[:, None], np.float32(1 / states))
+            own *= np.take(emit, codes[t, :n], axis=1)
+            scale[t, :n] = own.sum(axis=0)
+            alpha[t, :, :n] = own / scale[t, :n]
+        beta = np.ones((states, len(at)), np.float32)
         steps, emits = np.zeros((states, states)), np.zeros_like(self.emit)
-        gamma = np.zeros((SEGMENT, len(parts), states), np.float32)
         for t in range(SEGMENT - 1, -1, -1):
             n = active[t]
-            if not n:
-                continue
             m = active[t + 1] if t + 1 < SEGMENT else 0
             if m:
-                ahead = emit[codes[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
-                steps += (alpha[t, :m].T @ ahead) * self.step
-                beta[:m] = ahead @ step.T
-            gamma[t, :n] = alpha[t, :n] * beta[:n]
+                ahead = np.take(emit, codes[t + 1, :m], axis=1) * beta[:, :m] / scale[t + 1, :m]
+                steps += (alpha[t, :, :m] @ ahead.T) * self.step
+                beta[:, :m] = step @ ahead
+            alpha[t, :, :n] *= beta[:, :n]  # from here on the chance of each state
         on = np.concatenate([codes[t, : active[t]] for t in range(SEGMENT)])
-        weights = np.concatenate([gamma[t, : active[t]] for t in range(SEGMENT)])
         for s in range(states):
-            emits[s] = np.bincount(on, weights[:, s], self.emit.shape[1])
-        return gamma[0][begins[: len(parts)]].sum(axis=0, dtype=np.float64), steps, emits
+            emits[s] = np.bincount(on, np.concatenate([alpha[t, s, : active[t]] for t in range(SEGMENT)]), self.emit.shape[1])
+        return alpha[0][:, begins].sum(axis=1, dtype=np.float64), steps, emits, float(np.log10(scale).sum(dtype=np.float64))
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of each whole sequence's probability, texts of many lengths advancing together."""
@@ -237,32 +240,37 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(start), whole[start:]
 
 
-def train(encoded: DataFrame, symbols: int, rounds: int = ROUNDS, states: int = STATES) -> Chain:
-    """Baum-Welch over all training rows."""
+def train(encoded: DataFrame, symbols: int, tolerance: float = TOLERANCE, states: int = STATES) -> Chain:
+    """Baum-Welch over all training rows, until rounds gain ever less and the last one less than ``tolerance``."""
     chain = Chain.first(symbols, states)
     width = 1 + states + symbols
-    for _ in range(rounds):
+    means: list[float] = []
+    while True:
         shared = encoded.sparkSession.sparkContext.broadcast(chain)
 
         def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:  # noqa: ANN001
-            total = np.zeros((states, width))
+            total, likely = np.zeros((states, width)), 0.0
             for _, texts in _slices(batches):
-                start, step, emit = shared.value.expected(texts)
+                start, step, emit, own = shared.value.counted(texts)
                 total[:, 0] += start
                 total[:, 1 : 1 + states] += step
                 total[:, 1 + states :] += emit
-            flat = total.ravel()
+                likely += own
+            flat = np.append(total.ravel(), likely)
             some = np.flatnonzero(flat)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["cell", "n"])
 
         cells = encoded.where("not held_out").select("symbols").mapInArrow(expect, "cell bigint, n double").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # states x symbols numbers
-        total = np.zeros(states * width)
+        shared.unpersist()
+        total = np.zeros(states * width + 1)
         total[cells["cell"].to_numpy()] = cells["n"].to_numpy()
-        total = total.reshape(states, width)
+        total, likely = total[:-1].reshape(states, width), total[-1]
         start, step, emit = total[:, 0] + SMOOTH, total[:, 1 : 1 + states] + SMOOTH, total[:, 1 + states :] + SMOOTH
         chain = Chain(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
-        shared.unpersist()
-    return chain
+        means.append(likely / max(total[:, 1 + states :].sum(), 1))
+        gains = np.diff(means[1:]).round(7)  # the first round only finds the words' frequencies
+        if not likely or len(gains) > 2 and gains[-1] < tolerance and gains[-1] <= gains[-2] <= gains[-3]:
+            return chain
 
 
 def held_out(id_col: str) -> Column:

@@ -123,6 +123,15 @@ def test_forward_is_exact():
     assert start.sum() == pytest.approx(2, rel=1e-4) and step.sum() == pytest.approx(7, rel=1e-4) and emit.sum() == pytest.approx(9, rel=1e-4)
 
 
+def test_training_goes_on_until_it_gains_little(spark):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"{'ab'[(i + k // 20) % 2]}{rng.randrange(10)}" for k in range(100))) for i in range(200)]
+    got = [r for r in rows_of(hmm.lm_scores(frame(spark, rows))) if r["held_out"]]
+    # One of ten words costs 1 a token, and of twenty 1.3; each text has runs of twenty words of either kind.
+    assert sum(r["score"] for r in got) / sum(r["n_tokens"] for r in got) > -1.15
+    assert sum(r["base_score"] for r in got) / sum(r["n_tokens"] for r in got) < -1.25
+
+
 def contaminated(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     own, hit, found = split(text), set(), set()
