@@ -299,15 +299,33 @@ def override_ends(claims: DataFrame) -> DataFrame:
 @query("synthesis_blocks", "claims", sql="""WITH r AS (SELECT up_id, record_id, record_key, row_number() OVER (PARTITION BY up_id ORDER BY lower(doi) NULLS FIRST, record_id, record_key) AS k, concat_ws(' | ', doi, essentiality, quantitative) AS body FROM claims WHERE down_id = 4)
     SELECT up_id, string_agg('[' || k || '] ' || body, chr(10) ORDER BY k) AS prompt FROM r GROUP BY up_id""")
 def synthesis_blocks(claims: DataFrame) -> DataFrame:
-    order = Window.partitionBy("up_id").orderBy(F.lower("doi"), "record_id", "record_key")
-    rows = claims.where("down_id = 4").select("up_id", F.row_number().over(order).alias("k"), F.concat_ws(" | ", "doi", "essentiality", "quantitative").alias("body"))
+    return blocks_by(claims.where("down_id = 4"), "up_id")
+
+
+@query("synthesis_blocks_all", "claims", sql="""WITH r AS (SELECT up_id, down_id, record_id, record_key, row_number() OVER (PARTITION BY up_id, down_id ORDER BY lower(doi) NULLS FIRST, record_id, record_key) AS k, concat_ws(' | ', doi, essentiality, quantitative) AS body FROM claims)
+    SELECT up_id, down_id, string_agg('[' || k || '] ' || body, chr(10) ORDER BY k) AS prompt FROM r GROUP BY up_id, down_id""")
+def synthesis_blocks_all(claims: DataFrame) -> DataFrame:
+    """The prompts of all edges, where ``synthesis_blocks`` has those to one event only."""
+    return blocks_by(claims, "up_id", "down_id")
+
+
+def blocks_by(claims: DataFrame, *keys: str) -> DataFrame:
+    """One prompt for each key: numbered claims in a fixed order."""
+    order = Window.partitionBy(*keys).orderBy(F.lower("doi"), "record_id", "record_key")
+    rows = claims.select(*keys, F.row_number().over(order).alias("k"), F.concat_ws(" | ", "doi", "essentiality", "quantitative").alias("body"))
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("k", "body"))), lambda s: F.concat(F.lit("["), s["k"].cast("string"), F.lit("] "), s["body"]))
-    return rows.groupBy("up_id").agg(F.array_join(blocks, "\n").alias("prompt"))
+    return rows.groupBy(*keys).agg(F.array_join(blocks, "\n").alias("prompt"))
 
 
 @query("scan_spans_citation", "claims", sql="SELECT record_key, concat_ws(' — ', coalesce(doi, filename), 'p. ' || n_spans) AS citation, n_verified = n_spans AS verified FROM claims WHERE up_id < 20")
 def scan_spans_citation(claims: DataFrame) -> DataFrame:
-    return claims.where("up_id < 20").select("record_key", F.concat_ws(" — ", F.coalesce("doi", "filename"), F.concat(F.lit("p. "), "n_spans")).alias("citation"), (F.col("n_verified") == F.col("n_spans")).alias("verified"))
+    return scan_spans_citation_all(claims.where("up_id < 20"))
+
+
+@query("scan_spans_citation_all", "claims", sql="SELECT record_key, concat_ws(' — ', coalesce(doi, filename), 'p. ' || n_spans) AS citation, n_verified = n_spans AS verified FROM claims")
+def scan_spans_citation_all(claims: DataFrame) -> DataFrame:
+    """The citations of all claims, where ``scan_spans_citation`` has those of some events only."""
+    return claims.select("record_key", F.concat_ws(" — ", F.coalesce("doi", "filename"), F.concat(F.lit("p. "), "n_spans")).alias("citation"), (F.col("n_verified") == F.col("n_spans")).alias("verified"))
 
 
 @query("unverified_quotes", "claims", sql="SELECT record_key, doi, n_spans - n_verified AS n_unverified FROM claims WHERE n_verified < n_spans")

@@ -161,8 +161,19 @@ def edge_counts(claims: DataFrame) -> DataFrame:
 
 @query("chain_provenance", "claims", sql=f"{E.EDGES} SELECT a.ker_key AS first, b.ker_key AS second, len(list_intersect(string_split(a.all_dois, '; '), string_split(b.all_dois, '; '))) AS n_spanning FROM edges a JOIN edges b ON a.down_id = b.up_id WHERE a.up_id < 10 AND a.all_dois IS NOT NULL AND b.all_dois IS NOT NULL")
 def chain_provenance(claims: DataFrame) -> DataFrame:
+    return spanning(claims, "up_id < 10")
+
+
+@query("chain_provenance_all", "claims", sql=f"{E.EDGES} SELECT a.ker_key AS first, b.ker_key AS second, len(list_intersect(string_split(a.all_dois, '; '), string_split(b.all_dois, '; '))) AS n_spanning FROM edges a JOIN edges b ON a.down_id = b.up_id WHERE a.all_dois IS NOT NULL AND b.all_dois IS NOT NULL")
+def chain_provenance_all(claims: DataFrame) -> DataFrame:
+    """Every pair of edges that meet, where ``chain_provenance`` has some first edges only."""
+    return spanning(claims, "true")
+
+
+def spanning(claims: DataFrame, first: str) -> DataFrame:
+    """Pairs of edges that meet, the first one under a condition, with the number of papers that both have."""
     edges = E.canonical_edges(claims).where("all_dois IS NOT NULL").select("ker_key", "up_id", "down_id", F.split("all_dois", "; ").alias("papers"))
-    a, b = edges.where("up_id < 10").alias("a"), edges.alias("b")
+    a, b = edges.where(first).alias("a"), edges.alias("b")
     return a.join(b, F.col("a.down_id") == F.col("b.up_id")).select(F.col("a.ker_key").alias("first"), F.col("b.ker_key").alias("second"), F.size(F.array_intersect("a.papers", "b.papers")).alias("n_spanning"))
 
 
