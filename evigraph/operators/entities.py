@@ -1,4 +1,4 @@
-"""Entity resolution: labels to events, by rules in the order of their authority."""
+"""Entity resolution: labels to events, by the rules for registry ids, token order and similarity (the CURIE rule is left out)."""
 
 from __future__ import annotations
 

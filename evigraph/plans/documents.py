@@ -1,4 +1,4 @@
-"""Queries over document text: chunks, offsets, headings, quotations."""
+"""Queries over document text: chunks, offsets, quotations."""
 
 from __future__ import annotations
 
