@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from evigraph.llm.workspace import ROW_KEY, Workspace, kept_rows, keyed
+from evigraph.llm.workspace import Workspace, kept_rows, keyed
 
 #: Bytes of the first digit, and the factor by which each round's digit is wider than the last.
 FIRST_DIGIT, GROWTH = 64, 16
@@ -29,8 +29,8 @@ def without_whitespace(text: Column) -> Column:
 
 def without_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns and no others."""
-    rows = keyed(docs, Workspace(docs.sparkSession, "copies"))
-    return kept_rows(rows, exact_dedup(rows, id_col, text_col, ROW_KEY).where("kept"))
+    rows, key = keyed(docs, Workspace(docs.sparkSession, "copies"))
+    return kept_rows(rows, exact_dedup(rows, id_col, text_col, key).where("kept"), key)
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

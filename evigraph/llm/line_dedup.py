@@ -1,13 +1,16 @@
 """Removal of lines that repeat earlier ones: an exact set-similarity join in DataFrame operations alone.
 
 A line is the set of its words.  Words are ordered by rarity (how often the hash bucket of a word occurs in
-the whole corpus, then by hash), and two lines of Jaccard similarity T or more must share one of their first
-words in that order.  Lines are therefore joined on the words of their prefixes, under a length filter, a
-positional filter, and a bound on the overlap from bitmaps of the sets; what passes is verified on the words
-themselves.  A line goes if any earlier one is similar enough.
-
-Equal lines are one from the start.  For words that many prefixes share, a few early lines are compared
-first, and only the lines that these don't already remove are compared with all others.
+the whole corpus, then by hash).  Two lines of Jaccard similarity T or more share at least two of the words that
+their extended prefixes in that order hold (one, where a line has one word).  Lines are therefore joined
+on prefix words under a length filter, a positional filter, and a bound on the overlap from bitmaps of the
+sets; pairs that meet on two words are verified on the words themselves.  A line goes if any earlier
+one is similar enough.
+
+Equal lines are one from the start.  Words that many prefixes share are joined within bands of line sizes:
+first every line meets a few early lines of its bands, and only lines that these don't already remove meet all
+others.  What is said of a word to the join is 31 bits of its place in the order, so two words may meet as one;
+that can only add pairs to verify.
 """
 
 from __future__ import annotations
@@ -15,14 +18,18 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.workspace import Workspace
+from evigraph.llm.workspace import ROW_KEY, Workspace, filed, located
 
 #: Similarity from which on the later line goes, as a fraction.
 PART, WHOLE = 4, 5
-#: Hash buckets in which words are counted, as bits; bits of the filter for lines to verify.
-RARITY_BITS, FILTER_BITS = 17, 22
-#: Words that occur more often than this in the corpus first meet so many early lines; all others are in few lines.
-COMMON, PIVOTS = 256, 8
+#: Hash buckets in which words are counted, as bits; bits of the sieves that let most unwanted rows go before a shuffle.
+RARITY_BITS, SIEVE_BITS = 17, 22
+#: Prefix words that similar lines have in common at least (lines of one word: one).
+SHARED = 2
+#: A word in the prefixes of more lines than this first meets so many early lines of each band of sizes.
+HOT, PIVOTS = 512, 8
+#: Bands of line sizes in a doubling: sizes of similar lines differ by a factor of 1.25 at most, so by one band.
+BANDS = 3
 BLANKS = "\t\x0b\f\r"
 
 
@@ -44,7 +51,23 @@ def _constant(numbers: list[int], kind: str) -> Column:
     return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
 
-def _lines(docs: DataFrame, text_col: str, *more: Column) -> DataFrame:
+def _sieve(rows: DataFrame, number: str) -> list[int]:
+    """The low SIEVE_BITS bits of the column ``number`` of all rows as a bitmap, 64 places to an entry."""
+    place = F.col(number).cast("bigint").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    marks = rows.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({number} & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
+    sieve = [0] * (1 << (SIEVE_BITS - 6))
+    for at, bits in marks.toLocalIterator():
+        sieve[at] = bits
+    return sieve
+
+
+def _passes(sieve: list[int], number: str) -> Column:
+    """Whether a number may be one of the sieve's; true for all of them and for some others."""
+    place = F.col(number).cast("bigint").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
+    return F.getbit(F.get(_constant(sieve, "bigint"), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def _lines(docs: DataFrame, text_col: str, *more: str | Column) -> DataFrame:
     """The lines of all texts: line, pos from 0, and ``more`` of the document's columns."""
     return docs.select(*more, F.posexplode(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")).alias("pos", "line"))
 
@@ -65,98 +88,126 @@ def _rarity(docs: DataFrame, text_col: str) -> list[int]:
     return counts
 
 
-def _unique(docs: DataFrame, counts: list[int], id_col: str, text_col: str, space: Workspace) -> DataFrame:
-    """Each different line that has words: uid in the order of first occurrence, h1, h2, at, size, prefix and bits."""
+def _unique(docs: DataFrame, counts: list[int], space: Workspace) -> DataFrame:
+    """Each different line that has words: uid, h1, h2, n (occurrences), at (the first), size, prefix and bits."""
     mask = (1 << RARITY_BITS) - 1
     ranks = [0] * len(counts)
     for rank, bucket in enumerate(sorted(range(len(counts)), key=lambda k: (counts[k], k))):
         ranks[bucket] = rank
     table = _constant(ranks, "int")
-    empty = docs.sparkSession.range(1).select(F.xxhash64(F.lit(""))).first()[0]
-    lines = _lines(docs, text_col, F.col(id_col).alias("doc_id")).select("doc_id", "pos", *_prints(), F.transform(_split(F.col("line")), lambda w: F.xxhash64(w)).alias("hashes"))
     # The rank of the bucket in place of the bucket keeps all but one of the bits of the hash.
-    key = lambda h: F.shiftleft(F.get(table, h.bitwiseAND(F.lit(mask)).cast("int")).cast("bigint"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(h, RARITY_BITS + 1))
-    keyed = lines.select("doc_id", "pos", "h1", "h2", F.array_sort(F.transform(F.array_distinct(F.array_remove("hashes", empty)), key)).alias("keys")).where("size(keys) > 0")
+    key = lambda w: F.shiftleft(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(mask)).cast("int")).cast("bigint"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
+    lines = _lines(docs, "text", "doc_id", *ROW_KEY)
+    keyed = lines.select("doc_id", *ROW_KEY, "pos", *_prints(), F.sort_array(F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), key))).alias("keys")).where("size(keys) > 0")
     size = F.size("keys")
-    # The longest prefix that may hold the first common word: size - ceil(size * T) + 1.
-    prefix = F.slice("keys", 1, size - F.ceil(size * PART / WHOLE).cast("int") + 1)
+    # The longest prefix that may hold the first common word is size - ceil(size * T) + 1.
+    prefix = F.slice("keys", 1, size - F.ceil(size * PART / WHOLE).cast("int") + SHARED)
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(1L, cast(k & 63 AS int)))")
-    rows = keyed.select("h1", "h2", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "pos").alias("at"), size.alias("size"), prefix.alias("prefix"), bits.alias("bits"))
-    groups = rows.groupBy("h1", "h2").agg(F.min("at").alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
-    return space.put(groups.repartitionByRange("at").sortWithinPartitions("at").withColumn("uid", F.monotonically_increasing_id()), "unique")
+    at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *ROW_KEY, "pos").alias("at")
+    rows = keyed.select("h1", "h2", at, size.alias("size"), F.transform(prefix, lambda k: F.shiftright(k, 32).cast("int")).alias("prefix"), bits.alias("bits"))
+    groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
+    return space.put(groups.withColumn("uid", F.monotonically_increasing_id()), "unique", compression="zstd")
+
+
+def _similar_sizes(a: Column, b: Column) -> Column:
+    return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
-def _met(later: DataFrame, earlier: DataFrame) -> DataFrame:
-    """Pairs (later, earlier) on a prefix word that pass all filters; uids are in the order of lines."""
-    a, b = later.alias("a"), earlier.alias("b").hint("merge")
+def _met(a: DataFrame, b: DataFrame, on: list[str], order: Column) -> DataFrame:
+    """Pairs (a, b) of uids that meet on a prefix word and pass all filters, with what the meeting counts for."""
+    a, b = a.alias("a"), b.alias("b").hint("merge")
     total = F.col("a.size") + F.col("b.size")
-    least = lambda overlap: overlap * (PART + WHOLE) >= total * PART
-    cond = (F.col("a.word") == F.col("b.word")) & (F.col("b.uid") < F.col("a.uid"))
-    cond &= F.least("a.size", "b.size") * WHOLE >= F.greatest("a.size", "b.size") * PART
-    cond &= least(1 + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place")))
-    cond &= least((total - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))) / 2)
-    return a.join(b, cond).select(F.col("a.uid").alias("later"), F.col("b.uid").alias("earlier"))
-
-
-def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, text_col: str, space: Workspace, name: str) -> DataFrame:
-    """The lines (uid) of ``pairs`` whose words reach the similarity with the earlier one's."""
-    pairs = space.put(pairs.distinct(), f"{name}-pairs")
-    wanted = space.put(pairs.select(F.explode(F.array("later", "earlier")).alias("uid")).distinct().join(unique.select("uid", "h1", "h2").hint("merge"), "uid"), f"{name}-wanted")
-    # A bitmap of fixed size lets most lines that aren't wanted go before they are shuffled.
-    spot = F.col("h1").bitwiseAND(F.lit((1 << FILTER_BITS) - 1))
-    marks = wanted.select(F.shiftright(spot, 6).alias("at"), F.expr("shiftleft(1L, cast(h1 & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    sieve = [0] * (1 << (FILTER_BITS - 6))
-    for at, bits in marks.toLocalIterator():
-        sieve[at] = bits
-    word = F.get(_constant(sieve, "bigint"), F.shiftright(spot, 6).cast("int"))
-    found = F.getbit(word, F.col("h1").bitwiseAND(F.lit(63)).cast("int")) == 1
-    kept = _lines(docs, text_col).select("line", *_prints()).where(found)
+    cond = order
+    for name in on:
+        cond = (F.col(f"a.{name}") == F.col(f"b.{name}")) & cond
+    cond &= _similar_sizes(F.col("a.size"), F.col("b.size"))
+    # Before one of the first SHARED common words there are fewer than SHARED others.
+    cond &= (SHARED + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))) * (PART + WHOLE) >= total * PART
+    # Twice the overlap is the sum of the sizes without the words that only one line has, which differing bits count from below.
+    cond &= (total - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))) * (PART + WHOLE) >= total * 2 * PART
+    return a.join(b, cond).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), F.when(total <= 2, SHARED).otherwise(1).alias("weight"))
+
+
+def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, space: Workspace, name: str) -> DataFrame:
+    """The lines (uid) of ``pairs`` whose words reach the similarity with an earlier one's."""
+    pairs = space.put(pairs, f"{name}-pairs")
+    known = unique.select("uid", "h1", "h2", "at")
+    wanted = space.put(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(known.hint("merge"), "uid"), f"{name}-wanted")
+    kept = _lines(docs, "text").select("line", *_prints()).where(_passes(_sieve(wanted, "h1"), "h1"))
     one = kept.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    sets = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", words_of(F.col("line")).alias("words")), f"{name}-sets")
-    both = pairs.join(sets.toDF("later", "x").hint("merge"), "later").join(sets.toDF("earlier", "y").hint("merge"), "earlier")
+    texts = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", "at", "line"), f"{name}-texts")
+    both = pairs.join(texts.toDF("a", "at_a", "x").hint("merge"), "a").join(texts.toDF("b", "at_b", "y").hint("merge"), "b")
+    both = both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("uid"), words_of(F.col("x")).alias("x"), words_of(F.col("y")).alias("y"))
     same = F.size(F.array_intersect("x", "y"))
-    return space.put(both.where(same * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select(F.col("later").alias("uid")).distinct(), f"{name}-removed")
+    gone = space.put(both.where(same * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select("uid").distinct(), f"{name}-gone")
+    for part in ("pairs", "wanted", "texts"):
+        space.drop(f"{name}-{part}")
+    return gone
 
 
-def _removed(docs: DataFrame, unique: DataFrame, counts: list[int], text_col: str, space: Workspace) -> DataFrame:
+def _removed(docs: DataFrame, unique: DataFrame, space: Workspace) -> DataFrame:
     """The different lines (uid) that an earlier one removes."""
-    # Keys begin with ranks by frequency, so common words are those from a certain key on.
-    common = min(sum(n <= COMMON for n in counts) << (63 - RARITY_BITS), 2**63 - 1)
-    posted = unique.select("uid", "size", "bits", F.posexplode("prefix").alias("place0", "word")).select("uid", "size", "bits", (F.col("place0") + 1).alias("place"), "word")
-    small, large = posted.where(F.col("word") < common), posted.where(F.col("word") >= common)
-    # The earliest line in each of some parts of a common word's lines.
-    part = F.pmod(F.xxhash64("uid"), F.lit(PIVOTS))
-    pivots = space.put(large.groupBy("word", part.alias("part")).agg(F.min(F.struct("uid", "size", "bits", "place")).alias("p")).select("word", "p.*"), "pivots")
-    first = _confirmed(_met(small, small).union(_met(large, pivots)), unique, docs, text_col, space, "first")
-    left = large.join(first.hint("merge"), "uid", "left_anti")
-    second = _confirmed(_met(left, large), unique, docs, text_col, space, "second")
-    return first.union(second).distinct()
-
-
-def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    often = unique.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    sieve = _sieve(often, "word")
+    posted = unique.select("uid", "at", "size", "bits", F.posexplode("prefix").alias("place0", "word")).withColumn("place", F.col("place0") + 1)
+    is_hot = _passes(sieve, "word") if any(sieve) else F.lit(False)
+    small = posted.where(~is_hot).select("word", "uid", "size", "place", "bits")
+    met = _met(small, small, ["word"], F.col("a.uid") < F.col("b.uid"))
+    first = None
+    if any(sieve):
+        band = F.floor(F.log2("size") * BANDS).cast("int")
+        hot = space.put(posted.where(is_hot).select("word", "uid", "at", "size", "place", "bits", band.alias("band")), "hot", compression="zstd")
+        near = lambda rows: rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
+        earlier = F.col("b.at") < F.col("a.at")
+        # The earliest line in each of some parts of a word's lines of a band.
+        part = F.pmod(F.xxhash64("uid"), F.lit(PIVOTS))
+        pivots = space.put(hot.groupBy("word", "band", part.alias("part")).agg(F.min(F.struct("at", "uid", "size", "place", "bits")).alias("p")).select("word", "band", "p.*"), "pivots")
+        first = _confirmed(_met(near(hot), pivots, ["word", "band"], earlier).select("a", "b").distinct(), unique, docs, space, "first")
+        left = near(hot.join(first.hint("merge"), "uid", "left_anti"))
+        rest = _met(left, hot, ["word", "band"], earlier)
+        met = met.union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight"))
+    pairs = met.groupBy("a", "b").agg(F.sum("weight").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
+    gone = _confirmed(pairs, unique, docs, space, "all")
+    return gone if first is None else gone.union(first).distinct()
+
+
+def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_lines, n_removed, removed (line numbers from 0, ascending).
 
-    Lines come in the order of ids and, within a text, of their places; a null id comes last.  A line without
-    words is never removed.  Rows of equal ids are one place, so a repeated row gets the marks of the
-    first.  A null text has one empty line.  An empty table gives an empty result; other columns are ignored.
+    Lines come in the order of ids, rows of equal or null ids in that of the table's files and the rows in these,
+    and within a text in that of their places; a null id comes last.  A line without words is never
+    removed.  A null text has one empty line.  An empty table gives an empty result; other columns are
+    ignored, whatever their names.  With ``carry`` the result has the columns that tell rows apart, too.
     """
     space = Workspace(docs.sparkSession, "lines")
-    counts = _rarity(docs, text_col)
-    unique = _unique(docs, counts, id_col, text_col, space)
-    gone = _removed(docs, unique, counts, text_col, space).withColumn("gone", F.lit(True))
-    known = space.put(unique.select("uid", "h1", "h2", "at").join(gone.hint("merge"), "uid", "left").select("h1", "h2", "at", F.coalesce("gone", F.lit(False)).alias("gone")), "known")
-    places = _lines(docs.withColumn("__row", F.monotonically_increasing_id()), text_col, F.col("__row").alias("row"), F.col(id_col).cast("bigint").alias("doc_id"))
-    places = places.select("row", "doc_id", "pos", *_prints())
-    marked = places.join(known.hint("merge"), ["h1", "h2"], "left")
-    own = (F.col("at.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("at.pos") == F.col("pos"))
-    marked = marked.select("row", "doc_id", "pos", (F.col("gone").isNotNull() & (F.col("gone") | ~own)).alias("out"))
-    found = marked.groupBy("row", "doc_id").agg(F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.when(F.col("out"), F.col("pos")))).alias("removed"))
-    return found.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed")
-
-
-def without_marked(docs: DataFrame, marks: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with the marked lines cut out of their texts, ids being unique."""
-    own = marks.select(F.col("doc_id").alias(id_col), F.col("removed").alias("__removed"))
-    kept = F.filter(F.transform(F.split(text_col, "\n"), lambda line, i: F.when(~F.array_contains("__removed", i), line)), lambda line: line.isNotNull())
-    joined = docs.join(own, id_col, "left").withColumn("__removed", F.coalesce("__removed", F.array().cast("array<int>")))
-    return joined.withColumn(text_col, F.array_join(kept, "\n")).select(docs.columns)
+    docs = located(filed(docs, space), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
+    unique = _unique(docs, _rarity(docs, "text"), space)
+    gone = _removed(docs, unique, space).withColumn("gone", F.lit(True))
+    told = unique.select("uid", "n", "h1", "h2", "at").join(gone.hint("merge"), "uid", "left").select("n", "h1", "h2", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
+    told = space.put(told.where("gone OR n > 1").drop("n"), "told", compression="zstd")
+    places = _lines(docs, "text", *ROW_KEY).select(*ROW_KEY, "pos", *_prints()).where(_passes(_sieve(told, "h1"), "h1"))
+    own = F.col("pos") == F.col("at.pos")
+    for name in ROW_KEY:
+        own &= F.col(name) == F.col(f"at.{name}")
+    marked = places.join(told.hint("merge"), ["h1", "h2"]).where(F.col("gone") | ~own).select(*ROW_KEY, "pos")
+    found = marked.groupBy(*ROW_KEY).agg(F.sort_array(F.collect_list("pos")).alias("removed"))
+    n_lines = F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("bigint")
+    result = docs.select("doc_id", *ROW_KEY, n_lines.alias("n_lines")).join(found.hint("merge"), list(ROW_KEY), "left")
+    result = result.withColumn("removed", F.coalesce("removed", F.array().cast("array<int>")))
+    return result.select("doc_id", "n_lines", F.size("removed").cast("bigint").alias("n_removed"), "removed", *(ROW_KEY if carry else ()))
+
+
+def without_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the lines that ``line_marks`` removes cut out of their texts.
+
+    Rows are matched by their place in the table's files, so null and repeated ids lose no row; a null text
+    stays null, and a text that loses all its lines is empty.  All columns stay, in their order.
+    """
+    docs = filed(docs, Workspace(docs.sparkSession, "cut"))
+    own = {name: f"_c{i}" for i, name in enumerate(docs.columns)}
+    rows = located(docs, *(F.col(f"`{name}`").alias(short) for name, short in own.items()))
+    marks = line_marks(docs, id_col, text_col, carry=True).select(*ROW_KEY, "removed")
+    text = F.col(own[text_col])
+    kept = F.filter(F.transform(F.split(text, "\n"), lambda line, i: F.when(~F.array_contains("removed", i), line)), lambda line: line.isNotNull())
+    joined = rows.join(marks.hint("merge"), list(ROW_KEY), "left").withColumn(own[text_col], F.array_join(kept, "\n"))
+    return joined.select(*(F.col(short).alias(name) for name, short in own.items()))

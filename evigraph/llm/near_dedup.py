@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.llm.workspace import ROW_KEY, Workspace, kept_rows, keyed
+from evigraph.llm.workspace import Workspace, kept_rows, keyed
 
 BUCKETS, MIXES, MANTISSA = 64, 5, 4
 REGISTERS = BUCKETS * MIXES
@@ -401,8 +401,8 @@ def _links(docs: DataFrame, nodes: DataFrame, space: Workspace, width: int, perc
 
 def without_near_copies(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row of ``docs`` for each component, with all its columns and no others."""
-    rows = keyed(docs, Workspace(docs.sparkSession, "similar"))
-    return kept_rows(rows, near_duplicates(rows, words, percent, id_col, text_col, ROW_KEY).where("kept"))
+    rows, key = keyed(docs, Workspace(docs.sparkSession, "similar"))
+    return kept_rows(rows, near_duplicates(rows, words, percent, id_col, text_col, key).where("kept"), key)
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:

@@ -6,6 +6,7 @@ import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from evigraph.llm import decontaminate, quality, secrets
 from evigraph.llm.exact_dedup import exact_dedup
@@ -56,7 +57,7 @@ def op7_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_marks(table(spark, sf_dir, "documents"))
+    return line_marks(table(spark, sf_dir, "documents")).withColumn("removed", F.array_join("removed", ","))
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,4 +119,20 @@ ORACLE_SQL: dict[str, str] = {
         c AS (SELECT id, min(upto) AS component_id FROM r GROUP BY id)
         SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
         FROM d LEFT JOIN n ON n.doc_id = d.doc_id JOIN c ON c.id = d.doc_id""",
+    # Lines as sets of words; pairs that share two words of prefixes by exact document frequency (one, where both are one word).
+    "op8_line_dedup": r"""
+        WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+        p AS (SELECT r, doc_id, i - 1 AS pos, lower(ls[i]) AS line FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM o)),
+        q AS (SELECT r, pos, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-]+'))) AS ws FROM p),
+        k AS (SELECT r, pos, ws, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY r, pos) AS again, first_value((r, pos)) OVER (PARTITION BY ws ORDER BY r, pos) AS head FROM q WHERE len(ws) > 0),
+        u AS (SELECT r, pos, n, ws FROM k WHERE again = 1),
+        w AS (SELECT r, pos, n, unnest(ws) AS word FROM u),
+        f AS (SELECT word, count(*) AS often FROM w GROUP BY word),
+        x AS (SELECT r, pos, n, word FROM (SELECT w.*, row_number() OVER (PARTITION BY r, pos ORDER BY often, word) AS place FROM w JOIN f USING (word)) WHERE place <= n - CAST(ceil(0.8 * n) AS INT) + 2),
+        c AS (SELECT a.r AS ar, a.pos AS ap, b.r AS br, b.pos AS bp FROM x a JOIN x b ON a.word = b.word AND (a.r, a.pos) < (b.r, b.pos) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)
+              GROUP BY ALL HAVING count(*) >= 2 OR max(a.n + b.n) <= 2),
+        g AS (SELECT DISTINCT br, bp FROM c JOIN u a ON a.r = ar AND a.pos = ap JOIN u b ON b.r = br AND b.pos = bp WHERE 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
+        m AS (SELECT k.r, k.pos FROM k WHERE again > 1 OR (k.r, k.pos) IN (SELECT (br, bp) FROM g)),
+        s AS (SELECT r, count(*) AS n_removed, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS removed FROM m GROUP BY r)
+        SELECT o.doc_id, CAST(len(ls) AS BIGINT) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM o LEFT JOIN s USING (r)""",
 }

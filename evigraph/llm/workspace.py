@@ -1,7 +1,7 @@
 """Intermediate tables in the folder that driver and executors share.
 
-The folder is the one named in ``spark.checkpoint.dir``; only where that is unset (tests, notebooks)
-is a temporary folder made and set.  Intermediate results are written as Parquet, so a lost executor
+The folder is the one named in ``spark.checkpoint.dir``; only where a local session leaves that unset (tests,
+notebooks) is a temporary folder made and set.  A cluster without one is an error.  Intermediate results are written as Parquet, so a lost executor
 costs a re-read and not a recomputation, and they are removed when the application's file system closes.
 """
 
@@ -13,18 +13,20 @@ import tempfile
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; sets one only where the session names none."""
+    """The shared folder of the session; sets one of its own only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
     have = spark.sparkContext.getCheckpointDir()
     if have:
         return have.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     own = tempfile.mkdtemp(prefix="evigraph-")
     atexit.register(shutil.rmtree, own, True)
     spark.sparkContext.setCheckpointDir(f"file://{own}")
@@ -54,22 +56,39 @@ class Workspace:
         self._fs.delete(self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}"), True)
 
 
-#: The columns that ``keyed`` adds.
+#: Columns that tell the rows of a table in files apart, and are the same each time it is read: file and place in it.
 ROW_KEY = ("__file", "__row")
 
 
-def keyed(docs: DataFrame, space: Workspace) -> DataFrame:
-    """``docs`` with columns that tell its rows apart and are the same each time it is read: file and place in it.
+def _where(docs: DataFrame, names: tuple[str, str]) -> list[Column]:
+    found = docs.metadataColumn("_metadata")
+    return [F.xxhash64(found["file_path"]).alias(names[0]), found["row_index"].alias(names[1])]
 
-    Rows that don't come straight from Parquet files are written first.
-    """
-    where = F.xxhash64("_metadata.file_path").alias(ROW_KEY[0]), F.col("_metadata.row_index").alias(ROW_KEY[1])
+
+def filed(docs: DataFrame, space: Workspace) -> DataFrame:
+    """``docs`` if its rows come straight from Parquet files; else as written to such and read again."""
     try:
-        return docs.select("*", *where)
+        docs.select(*_where(docs, ROW_KEY))
     except AnalysisException:
-        return space.put(docs, "keyed").select("*", *where)
+        return space.put(docs, "filed")
+    return docs
+
+
+def located(docs: DataFrame, *columns: Column) -> DataFrame:
+    """``columns`` of a table in files, and ROW_KEY."""
+    return docs.select(*columns, *_where(docs, ROW_KEY))
+
+
+def keyed(docs: DataFrame, space: Workspace) -> tuple[DataFrame, tuple[str, str]]:
+    """``docs`` with columns as in ROW_KEY, and the names of these: such as no other column has."""
+    taken, end = {c.lower() for c in docs.columns}, ""
+    while any(name + end in taken for name in ROW_KEY):
+        end += "_"
+    names = (ROW_KEY[0] + end, ROW_KEY[1] + end)
+    docs = filed(docs, space)
+    return docs.select("*", *_where(docs, names)), names
 
 
-def kept_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
+def kept_rows(docs: DataFrame, kept: DataFrame, names: tuple[str, str]) -> DataFrame:
     """The rows of keyed ``docs`` whose keys are in ``kept``, without the keys."""
-    return docs.join(kept.select(*ROW_KEY).hint("merge"), list(ROW_KEY), "left_semi").drop(*ROW_KEY)
+    return docs.join(kept.select(*names).hint("merge"), list(names), "left_semi").drop(*names)

@@ -291,30 +291,69 @@ def test_estimates():
         assert abs(about - true) < 0.12
 
 
-def test_line_dedup(spark):
-    rng = random.Random(4)
-    pool = [words(i, rng.randrange(1, 25), 400) for i in range(60)]
-    pool += [" ".join(w if rng.random() > 0.08 else "new" for w in p.split()) for p in pool] + ["", " \t", "Same Line here", "same line HERE"]
-    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(60, None), (61, ""), (62, "x " * 4000)]
-    got = {r["doc_id"]: r for r in rows_of(line_dedup.line_marks(frame(spark, rows).repartition(3)))}
-    seen = []
+def line_brute(rows):
+    """(id, lines, removed) of rows in the order of lines: a line goes if its words are similar to an earlier one's."""
+    seen, out = [], []
     for i, t in rows:
-        out = []
+        gone = []
         for p, line in enumerate((t or "").split("\n")):
             own = set(line.lower().replace("\t", " ").split(" ")) - {""}
             if not own:
                 continue
             if any(9 * len(own & s) >= 4 * (len(own) + len(s)) for s in seen):
-                out.append(p)
+                gone.append(p)
             seen.append(own)
-        assert (got[i]["n_lines"], got[i]["removed"]) == (len((t or "").split("\n")), out), i
+        out.append((i, len((t or "").split("\n")), tuple(gone)))
+    return Counter(out)
+
+
+def marked(got):
+    return Counter((r["doc_id"], r["n_lines"], tuple(r["removed"])) for r in got)
+
+
+@pytest.fixture
+def small_tables(monkeypatch):
+    """Tables of counts that hold many words to a bucket, as those of a large corpus do."""
+    monkeypatch.setattr(line_dedup, "RARITY_BITS", 9)
+    monkeypatch.setattr(line_dedup, "SIEVE_BITS", 12)
+
+
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 2])
+def test_line_dedup(spark, hot, monkeypatch, small_tables):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng = random.Random(4)
+    pool = [words(i, rng.randrange(1, 25), 400) for i in range(60)]
+    pool += [" ".join(w if rng.random() > 0.08 else "new" for w in p.split()) for p in pool] + ["", " \t", "Same Line here", "same line HERE", "one", "ONE one", " one", "two"]
+    rows = [(i, "\n".join(rng.choice(pool) for _ in range(rng.randrange(0, 9)))) for i in range(60)] + [(60, None), (61, ""), (62, "x " * 4000)]
+    rows += [(63, " ".join(f"c{k}" for k in range(9))), (64, " ".join(f"c{k}" for k in range(10))), (65, " ".join(f"c{k}" for k in range(1, 13)))]
+    assert marked(rows_of(line_dedup.line_marks(frame(spark, rows).repartition(3)))) == line_brute(rows)
     assert rows_of(line_dedup.line_marks(frame(spark, []))) == []
     assert len(rows_of(line_dedup.line_marks(frame(spark, corpus())))) == len(corpus())
 
 
-def test_without_marked_lines(spark):
-    docs = frame(spark, [(1, "a b c\nd e f"), (2, "x y z\na b c"), (3, None)])
-    assert {r["doc_id"]: r["text"] for r in rows_of(line_dedup.without_marked(docs, line_dedup.line_marks(docs)))} == {1: "a b c\nd e f", 2: "x y z", 3: None}
+@pytest.mark.parametrize("hot", [line_dedup.HOT, 4])
+def test_line_dedup_of_many_edited_copies(spark, hot, monkeypatch, small_tables):
+    monkeypatch.setattr(line_dedup, "HOT", hot)
+    rng, base = random.Random(8), words(5, 40, 3000).split()
+    lines = []
+    for _ in range(150):  # each a few edits away from an earlier one, so that chains leave the first line behind
+        own = rng.choice(lines).split() if lines else base[:]
+        for _ in range(3):
+            own[rng.randrange(len(own))] = f"edit{rng.randrange(60)}"
+        lines.append(" ".join(own))
+    rows = [(i, "\n".join(lines[5 * i : 5 * i + 5])) for i in range(30)]
+    assert marked(rows_of(line_dedup.line_marks(frame(spark, rows)))) == line_brute(rows)
+
+
+def test_rows_of_one_id_are_places_of_their_own(spark, tmp_path):
+    rows = [(7, "a b c d e"), (7, "x y z"), (7, "a b c d e"), (None, "a b c d e f"), (None, "new words\nX y  z"), (None, None)]
+    frame(spark, rows).coalesce(1).write.parquet(f"{tmp_path}/t")
+    got = rows_of(line_dedup.line_marks(spark.read.parquet(f"{tmp_path}/t")))
+    assert marked(got) == line_brute(rows)
+    clash = spark.read.parquet(f"{tmp_path}/t").withColumnsRenamed({"key": "__file", "kept": "__row", "shard": "removed"})
+    left = line_dedup.without_repeated_lines(clash)
+    assert left.columns == clash.columns
+    assert Counter((r["doc_id"], r["text"]) for r in rows_of(left)) == Counter([(7, "a b c d e"), (7, "x y z"), (7, ""), (None, ""), (None, "new words"), (None, None)])
 
 
 def test_quality(spark, docs):
