@@ -27,9 +27,11 @@ RARITY_BITS, SIEVE_BITS = 17, 22
 #: Prefix words that similar lines have in common at least (lines of one word: one).
 SHARED = 2
 #: A word in the prefixes of more lines than this first meets so many early lines of each band of sizes.
-HOT, PIVOTS = 512, 8
+HOT, PIVOTS = 1024, 8
 #: Bands of line sizes in a doubling: sizes of similar lines differ by a factor of 1.25 at most, so by one band.
 BANDS = 3
+#: Bits of a word's 63-bit key that the join doesn't see.
+WORD_SHIFT = 32
 BLANKS = "\t\x0b\f\r"
 
 
@@ -43,7 +45,7 @@ def _split(line: Column) -> Column:
 
 def words_of(line: Column) -> Column:
     """The distinct words of a line."""
-    return F.array_remove(F.array_distinct(_split(line)), "")
+    return F.array_except(_split(line), F.array(F.lit("")))
 
 
 def _constant(numbers: list[int], kind: str) -> Column:
@@ -93,18 +95,20 @@ def _unique(docs: DataFrame, counts: list[int], space: Workspace) -> DataFrame:
     mask = (1 << RARITY_BITS) - 1
     ranks = [0] * len(counts)
     for rank, bucket in enumerate(sorted(range(len(counts)), key=lambda k: (counts[k], k))):
-        ranks[bucket] = rank
-    table = _constant(ranks, "int")
-    # The rank of the bucket in place of the bucket keeps all but one of the bits of the hash.
-    key = lambda w: F.shiftleft(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(mask)).cast("int")).cast("bigint"), 63 - RARITY_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
+        ranks[bucket] = rank << (63 - RARITY_BITS)
+    table = _constant(ranks, "bigint")
+    # The rank of the bucket in place of the bucket keeps all but one of the bits of the hash.  Keys that can't be null are
+    # sorted as plain numbers.
+    own = lambda w: F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("bigint"))
+    key = lambda w: own(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
     lines = _lines(docs, "text", "doc_id", *ROW_KEY)
-    keyed = lines.select("doc_id", *ROW_KEY, "pos", *_prints(), F.sort_array(F.array_distinct(F.transform(F.array_remove(_split(F.col("line")), ""), key))).alias("keys")).where("size(keys) > 0")
+    keyed = lines.select("doc_id", *ROW_KEY, "pos", *_prints(), F.sort_array(F.transform(words_of(F.col("line")), key)).alias("keys")).where("size(keys) > 0")
     size = F.size("keys")
     # The longest prefix that may hold the first common word is size - ceil(size * T) + 1.
     prefix = F.slice("keys", 1, size - F.ceil(size * PART / WHOLE).cast("int") + SHARED)
     bits = F.expr("aggregate(keys, 0L, (acc, k) -> acc | shiftleft(1L, cast(k & 63 AS int)))")
     at = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *ROW_KEY, "pos").alias("at")
-    rows = keyed.select("h1", "h2", at, size.alias("size"), F.transform(prefix, lambda k: F.shiftright(k, 32).cast("int")).alias("prefix"), bits.alias("bits"))
+    rows = keyed.select("h1", "h2", at, size.alias("size"), F.transform(prefix, lambda k: F.shiftright(k, WORD_SHIFT).cast("int")).alias("prefix"), bits.alias("bits"))
     groups = rows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("at").alias("at"), F.first("size").alias("size"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits"))
     return space.put(groups.withColumn("uid", F.monotonically_increasing_id()), "unique", compression="zstd")
 
@@ -113,16 +117,24 @@ def _similar_sizes(a: Column, b: Column) -> Column:
     return F.least(a, b) * WHOLE >= F.greatest(a, b) * PART
 
 
+def _size(side: str) -> Column:
+    return F.shiftright(F.col(f"{side}.spot"), 32)
+
+
+def _place(side: str) -> Column:
+    return F.col(f"{side}.spot").bitwiseAND(F.lit((1 << 32) - 1))
+
+
 def _met(a: DataFrame, b: DataFrame, on: list[str], order: Column) -> DataFrame:
     """Pairs (a, b) of uids that meet on a prefix word and pass all filters, with what the meeting counts for."""
     a, b = a.alias("a"), b.alias("b").hint("merge")
-    total = F.col("a.size") + F.col("b.size")
+    total = _size("a") + _size("b")
     cond = order
     for name in on:
         cond = (F.col(f"a.{name}") == F.col(f"b.{name}")) & cond
-    cond &= _similar_sizes(F.col("a.size"), F.col("b.size"))
+    cond &= _similar_sizes(_size("a"), _size("b"))
     # Before one of the first SHARED common words there are fewer than SHARED others.
-    cond &= (SHARED + F.least(F.col("a.size") - F.col("a.place"), F.col("b.size") - F.col("b.place"))) * (PART + WHOLE) >= total * PART
+    cond &= (SHARED + F.least(_size("a") - _place("a"), _size("b") - _place("b"))) * (PART + WHOLE) >= total * PART
     # Twice the overlap is the sum of the sizes without the words that only one line has, which differing bits count from below.
     cond &= (total - F.bit_count(F.col("a.bits").bitwiseXOR(F.col("b.bits")))) * (PART + WHOLE) >= total * 2 * PART
     return a.join(b, cond).select(F.col("a.uid").alias("a"), F.col("b.uid").alias("b"), F.when(total <= 2, SHARED).otherwise(1).alias("weight"))
@@ -135,36 +147,57 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, space: Work
     wanted = space.put(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(known.hint("merge"), "uid"), f"{name}-wanted")
     kept = _lines(docs, "text").select("line", *_prints()).where(_passes(_sieve(wanted, "h1"), "h1"))
     one = kept.groupBy("h1", "h2").agg(F.first("line").alias("line"))
-    texts = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", "at", "line"), f"{name}-texts")
-    both = pairs.join(texts.toDF("a", "at_a", "x").hint("merge"), "a").join(texts.toDF("b", "at_b", "y").hint("merge"), "b")
-    both = both.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("uid"), words_of(F.col("x")).alias("x"), words_of(F.col("y")).alias("y"))
-    same = F.size(F.array_intersect("x", "y"))
-    gone = space.put(both.where(same * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART).select("uid").distinct(), f"{name}-gone")
-    for part in ("pairs", "wanted", "texts"):
+    texts = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", "at", "line"), f"{name}-texts", compression="zstd")
+    # Short hashes of words, of which a set may have fewer than words: their overlap is taken as at least that of the words.
+    words = words_of(F.col("line"))
+    sets = texts.select("uid", "at", F.size(words).alias("size"), F.transform(words, lambda w: F.hash(w)).alias("words"))
+    both = pairs.join(sets.toDF("a", "at_a", "n", "x").hint("merge"), "a").join(sets.toDF("b", "at_b", "m", "y").hint("merge"), "b")
+    lost = F.col("n") + F.col("m") - F.size(F.array_distinct("x")) - F.size(F.array_distinct("y"))
+    fits = (F.size(F.array_intersect("x", "y")) + lost) * (PART + WHOLE) >= (F.col("n") + F.col("m")) * PART
+    is_later = F.col("at_a") > F.col("at_b")
+    later = F.when(is_later, F.col("a")).otherwise(F.col("b")).alias("later")
+    left = space.put(both.where(fits).select(later, F.when(is_later, F.col("b")).otherwise(F.col("a")).alias("earlier")), f"{name}-left0")
+    gone, turn = None, 0
+    while True:  # one earlier line each in turn; a second turn is only for lines whose hashes were alike by chance
+        asked = left.groupBy("later").agg(F.min("earlier").alias("earlier"))
+        lines = texts.select("uid", "line")
+        shown = asked.join(lines.toDF("later", "x").hint("merge"), "later").join(lines.toDF("earlier", "y").hint("merge"), "earlier").select("later", "earlier", words_of(F.col("x")).alias("x"), words_of(F.col("y")).alias("y"))
+        alike = F.size(F.array_intersect("x", "y")) * (PART + WHOLE) >= (F.size("x") + F.size("y")) * PART
+        told = space.put(shown.select("later", "earlier", alike.alias("alike")), f"{name}-told{turn}")
+        found = told.where("alike").select(F.col("later").alias("uid"))
+        gone = found if gone is None else gone.union(found)
+        failed = told.where("NOT alike")
+        if failed.isEmpty():
+            break
+        turn += 1
+        left = space.put(left.join(failed.select("later", F.col("earlier").alias("tried")).hint("merge"), "later").where("earlier <> tried").select("later", "earlier"), f"{name}-left{turn}")
+    for part in ("pairs", "wanted", "texts", "left0"):
         space.drop(f"{name}-{part}")
     return gone
 
 
-def _removed(docs: DataFrame, unique: DataFrame, space: Workspace) -> DataFrame:
+def _removed(docs: DataFrame, unique: DataFrame, counts: list[int], space: Workspace) -> DataFrame:
     """The different lines (uid) that an earlier one removes."""
-    often = unique.select(F.explode("prefix").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
+    # A word in many prefixes is in a bucket of many words, and buckets are ordered by their number.
+    first_common = sum(n <= HOT for n in counts) << (31 - RARITY_BITS)
+    often = unique.select(F.explode("prefix").alias("word")).where(F.col("word") >= F.lit(min(first_common, 2**31 - 1))).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
     sieve = _sieve(often, "word")
-    posted = unique.select("uid", "at", "size", "bits", F.posexplode("prefix").alias("place0", "word")).withColumn("place", F.col("place0") + 1)
+    spot = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("place0") + 1)
+    posted = unique.select("uid", "at", "size", "bits", F.posexplode("prefix").alias("place0", "word")).withColumn("spot", spot)
     is_hot = _passes(sieve, "word") if any(sieve) else F.lit(False)
-    small = posted.where(~is_hot).select("word", "uid", "size", "place", "bits")
+    small = posted.where(~is_hot).select("word", "uid", "spot", "bits")
     met = _met(small, small, ["word"], F.col("a.uid") < F.col("b.uid"))
     first = None
     if any(sieve):
         band = F.floor(F.log2("size") * BANDS).cast("int")
-        hot = space.put(posted.where(is_hot).select("word", "uid", "at", "size", "place", "bits", band.alias("band")), "hot", compression="zstd")
+        hot = space.put(posted.where(is_hot).select("word", "uid", "at", "spot", "bits", band.alias("band")), "hot", compression="zstd")
         near = lambda rows: rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
-        earlier = F.col("b.at") < F.col("a.at")
         # The earliest line in each of some parts of a word's lines of a band.
         part = F.pmod(F.xxhash64("uid"), F.lit(PIVOTS))
-        pivots = space.put(hot.groupBy("word", "band", part.alias("part")).agg(F.min(F.struct("at", "uid", "size", "place", "bits")).alias("p")).select("word", "band", "p.*"), "pivots")
-        first = _confirmed(_met(near(hot), pivots, ["word", "band"], earlier).select("a", "b").distinct(), unique, docs, space, "first")
+        pivots = space.put(hot.groupBy("word", "band", part.alias("part")).agg(F.min(F.struct("at", "uid", "spot", "bits")).alias("p")).select("word", "band", "p.*"), "pivots")
+        first = _confirmed(_met(hot, near(pivots), ["word", "band"], F.col("b.at") < F.col("a.at")).select("a", "b").distinct(), unique, docs, space, "first")
         left = near(hot.join(first.hint("merge"), "uid", "left_anti"))
-        rest = _met(left, hot, ["word", "band"], earlier)
+        rest = _met(left, hot, ["word", "band"], F.col("b.at") < F.col("a.at"))
         met = met.union(rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "weight"))
     pairs = met.groupBy("a", "b").agg(F.sum("weight").alias("n")).where(F.col("n") >= SHARED).select("a", "b")
     gone = _confirmed(pairs, unique, docs, space, "all")
@@ -181,8 +214,9 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     space = Workspace(docs.sparkSession, "lines")
     docs = located(filed(docs, space), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    unique = _unique(docs, _rarity(docs, "text"), space)
-    gone = _removed(docs, unique, space).withColumn("gone", F.lit(True))
+    counts = _rarity(docs, "text")
+    unique = _unique(docs, counts, space)
+    gone = _removed(docs, unique, counts, space).withColumn("gone", F.lit(True))
     told = unique.select("uid", "n", "h1", "h2", "at").join(gone.hint("merge"), "uid", "left").select("n", "h1", "h2", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     told = space.put(told.where("gone OR n > 1").drop("n"), "told", compression="zstd")
     places = _lines(docs, "text", *ROW_KEY).select(*ROW_KEY, "pos", *_prints()).where(_passes(_sieve(told, "h1"), "h1"))
