@@ -79,13 +79,13 @@ def located(docs: DataFrame, *columns: Column) -> DataFrame:
     return docs.select(*columns, *_where(docs, ROW_KEY))
 
 
-def keyed(docs: DataFrame, space: Workspace) -> tuple[DataFrame, tuple[str, str]]:
+def keyed(docs: DataFrame, space: Workspace | None) -> tuple[DataFrame, tuple[str, str]]:
     """``docs`` with columns as in ROW_KEY, and the names of these: such as no other column has."""
     taken, end = {c.lower() for c in docs.columns}, ""
     while any(name + end in taken for name in ROW_KEY):
         end += "_"
     names = (ROW_KEY[0] + end, ROW_KEY[1] + end)
-    docs = filed(docs, space)
+    docs = filed(docs, space) if space else docs
     return docs.select("*", *_where(docs, names)), names
 
 
