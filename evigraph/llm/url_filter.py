@@ -5,7 +5,8 @@ the rules' strings in order, beside the strings themselves.  Executors fetch it
 into memory, so all Python workers of a machine share its pages.  For every URL the strings that a rule
 could have (host suffixes at label borders, with path prefixes of the lengths that rules have) are
 hashed, found by vectorised binary search, and confirmed against the stored strings.
-A list beyond ``MAX_LIST_BYTES`` isn't shipped: ``judge_by_join`` looks candidates up with a shuffled join.
+A list beyond ``MAX_LIST_BYTES`` isn't shipped: ``judge_by_join`` looks candidates up with a shuffled join.  ``judge``
+takes a table of rules, measures it, and goes one way or the other; both give the same result.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from pyspark import SparkFiles
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evigraph.llm.workspace import ROW_KEY, Workspace, filed, located
+
 #: Rules of at most so many bytes in all are sent to executors.
 MAX_LIST_BYTES = 512 << 20
 PARTS = "keys", "starts", "text", "actions"
@@ -48,10 +51,10 @@ class DigestArray:
 
     @classmethod
     def of(cls, rules: list[tuple[str, bool]]) -> DigestArray:
-        """``rules``: (host and path prefix, whether it blocks).  Of a rule given twice the first counts."""
-        whole = {}
+        """``rules``: (host and path prefix, whether it blocks).  A rule that is given with both actions blocks."""
+        whole: dict[bytes, bool] = {}
         for rule, blocks in rules:
-            whole.setdefault(rule.encode(), blocks)
+            whole[rule.encode()] = whole.get(rule.encode(), False) or blocks
         order = sorted(whole, key=lambda r: (xxhash.xxh64_intdigest(r), r))
         keys = np.fromiter((xxhash.xxh64_intdigest(r) for r in order), np.uint64, len(order))
         starts = np.cumsum([0, *map(len, order)], dtype=np.int64)
@@ -66,11 +69,7 @@ class DigestArray:
 
     @classmethod
     def mapped(cls, stem: str) -> DigestArray:
-        arrays = []
-        for part in PARTS:
-            whole = np.load(f"{stem}-{part}.npy", mmap_mode=None if part == "starts" else "r")
-            arrays.append(whole)
-        return cls(*arrays)
+        return cls(*(np.load(f"{stem}-{part}.npy", mmap_mode="r") for part in PARTS))
 
     def rule(self, i: int) -> bytes:
         return self.text[self.starts[i] : self.starts[i + 1]].tobytes()
@@ -107,7 +106,10 @@ def candidates(host: str, path: str, labels: set[int], lengths: set[int]) -> lis
 
 
 def ship(spark: SparkSession, rules: list[tuple[str, bool]]) -> str:
-    """Save the digest array and have every executor fetch it; the name to open it by."""
+    """Save the digest array and have every executor fetch it; the name to open it by.
+
+    The folder is the driver's own; executors get copies of the files from the driver, into folders of their own.
+    """
     stem = f"urls-{uuid.uuid4().hex}"
     folder = tempfile.mkdtemp(prefix="evigraph-urls-")
     atexit.register(shutil.rmtree, folder, True)
@@ -116,16 +118,29 @@ def ship(spark: SparkSession, rules: list[tuple[str, bool]]) -> str:
     return stem
 
 
+def _bytes(rules: list[tuple[str, bool]]) -> int:
+    return sum(len(r.encode()) for r, _ in rules)
+
+
+def judge(pages: DataFrame, rules: DataFrame, default_blocks: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+    """As ``judge_urls``, for a table of rules (rule string, blocks boolean) of any size; null rules are passed over, a null action allows."""
+    rules = rules.where("rule IS NOT NULL").select("rule", F.coalesce("blocks", F.lit(False)).alias("blocks"))
+    if rules.agg(F.coalesce(F.sum(F.octet_length("rule")), F.lit(0))).first()[0] > MAX_LIST_BYTES:
+        return judge_by_join(pages, rules, default_blocks, id_col, url_col)
+    return judge_urls(pages, [(r["rule"], r["blocks"]) for r in rules.toLocalIterator()], default_blocks, id_col, url_col)
+
+
 def judge_urls(pages: DataFrame, rules: list[tuple[str, bool]], default_blocks: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """One row per row of ``pages``: page_id, host, path, rule, verdict.
 
     ``rules``: (host and path prefix, whether it blocks).  A rule fits its host and all subdomains if the
-    path starts with its own; the longest wins, of equally long ones that with the longer host.  Where
-    none fits, the rule is null and the verdict the default.  A null URL, or one without ``://``, has an
-    empty host and path.  An empty table gives an empty result; other columns are ignored.
+    path starts with its own; the longest wins, of equally long ones that with the longer host; a rule that is
+    given with both actions blocks.  Where none fits, the rule is null and the verdict the default.  A null URL, or
+    one without ``://``, has an empty host and path.  Null and repeated ids each get their row, an empty table
+    gives an empty result; other columns are ignored.  More than MAX_LIST_BYTES of rules go through a join.
     """
-    if sum(len(r) for r, _ in rules) > MAX_LIST_BYTES:
-        raise ValueError("a list of this size goes through judge_by_join")
+    if _bytes(rules) > MAX_LIST_BYTES:
+        return judge_by_join(pages, pages.sparkSession.createDataFrame(rules, "rule string, blocks boolean"), default_blocks, id_col, url_col)
     stem, (labels, lengths) = ship(pages.sparkSession, rules), _shape(rules)
     words = "allow", "block"
 
@@ -147,17 +162,21 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, bool]], default_blocks:
     return parsed.mapInArrow(probe, "page_id bigint, host string, path string, rule string, verdict string")
 
 
-def judge_by_join(pages: DataFrame, rules: DataFrame, labels: list[int], lengths: list[int], default_blocks: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+def judge_by_join(pages: DataFrame, rules: DataFrame, default_blocks: bool = False, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """As ``judge_urls``, for a table of rules (rule string, blocks boolean) too large to ship.
 
-    Candidates are joined on digest and string by a shuffle; ids are taken to be unique.
+    Candidates are joined on digest and string by a shuffle; pages are told apart by their place in the table's
+    files, so null and repeated ids each get their own answer.
     """
-    parsed = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
-    hosts = F.explode(F.array([F.when(F.size(F.split("host", r"\.")) >= n, F.substring_index("host", ".", -n)) for n in labels]))
-    paths = F.explode(F.array([F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in lengths]))
-    tried = parsed.select("page_id", "path", hosts.alias("h")).where("h is not null").select("page_id", "h", paths.alias("p")).where("p is not null")
-    tried = tried.select("page_id", F.concat("h", "p").alias("rule"), F.length("h").alias("n_host")).withColumn("digest", F.xxhash64("rule"))
-    known = rules.groupBy("rule").agg(F.min("blocks").alias("blocks")).withColumn("digest", F.xxhash64("rule"))
-    best = tried.join(known, ["digest", "rule"]).groupBy("page_id").agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "rule", "blocks")).alias("b"))
+    rules = rules.groupBy("rule").agg(F.bool_or("blocks").alias("blocks"))
+    host, rest = F.substring_index("rule", "/", 1), F.length("rule") - F.length(F.substring_index("rule", "/", 1))
+    shape = rules.agg(F.collect_set(F.size(F.split(host, r"\."))).alias("labels"), F.collect_set(rest).alias("lengths")).first()  # lengths of hosts and paths, not rules
+    space = Workspace(pages.sparkSession, "urls")
+    parsed = located(filed(pages, space), F.col(id_col).cast("bigint").alias("page_id"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    hosts = F.explode(F.array(F.lit(None).cast("string"), *[F.when(F.size(F.split("host", r"\.")) >= n, F.substring_index("host", ".", -n)) for n in shape["labels"]]))
+    paths = F.explode(F.array(F.lit(None).cast("string"), *[F.when(F.length("path") >= k, F.substring("path", 1, k)) for k in shape["lengths"]]))
+    tried = parsed.select(*ROW_KEY, "path", hosts.alias("h")).where("h is not null").select(*ROW_KEY, "h", paths.alias("p")).where("p is not null")
+    tried = tried.select(*ROW_KEY, F.concat("h", "p").alias("rule"), F.length("h").alias("n_host")).withColumn("digest", F.xxhash64("rule"))
+    best = tried.join(rules.withColumn("digest", F.xxhash64("rule")).hint("merge"), ["digest", "rule"]).groupBy(*ROW_KEY).agg(F.max(F.struct(F.length("rule").alias("n"), "n_host", "rule", "blocks")).alias("b"))
     blocks = F.coalesce("b.blocks", F.lit(default_blocks))
-    return parsed.join(best, "page_id", "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.when(blocks, "block").otherwise("allow").alias("verdict"))
+    return parsed.join(best.hint("merge"), list(ROW_KEY), "left").select("page_id", "host", "path", F.col("b.rule").alias("rule"), F.when(blocks, "block").otherwise("allow").alias("verdict"))
