@@ -7,8 +7,8 @@ training texts until their likelihood hardly gains: every task sums the expected
 distributed aggregation, and only states x symbols numbers reach the driver.  The score of a text is the
 exact likelihood of its whole sequence by scaled forward recursion.
 
-Counts of the ``HEAD`` most frequent words are broadcast; those of all rarer words are looked up by a
-shuffled join with the table of counts, so no word goes without its exact count.
+Counts of the most frequent words of at most ``WORD_BYTES`` bytes are broadcast, ``HEAD`` of them at most; those of all
+other words are looked up by a shuffled join with the table of counts, so no word goes without its exact count.
 """
 
 from __future__ import annotations
@@ -24,13 +24,15 @@ from pyspark.sql import functions as F
 
 from evigraph.llm.workspace import Workspace
 
-#: States, words with symbols of their own, words whose counts are broadcast.
-STATES, OWN, HEAD = 8, 2000, 250_000
+#: States, words with symbols of their own, words whose counts are broadcast at most, and bytes of such a word at most.
+STATES, OWN, HEAD, WORD_BYTES = 8, 2000, 250_000, 64
+#: Steps of the logarithm of a count in which words are told apart when the frequent ones are chosen.
+LEVELS = 64
 #: Baum-Welch ends when the training likelihood gains less than this in a round, in log10 a token, and gains are
 #: falling: from a near-uniform start they are small at first and grow.
 TOLERANCE = 0.001
-#: Expected counts are taken over segments of so many tokens; tokens handled at once; words counted at once.
-SEGMENT, SLICE, COUNTED = 64, 1 << 20, 300_000
+#: Expected counts are taken over blocks of so many tokens, which hand messages to each other; tokens handled at once; words counted at once.
+BLOCK, SLICE, COUNTED = 2048, 1 << 21, 300_000
 #: Added to every count.
 SMOOTH = 0.1
 LENGTHS = 3, 5, 7, 9, 12, 16
@@ -91,24 +93,24 @@ def count_words(rows: DataFrame, space: Workspace) -> tuple[DataFrame, Counts]:
     training = rows.where("not held_out")
     counts = space.put(training.select("text").mapInArrow(count, "word binary, shape int, n bigint").groupBy("word", "shape").agg(F.sum("n").alias("n")), "counts")
     ends = training.count()
-    # How many words have which count: at most as many numbers as there are different counts.
-    levels = {r["n"]: (r["words"], r["n"]) for r in counts.groupBy("n").agg(F.count("*").alias("words")).collect()}
-    least, held = max(levels, default=0) + 1, 0
-    for n in sorted(levels, reverse=True):
-        if held + levels[n][0] > HEAD:
+    sums = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("words")).first()
+    # Words by the logarithm of their count: a bounded number of levels, whole levels being taken or left.
+    level = F.floor(F.log2("n") * LEVELS)
+    short = counts.where(F.octet_length("word") <= WORD_BYTES)
+    least, held = None, 0
+    for r in sorted(short.groupBy(level.alias("level")).agg(F.count("*").alias("words")).collect(), key=lambda r: -r["level"]):
+        if held + r["words"] > HEAD:
             break
-        least, held = n, held + levels[n][0]
-    head = counts.where(F.col("n") >= least).toArrow()  # HEAD words at most
-    order = sorted(range(head.num_rows), key=lambda i: (-head["n"][i].as_py(), head["word"][i].as_py())) if head.num_rows < 1000 else np.lexsort((head["word"].to_numpy(zero_copy_only=False).astype("S"), -head["n"].to_numpy())).tolist()
-    words = head["word"].to_pylist()
-    often, shapes = head["n"].to_numpy(), head["shape"].to_numpy()
+        least, held = r["level"], held + r["words"]
+    head = short.where(level >= (least if least is not None else 1 << 20)).toArrow()  # HEAD words at most
+    head = head.cast(pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("n", pa.int64())])).sort_by([("n", "descending"), ("word", "ascending")])
+    words, often, shapes = head["word"].to_pylist(), head["n"].to_numpy(), head["shape"].to_numpy()
     mass = np.full(SHAPES, SMOOTH)  # a word that no training text has
     for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         mass[r["shape"]] += r["n"] + SMOOTH * r["words"]
-    for i in order[:OWN]:
+    for i in range(min(OWN, len(words))):
         mass[shapes[i]] -= often[i] + SMOOTH
-    total = sum(n * k for k, n in levels.values()) + ends
-    return counts, Counts({words[i]: k for k, i in enumerate(order)}, often[order], total, sum(k for k, _ in levels.values()) + (ends > 0), ends, np.maximum(mass, SMOOTH))
+    return counts, Counts({w: k for k, w in enumerate(words)}, often, sums["n"] + ends, sums["words"] + (ends > 0), ends, np.maximum(mass, SMOOTH))
 
 
 def encode(rows: DataFrame, known: Counts) -> DataFrame:
@@ -165,46 +167,91 @@ class Chain:
         return cls(np.full(states, 1 / states), step, emit / emit.sum(axis=1, keepdims=True))
 
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, steps and emissions, over segments of the texts."""
+        """Expected counts of starts, steps and emissions over the texts."""
         return self.counted(texts)[:3]
 
     def counted(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-        """The expected counts and the log10 likelihood of the segments; states come first in all arrays."""
+        """The expected counts and the log10 likelihood of the texts; states come first in all arrays.
+
+        Texts are cut into blocks that advance together.  What a block hands to the next and to the last one is
+        exact: the product of a block's steps says how it passes messages on, whatever it gets.
+        """
         states = len(self.start)
         sizes = np.array([len(t) for t in texts], np.int64)
         flat = np.concatenate(texts).astype(np.int64)
-        number = -(-sizes // SEGMENT)
-        place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)  # of a segment in its text
-        lengths = np.minimum(np.repeat(sizes, number) - place * SEGMENT, SEGMENT)
-        order = np.argsort(-lengths, kind="stable")
-        lengths, begins = lengths[order], place[order] == 0
-        at = (np.repeat(np.cumsum(sizes) - sizes, number) + place * SEGMENT)[order]
-        codes = flat[np.minimum(at[None] + np.arange(SEGMENT)[:, None], len(flat) - 1)]
-        active = [int(np.searchsorted(-lengths, -t, side="left")) for t in range(SEGMENT)]  # lengths > t
+        number = -(-sizes // BLOCK)
+        place = np.arange(number.sum()) - np.repeat(np.cumsum(number) - number, number)  # of a block in its text
+        lengths = np.minimum(np.repeat(sizes, number) - place * BLOCK, BLOCK)
+        is_last = place == np.repeat(number, number) - 1
+        at = np.repeat(np.cumsum(sizes) - sizes, number) + place * BLOCK
         emit, step = self.emit.astype(np.float32), self.step.astype(np.float32)
-        alpha, scale = np.zeros((SEGMENT, states, len(at)), np.float32), np.ones((SEGMENT, len(at)), np.float32)
-        for t in range(SEGMENT):
-            n = active[t]
-            if not n:
-                break
-            own = step.T @ alpha[t - 1, :, :n] if t else np.where(begins[:n], self.start.astype(np.float32)[:, None], np.float32(1 / states))
-            own *= np.take(emit, codes[t, :n], axis=1)
-            scale[t, :n] = own.sum(axis=0)
-            alpha[t, :, :n] = own / scale[t, :n]
-        beta = np.ones((states, len(at)), np.float32)
+        begin, finish = self._messages(flat, at, lengths, place, is_last, emit, step)
+        order = np.argsort(-lengths, kind="stable")
+        falling, at_sorted = -lengths[order], at[order]
+        steps_of = [int(np.searchsorted(falling, -t, side="left")) for t in range(int(lengths.max()) + 1)]  # blocks with more than t tokens
+        codes = [flat[at_sorted[:n] + t] for t, n in enumerate(steps_of) if n]
+        alpha, scale = [], []
+        for t, own_codes in enumerate(codes):
+            n = len(own_codes)
+            own = (step.T @ alpha[t - 1][:, :n] if t else begin[:, order]) * np.take(emit, own_codes, axis=1)
+            scale.append(own.sum(axis=0))
+            alpha.append(own / scale[t])
+        likely = float(sum(np.log10(x).sum(dtype=np.float64) for x in scale))
+        # What comes after a block's last token, scaled so that the chances of its states add up to 1.
+        ends = np.empty((states, len(at)), np.float32)
+        for t in range(len(codes)):
+            stop = np.arange(steps_of[t + 1], steps_of[t])
+            ends[:, stop] = alpha[t][:, stop]
+        beta = finish[:, order]
+        beta /= (ends * beta).sum(axis=0)
         steps, emits = np.zeros((states, states)), np.zeros_like(self.emit)
-        for t in range(SEGMENT - 1, -1, -1):
-            n = active[t]
-            m = active[t + 1] if t + 1 < SEGMENT else 0
-            if m:
-                ahead = np.take(emit, codes[t + 1, :m], axis=1) * beta[:, :m] / scale[t + 1, :m]
-                steps += (alpha[t, :, :m] @ ahead.T) * self.step
+        for t in range(len(codes) - 1, -1, -1):
+            if t + 1 < len(codes):
+                m = len(codes[t + 1])
+                ahead = np.take(emit, codes[t + 1], axis=1) * beta[:, :m] / scale[t + 1]
+                steps += (alpha[t][:, :m] @ ahead.T) * self.step
                 beta[:, :m] = step @ ahead
-            alpha[t, :, :n] *= beta[:, :n]  # from here on the chance of each state
-        on = np.concatenate([codes[t, : active[t]] for t in range(SEGMENT)])
+            alpha[t] *= beta[:, : len(codes[t])]  # from here on the chance of each state
+        # Steps from one block into the next.
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        into = np.flatnonzero(place > 0)
+        if len(into):
+            ahead = np.take(emit, flat[at[into]], axis=1) * beta[:, back[into]] / scale[0][back[into]]
+            steps += (ends[:, back[into - 1]] @ ahead.T) * self.step
+        on = np.concatenate(codes)
         for s in range(states):
-            emits[s] = np.bincount(on, np.concatenate([alpha[t, s, : active[t]] for t in range(SEGMENT)]), self.emit.shape[1])
-        return alpha[0][:, begins].sum(axis=1, dtype=np.float64), steps, emits, float(np.log10(scale).sum(dtype=np.float64))
+            emits[s] = np.bincount(on, np.concatenate([a[s] for a in alpha]), self.emit.shape[1])
+        return alpha[0][:, back[place == 0]].sum(axis=1, dtype=np.float64), steps, emits, likely
+
+    def _messages(self, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray, place: np.ndarray, is_last: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """What each block gets from the left (the chance of its first state) and from the right (up to a factor)."""
+        states = len(self.start)
+        begin = np.repeat(self.start.astype(np.float32)[:, None], len(at), axis=1)
+        finish = np.ones((states, len(at)), np.float32)
+        some = np.flatnonzero(~is_last | (place > 0))  # blocks of texts that have more than one
+        if not len(some):
+            return begin, finish
+        order = some[np.argsort(-lengths[some], kind="stable")]
+        # passed[n, i, j]: of state i at the first token, all ways to state j at the last one, tokens included.
+        passed = np.repeat(np.eye(states, dtype=np.float32)[None], len(order), axis=0)
+        for t in range(int(lengths[order[0]])):
+            n = int(np.searchsorted(-lengths[order], -t, side="left"))
+            own = emit[:, flat[at[order[:n]] + t]].T[:, None, :]
+            moved = (passed[:n].reshape(-1, states) @ step).reshape(n, states, states) if t else passed[:n]
+            moved = moved * own
+            passed[:n] = moved / moved.max(axis=(1, 2), keepdims=True)
+        where = np.full(len(at), -1, np.int64)
+        where[order] = np.arange(len(order))
+        for k in range(1, int(place.max()) + 1):
+            now = np.flatnonzero(place == k)
+            got = np.einsum("in,nij->jn", begin[:, now - 1], passed[where[now - 1]])
+            begin[:, now] = step.T @ (got / got.sum(axis=0))
+        for k in range(int(place.max()) - 1, -1, -1):
+            now = np.flatnonzero((place == k) & ~is_last)
+            got = np.einsum("nij,jn->in", passed[where[now + 1]], finish[:, now + 1])
+            finish[:, now] = step @ (got / got.sum(axis=0))
+        return begin, finish
 
     def log10(self, texts: list[np.ndarray]) -> np.ndarray:
         """log10 of each whole sequence's probability, texts of many lengths advancing together."""
@@ -281,7 +328,8 @@ def held_out(id_col: str) -> Column:
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
-    A null text is empty and has one token, its end.  Repeated rows each count and get their row; an empty
+    A null text is empty and has one token, its end.  Texts are read as bytes, valid UTF-8 or not.  Repeated rows each
+    count and get their row, null ids are rows like others; an empty
     table gives an empty result; without training rows all probabilities are those of smoothing alone; other
     columns are ignored.
     """
