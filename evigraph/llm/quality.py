@@ -165,7 +165,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
     """
     chosen = labels.where((bucket("doc_id", 4) != 2) & F.col("doc_id").isNotNull() & F.col("quality").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")  # at most ``sample`` ids
+    # Ids may repeat without bound; of the rows of one id that with the least features counts, so ``sample`` rows reach the driver at most.
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -173,7 +174,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str =
             lists = pa.FixedSizeListArray.from_arrays(pa.array(matrix.ravel()), len(FEATURES)).cast(pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], lists], names=["doc_id", "quality", "features"])
 
-    found = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, features array<double>").toArrow()
+    measured = rows.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("quality").cast("int").alias("quality"), "text").mapInArrow(measure, "doc_id bigint, quality int, features array<double>")
+    found = measured.groupBy("doc_id").agg(F.first("quality").alias("quality"), F.min("features").alias("features")).toArrow()
     matrix = np.array(found["features"].to_pylist(), np.float64).reshape(found.num_rows, len(FEATURES))
     order = np.lexsort((*matrix.T, found["doc_id"].to_numpy()))  # the order in which rows come must not count
     return train(matrix[order], found["quality"].to_numpy().astype(np.float64)[order])
@@ -197,11 +199,15 @@ def score_quality(docs: DataFrame, model: Additive, id_col: str = "doc_id", text
 
 
 def keep_good(docs: DataFrame, model: Additive, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose score counts as good, with all their columns and no others."""
+    """The rows of ``docs`` whose score counts as good, with all their columns and no others.
+
+    Null texts are scored as empty ones; repeated rows stay or go together; an empty table gives an empty result.
+    Texts are measured as bytes, so those that aren't valid UTF-8 have a score as well.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.scores(feature_matrix([t.encode() if t is not None else None for t in texts])), dtype=np.float64)
+        return pd.Series(shared.value.scores(feature_matrix(texts.tolist())), dtype=np.float64)
 
-    return docs.where(score(F.col(text_col)) >= GOOD)
+    return docs.where(score(F.col(text_col).cast("binary")) >= GOOD)
