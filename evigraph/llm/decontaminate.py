@@ -41,7 +41,9 @@ class Phrases:
     """Windows of benchmark items over a vocabulary of their own."""
 
     vocabulary: dict[bytes, int]
-    windows: list[tuple[list[int], set[int]]]  # terms in order; the items that have them
+    windows: np.ndarray  # of terms in order, one window a row; shorter ones are filled up with the size of the vocabulary
+    sizes: np.ndarray
+    items: list[list[int]]  # that have each window
 
     @classmethod
     def of(cls, items: list[tuple[int, bytes]], window: int = WINDOW) -> Phrases:
@@ -52,7 +54,16 @@ class Phrases:
             size = min(window, len(terms))
             for i in range(len(terms) - size + 1 if size else 0):
                 found.setdefault(tuple(terms[i : i + size]), set()).add(item)
-        return cls(vocabulary, [(list(w), found[w]) for w in sorted(found)])
+        order = sorted(found)
+        matrix = np.full((len(order), window), len(vocabulary), np.int32)
+        for row, terms in zip(matrix, order, strict=True):
+            row[: len(terms)] = terms
+        return cls(vocabulary, matrix, np.array([len(w) for w in order], np.int32), [sorted(found[w]) for w in order])
+
+    def rarest_first(self, often: np.ndarray) -> np.ndarray:
+        """The places of each window's terms, the rarest of the corpus first and of equally rare ones the first."""
+        counts = np.append(often, np.iinfo(np.int64).max)[self.windows]
+        return np.argsort(counts, axis=1, kind="stable")
 
 
 @dataclass
@@ -81,28 +92,32 @@ class Block:
         terms, first = np.unique(whole[order], return_index=True)
         return cls(n_words, starts, terms.astype(np.int32), np.append(first, len(order)).astype(np.int32), place[order])
 
-    def postings(self) -> dict[int, np.ndarray]:
-        bounds = self.offsets.tolist()
-        return {t: self.positions[a:b] for t, a, b in zip(self.terms.tolist(), bounds, bounds[1:], strict=False)}
+    def answer(self, phrases: Phrases, order: np.ndarray, slop: int = SLOP) -> tuple[np.ndarray, dict[int, set[int]], dict[int, set[int]]]:
+        """Ranges of positions hit, and by document the items with exact and with proximate windows.
 
-    def answer(self, phrases: Phrases, often: np.ndarray, slop: int = SLOP) -> tuple[np.ndarray, dict[int, set[int]], dict[int, set[int]]]:
-        """Ranges of positions hit, and by document the items with exact and with proximate windows."""
-        posted = self.postings()
+        Only windows of which the block has all terms are looked at; ``order`` is that of ``Phrases.rarest_first``.
+        """
+        at_term = np.full(len(phrases.vocabulary) + 1, -1, np.int64)
+        at_term[self.terms] = np.arange(len(self.terms))
+        have = at_term >= 0
+        have[-1] = True
         end = int(self.starts[-1] + self.n_words[-1]) if len(self.starts) else 0
         edges = np.zeros(end + 1, np.int32)
         exact: dict[int, set[int]] = {}
         near: dict[int, set[int]] = {}
-        for terms, items in phrases.windows:
-            rarest = min(range(len(terms)), key=lambda i: (often[terms[i]], i))
-            lead = posted.get(terms[rarest])
-            if lead is None or any(t not in posted for t in terms):
-                continue
-            order = sorted(range(len(terms)), key=lambda i: (often[terms[i]], i))[1:]
-            close = lead
-            for i in order:
-                other = posted[terms[i]]
-                at = np.minimum(np.searchsorted(other, close - slop), len(other) - 1)
-                gap = other[at] - close
+
+        def posted(term: int) -> np.ndarray:
+            k = at_term[term]
+            return self.positions[self.offsets[k] : self.offsets[k + 1]]
+
+        for w in np.flatnonzero(have[phrases.windows].all(axis=1)).tolist():
+            size = int(phrases.sizes[w])
+            terms, places = phrases.windows[w], [p for p in order[w].tolist() if p < size]
+            rarest, items = places[0], phrases.items[w]
+            close = posted(terms[rarest])
+            for i in places[1:]:
+                other = posted(terms[i])
+                gap = other[np.minimum(np.searchsorted(other, close - slop), len(other) - 1)] - close
                 close = close[(gap >= -slop) & (gap <= slop)]
                 if not len(close):
                     break
@@ -111,15 +126,14 @@ class Block:
             for d in np.unique(np.searchsorted(self.starts, close, side="right") - 1).tolist():
                 near.setdefault(d, set()).update(items)
             begin = close - rarest
-            for i in order:
-                other, wanted = posted[terms[i]], begin + i
-                at = np.minimum(np.searchsorted(other, wanted), len(other) - 1)
-                begin = begin[other[at] == wanted]
+            for i in places[1:]:
+                other, wanted = posted(terms[i]), begin + i
+                begin = begin[other[np.minimum(np.searchsorted(other, wanted), len(other) - 1)] == wanted]
                 if not len(begin):
                     break
             if len(begin):
                 np.add.at(edges, begin, 1)
-                np.add.at(edges, begin + len(terms), -1)
+                np.add.at(edges, begin + size, -1)
                 for d in np.unique(np.searchsorted(self.starts, begin, side="right") - 1).tolist():
                     exact.setdefault(d, set()).update(items)
         over = np.flatnonzero(np.diff(np.concatenate([[0], np.cumsum(edges[:-1]) > 0, [0]]).astype(np.int8)))
@@ -168,16 +182,16 @@ def term_counts(index: DataFrame, size: int) -> np.ndarray:
 
 def query_index(index: DataFrame, phrases: Phrases, often: np.ndarray) -> DataFrame:
     """One row per document of the index: doc_id, key, n_words, spans, items, near_items."""
-    shared = index.sparkSession.sparkContext.broadcast((phrases, often))
+    shared = index.sparkSession.sparkContext.broadcast((phrases, phrases.rarest_first(often)))  # at most QUERY_BYTES of benchmark text
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
 
     def query(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, often = shared.value
+        asked, order = shared.value
         for batch in batches:
             for r in range(batch.num_rows):
                 part = {name: batch[name][r].values for name in batch.schema.names}
                 block = Block(*(part[n].to_numpy() for n in ("n_words", "starts", "terms", "offsets", "positions")))
-                ranges, exact, near = block.answer(asked, often)
+                ranges, exact, near = block.answer(asked, order)
                 spans: dict[int, list[dict[str, int]]] = {}
                 for (start, end), d in zip(ranges.tolist(), (np.searchsorted(block.starts, ranges[:, 0], side="right") - 1).tolist(), strict=True):
                     spans.setdefault(d, []).append({"start": start - int(block.starts[d]), "end": end - int(block.starts[d])})
@@ -235,7 +249,8 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
     """The rows of ``docs`` without any occurrence of a window, with all their columns and no others.
 
     Counts come from an index of the whole corpus; the filter itself looks up each batch of rows in an
-    index of its own, so rows need no key.
+    index of its own, so rows need no key.  Null and empty texts stay, as do all rows where the benchmark is empty;
+    repeated rows stay or go together; an empty table gives an empty result.
     """
     space, items = Workspace(docs.sparkSession, "clean"), _items(benchmark, "item_id", "text")
     parts = max(1, -(-_bytes(items) // QUERY_BYTES))
@@ -244,20 +259,20 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> Data
         own = items if parts == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         phrases = Phrases.of([(r["item_id"], bytes(r["text"])) for r in own.collect()])  # QUERY_BYTES, on average
         often = term_counts(space.put(build_index(rows, phrases).select("terms", "offsets"), f"counts{part}"), len(phrases.vocabulary))
-        docs = docs.where(~_hit_udf(docs, phrases, often)(F.coalesce(F.col(text_col), F.lit(""))))
+        space.drop(f"counts{part}")
+        docs = docs.where(~_hit_udf(docs, phrases, often)(F.coalesce(F.col(text_col), F.lit("")).cast("binary")))
     return docs
 
 
 def _hit_udf(docs: DataFrame, phrases: Phrases, often: np.ndarray):  # noqa: ANN202
-    shared = docs.sparkSession.sparkContext.broadcast((phrases, often))
+    shared = docs.sparkSession.sparkContext.broadcast((phrases, phrases.rarest_first(often)))
 
     @F.pandas_udf("boolean")
     def hit(texts: pd.Series) -> pd.Series:
-        asked, often = shared.value
+        asked, order = shared.value
         out = np.zeros(len(texts), np.bool_)
-        each = ((None, i, t.encode()) for i, t in enumerate(texts))
-        for _, places, block in blocks(each, asked.vocabulary):
-            _, exact, _ = block.answer(asked, often, slop=WINDOW)
+        for _, places, block in blocks(((None, i, bytes(t)) for i, t in enumerate(texts)), asked.vocabulary):
+            _, exact, _ = block.answer(asked, order, slop=WINDOW)
             out[[places[d] for d in exact]] = True
         return pd.Series(out)
 

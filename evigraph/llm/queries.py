@@ -41,7 +41,7 @@ def op3_hidden_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate.contamination_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))).drop("n_near_items")
+    return decontaminate.contamination_digest(decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,10 +98,23 @@ ORACLE_SQL: dict[str, str] = {
                FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bm) WHERE len(w) >= m)),
         h AS (SELECT dg.doc_id, g.item_id, dg.i, g.m FROM dg JOIN g USING (m, k)),
         n AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS p FROM h) GROUP BY doc_id),
-        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id)
-        SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+        t AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM h) GROUP BY doc_id),
+        -- Proximity: all words of a window within 20 words of one occurrence of its rarest.
+        ot AS (SELECT DISTINCT unnest(w) AS term FROM bm),
+        tk AS (SELECT doc_id, pos, term FROM (SELECT doc_id, unnest(w) AS term, unnest(range(1, len(w) + 1)) AS pos FROM d) SEMI JOIN ot USING (term)),
+        oc AS (SELECT ot.term, count(tk.pos) AS often FROM ot LEFT JOIN tk USING (term) GROUP BY ot.term),
+        wn AS (SELECT DISTINCT item_id, w[i:i + m - 1] AS win FROM (SELECT item_id, m, w, unnest(range(1, len(w) - m + 2)) AS i FROM bm)),
+        wi AS (SELECT win, row_number() OVER (ORDER BY win) AS wid FROM (SELECT DISTINCT win FROM wn)),
+        wt AS (SELECT wid, unnest(win) AS term, unnest(range(1, len(win) + 1)) AS place FROM wi),
+        ld AS (SELECT wid, arg_min(term, (often, place)) AS lead FROM wt JOIN oc USING (term) GROUP BY wid),
+        sz AS (SELECT wid, count(DISTINCT term) AS n FROM wt GROUP BY wid),
+        cl AS (SELECT ld.wid, tk.doc_id, tk.pos FROM ld JOIN tk ON tk.term = ld.lead),
+        ok AS (SELECT wid, doc_id, pos FROM (SELECT DISTINCT cl.wid, cl.doc_id, cl.pos, o.term FROM cl JOIN (SELECT DISTINCT wid, term FROM wt) v USING (wid) JOIN tk o ON o.doc_id = cl.doc_id AND o.term = v.term AND abs(o.pos - cl.pos) <= 20)
+               JOIN sz USING (wid) GROUP BY wid, doc_id, pos, n HAVING count(*) = n),
+        nr AS (SELECT doc_id, count(DISTINCT item_id) AS n_near_items FROM ok JOIN wi USING (wid) JOIN wn USING (win) GROUP BY doc_id)
+        SELECT d.doc_id, coalesce(n_near_items, 0) AS n_near_items, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
                sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
-        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""",
+        FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id LEFT JOIN nr ON nr.doc_id = d.doc_id""",
     "op5_url_filter": r"""
         WITH p AS (SELECT page_id, translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                           coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
@@ -123,7 +136,8 @@ ORACLE_SQL: dict[str, str] = {
     "op8_line_dedup": r"""
         WITH o AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id NULLS LAST) AS r, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
         p AS (SELECT r, doc_id, i - 1 AS pos, lower(ls[i]) AS line FROM (SELECT r, doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM o)),
-        q AS (SELECT r, pos, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-]+'))) AS ws FROM p),
+        q AS (SELECT r, pos, list_sort(list_distinct(regexp_extract_all(line, '[^ 	-
+]+'))) AS ws FROM p),
         k AS (SELECT r, pos, ws, len(ws) AS n, row_number() OVER (PARTITION BY ws ORDER BY r, pos) AS again, first_value((r, pos)) OVER (PARTITION BY ws ORDER BY r, pos) AS head FROM q WHERE len(ws) > 0),
         u AS (SELECT r, pos, n, ws FROM k WHERE again = 1),
         w AS (SELECT r, pos, n, unnest(ws) AS word FROM u),
