@@ -27,6 +27,8 @@ from evigraph.llm.workspace import Workspace, keyed
 BINS, MISS = 2048, 0.001
 #: The share of a shard's bytes from which on units are placed one by one, and that of a piece of a group that outweighs a shard.
 HEAVY, PIECE = 0.0025, 0.002
+#: Heavy units on a side up to which pairs of them are tried in exchanges.
+FEW = 128
 #: Rows that one task numbers at most, on average.
 NUMBERED = 50_000
 #: Numeric dimensions are logarithms in units of 1/4096, so that no long text makes all others look alike; names of languages
@@ -91,25 +93,30 @@ def _bin(node: Node, number: int) -> Column:
     return F.when(inside, F.floor(offset / F.lit(width)).cast("bigint") + number * BINS)
 
 
+def _options(side: list[Unit]) -> tuple[np.ndarray, list[tuple[int, ...]]]:
+    """What one side may give, with its bytes in ascending order: nothing, a unit, or, where there are few of them, two."""
+    sizes = [u.bytes for u in side]
+    found = [(0, ()), *((n, (i,)) for i, n in enumerate(sizes))]
+    if len(side) <= FEW:
+        found += [(sizes[i] + sizes[j], (i, j)) for i in range(len(side)) for j in range(i)]
+    found.sort()
+    return np.array([n for n, _ in found], np.int64), [places for _, places in found]
+
+
 def _exchange(left: list[Unit], right: list[Unit], lack: float) -> float:
-    """Swap a unit of each side, or move one, so that the left gains what it lacks; what it lacks then."""
-    a = np.array([0, *(u.bytes for u in left)])
-    order = sorted(range(len(right)), key=lambda i: right[i].bytes)
-    b = np.array([0, *(right[i].bytes for i in order)])
+    """Exchange units, so that the left gains what it lacks; what it lacks then."""
+    (a, out), (b, into) = _options(left), _options(right)
     wanted = a + lack
-    at = np.clip(np.searchsorted(b, wanted), 1, len(b) - 1) if len(b) > 1 else np.zeros(len(a), np.int64)
+    at = np.clip(np.searchsorted(b, wanted), 1, max(1, len(b) - 1))
+    at = np.minimum(at, len(b) - 1)
     near = np.where(np.abs(b[at - 1] - wanted) <= np.abs(b[at] - wanted), at - 1, at) if len(b) > 1 else at
     best = int(np.abs(b[near] - wanted).argmin())
     after = float(wanted[best] - b[near[best]])
     if abs(after) >= abs(lack):
         return lack
-    out, into = (left[best - 1] if best else None), (right[order[near[best] - 1]] if near[best] else None)
-    if out is not None:
-        left.remove(out)
-        right.append(out)
-    if into is not None:
-        right.remove(into)
-        left.append(into)
+    gone, come = [left[i] for i in out[best]], [right[i] for i in into[near[best]]]
+    left[:] = [u for i, u in enumerate(left) if i not in out[best]] + come
+    right[:] = [u for i, u in enumerate(right) if i not in into[near[best]]] + gone
     return after
 
 

@@ -288,7 +288,7 @@ def test_languages_and_sources_are_dimensions(spark):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string")
     at = {r["doc_id"]: r["shard"] for r in rows_of(sharding.kd_shards(docs, 4))}
     kinds = [{(i % 2, i % 4) for i, s in at.items() if s == shard} for shard in range(4)]
-    assert sum(len(k) for k in kinds) <= 7  # four kinds of rows, which few cuts part
+    assert sum(len(k) for k in kinds) <= 9  # of 16, were rows dealt by hash: four kinds, each text a bit heavier or lighter
 
 
 def test_shards_are_written_whole(spark, tmp_path):
