@@ -23,11 +23,11 @@ from evigraph.llm.workspace import ROW_KEY, Workspace, filed, located
 #: Similarity from which on the later line goes, as a fraction.
 PART, WHOLE = 4, 5
 #: Hash buckets in which words are counted, as bits; bits of the sieves that let most unwanted rows go before a shuffle.
-RARITY_BITS, SIEVE_BITS = 17, 22
+RARITY_BITS, SIEVE_BITS = 16, 20
 #: Prefix words that similar lines have in common at least (lines of one word: one).
 SHARED = 2
 #: A word in the prefixes of more lines than this first meets so many early lines of each band of sizes.
-HOT, PIVOTS = 1024, 8
+HOT, PIVOTS = 256, 8
 #: Bands of line sizes in a doubling: sizes of similar lines differ by a factor of 1.25 at most, so by one band.
 BANDS = 3
 #: Bits of a word's 63-bit key that the join doesn't see.
@@ -37,10 +37,8 @@ BLANKS = "\t\x0b\f\r"
 
 def _split(line: Column) -> Column:
     """The words of a line in lower case, split at ASCII white space, with empty ones between blanks."""
-    line = F.lower(line)
-    for blank in BLANKS:
-        line = F.replace(line, F.lit(blank), F.lit(" "))
-    return F.split(line, " ")
+    even = F.when(line.rlike(f"[{BLANKS}]"), F.translate(line, BLANKS, " " * len(BLANKS))).otherwise(line)  # few lines have any
+    return F.split(F.lower(even), " ")
 
 
 def words_of(line: Column) -> Column:
