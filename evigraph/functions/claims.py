@@ -34,6 +34,19 @@ def level_index(level: Column) -> Column:
     return lanes
 
 
+def known_level_index(level: Column) -> Column:
+    """The lane of a level from 0; anything else comes after all levels."""
+    lanes = F.lit(len(LEVELS))
+    for i, name in enumerate(LEVELS):
+        lanes = F.when(level == name, i).otherwise(lanes)
+    return lanes
+
+
+def is_marker(kind: Column) -> Column:
+    """Whether a relation is one between an event and what measures it."""
+    return F.coalesce(F.lower(F.trim(kind)) == "marker", F.lit(False))
+
+
 def paper_identity(doi: Column, filename: Column, record: Column) -> Column:
     """What tells papers apart: the DOI, else the file, else the record itself."""
     tidy = lambda c: F.lower(F.trim(present(c)))

@@ -18,8 +18,7 @@ def normalise_sql(column: str) -> str:
     text = f"regexp_replace(lower(trim(coalesce({column}, ''))), '{L.COMPOUND}', '\\1\\2', 'g')"
     for pattern, words in (*L.PHRASES, *L.ABBREVIATIONS.items(), (L.SETTING, " "), ("-", " "), (r"[^a-z0-9\s]", " ")):
         text = f"regexp_replace({text}, '{pattern}', '{words.replace('$1', chr(92) + '1')}', 'g')"
-    same = {w: to for to, words in L.SYNONYMS.items() for w in words.split()}
-    table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in same.items()) + "}"
+    table = "MAP {" + ", ".join(f"'{a}': '{b}'" for a, b in L.SYNONYMS.items()) + "}"
     drop = ", ".join(f"'{w}'" for w in ("", *L.STOPWORDS, *L.CONTEXT_WORDS, *L.MODIFIERS))
     kept = f"list_filter(list_transform(string_split(trim(regexp_replace({text}, '\\s+', ' ', 'g')), ' '), lambda w: coalesce({table}[w], w)), lambda w: w NOT IN ({drop}))"
     return f"(SELECT array_to_string(list_filter(k, lambda w, i: i = 1 OR k[i - 1] <> w), ' ') FROM (SELECT {kept} AS k))"
@@ -85,10 +84,26 @@ def subtype_class(part: DataFrame) -> DataFrame:
     return part.select("p_partkey", L.subtype_class(text).alias("subtype"))
 
 
-@query("participants", "labels_", sql=f"SELECT label, list_sort(list_distinct(list_filter(string_split({normalise_sql('label')}, ' '), lambda w: length(w) > 1 AND NOT regexp_full_match(w, 'increased|decreased|impaired|damaged|activated')))) AS participants FROM labels_")
+_MOVES = "|".join(p.removeprefix(r"\b").removesuffix(r"\b") for p in (L.INCREASE, L.DECREASE, L.DISRUPTION, L.RESTORATION))
+
+
+def participants_sql(column: str) -> str:
+    return f"list_sort(list_distinct(list_filter(string_split({normalise_sql(column)}, ' '), lambda w: length(w) > 1 AND NOT regexp_full_match(w, '{_MOVES}'))))"
+
+
+@query("participants", "labels_", sql=f"SELECT label, {participants_sql('label')} AS participants FROM labels_")
 def participants(labels: DataFrame) -> DataFrame:
-    words = F.filter(F.split(L.normalise(F.col("label")), " "), lambda w: (F.length(w) > 1) & ~w.rlike("^(increased|decreased|impaired|damaged|activated)$"))
-    return labels.select("label", F.array_sort(F.array_distinct(words)).alias("participants"))
+    return labels.select("label", L.participants(F.col("label")).alias("participants"))
+
+
+@query("mentions", "labels_", sql=f"SELECT label, len(list_intersect(string_split({normalise_sql('label')}, ' '), ['steel', 'brushed', 'level'])) >= 2 AS mentions_steel FROM labels_")
+def mentions(labels: DataFrame) -> DataFrame:
+    return labels.select("label", L.mentions(L.normalise(F.col("label")), F.lit("steel of brushed level")).alias("mentions_steel"))
+
+
+@query("bare_tokens", "labels_", sql=f"""SELECT label, list_sort(list_distinct(list_transform(list_filter(string_split({normalise_sql('label')}, ' '), lambda w: w NOT IN ({', '.join(repr(w) for w in ('', *L.STOPWORDS))})), lambda w: CASE WHEN length(w) > 4 AND w LIKE '%s' THEN w[:-2] ELSE w END))) AS tokens FROM labels_""")
+def bare_tokens(labels: DataFrame) -> DataFrame:
+    return labels.select("label", L.bare_tokens(L.normalise(F.col("label"))).alias("tokens"))
 
 
 BUCKETS = f"b AS (SELECT {normalise_sql('label')} AS normal, level, wiki_id, label FROM labels_)"
