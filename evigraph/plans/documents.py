@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from evigraph.functions import text as T
+from evigraph.functions.salvage import salvaged
+from evigraph.operators.documents import locate_quotes
 from evigraph.plans.registry import query
+from evigraph.plans.text_sql import plain_sql
 
-# What PDF text has in place of plain characters, and the plain characters.
-LIGATURES = {"ﬁ": "fi", "ﬂ": "fl", "ﬀ": "ff", "–": "-", "—": "-", "‘": "'", "’": "'", "“": '"', "”": '"'}
 LINES = "lines AS (SELECT doc_id, i - 1 AS pos, l[i] AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM documents))"
 
 
@@ -38,12 +40,9 @@ def chunks_dedup(docs: DataFrame) -> DataFrame:
     return last.select("at.*", "line")
 
 
-@query("match_normalise", "documents", sql="SELECT doc_id, md5(lower(trim(regexp_replace(translate(replace(replace(replace(text, 'ﬁ', 'fi'), 'ﬂ', 'fl'), 'ﬀ', 'ff'), '–—‘’“”', '--''''\"\"'), '\\s+', ' ', 'g')))) AS digest FROM documents")
+@query("match_normalise", "documents", sql=f"SELECT doc_id, md5({plain_sql('text')}) AS digest FROM documents")
 def match_normalise(docs: DataFrame) -> DataFrame:
-    text = F.col("text")
-    for seen, plain in LIGATURES.items():
-        text = F.replace(text, F.lit(seen), F.lit(plain))
-    return docs.select("doc_id", F.md5(F.lower(F.trim(F.regexp_replace(text, r"\s+", " ")))).alias("digest"))
+    return docs.select("doc_id", F.md5(T.plain(F.col("text"))).alias("digest"))
 
 
 @query("strip_control", "documents", sql=r"SELECT doc_id, md5(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F\x7F]', '', 'g')) AS digest FROM documents")
@@ -56,23 +55,16 @@ def truncate_budget(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.when(F.length("text") <= 1000, F.col("text")).otherwise(F.concat(F.substring("text", 1, 800), F.lit(" [...] "), F.right("text", F.lit(200)))).alias("text"))
 
 
-@query("locate_exact", "documents", "benchmark", sql="SELECT doc_id, item_id, instr(d.text, b.text) - 1 AS char_start FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("locate_exact", "documents", "benchmark", sql=f"WITH q AS (SELECT item_id, {plain_sql('text')} AS needle FROM benchmark), d AS (SELECT doc_id, {plain_sql('text')} AS hay FROM documents) SELECT doc_id, item_id, 1.0::DOUBLE AS ratio FROM d JOIN q ON contains(hay, needle) WHERE length(needle) >= 15")
 def locate_exact(docs: DataFrame, quotes: DataFrame) -> DataFrame:
-    """Quotations that stand in a document word for word, found by their longest words first.
+    """Quotations that stand in a document word for word."""
+    return locate_quotes(docs, quotes.select(F.col("item_id").alias("quote_id"), F.col("text").alias("quote"))).where("ratio = 1").select("doc_id", F.col("quote_id").alias("item_id"), "ratio")
 
-    Both sides are joined on a rare word of the quotation, so documents aren't compared with all quotations.
-    """
-    words = F.array_distinct(F.split("text", r"\s+"))
-    key = F.element_at(F.array_sort(F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))), 1)["w"]
-    asked = quotes.select("item_id", F.col("text").alias("quote"), F.regexp_extract(key, r"^\W*(\w+)", 1).alias("word"))
-    tokens = docs.select("doc_id", F.explode(F.array_distinct(F.split("text", r"\W+"))).alias("word"))
-    met = tokens.join(asked, "word").select("doc_id", "item_id", "quote")
-    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.col("text").contains(F.col("quote"))).select("doc_id", "item_id", (F.instr("text", F.col("quote")) - 1).alias("char_start"))
 
-
-@query("guess_title", "documents", sql=f"WITH {LINES} SELECT doc_id, arg_min(trim(line), pos) AS title FROM lines WHERE pos < 12 AND length(trim(line)) BETWEEN 20 AND 250 GROUP BY doc_id")
+@query("guess_title", "documents", sql=f"WITH {LINES} SELECT doc_id, arg_min(trim(line), pos) AS title FROM lines WHERE pos < 12 AND length(trim(line)) BETWEEN 20 AND 250 AND NOT regexp_matches(line, '10\\.[0-9]{{4,9}}/') AND NOT regexp_matches(lower(trim(line)), '^(doi|http|www|received|accepted)') GROUP BY doc_id")
 def guess_title(docs: DataFrame) -> DataFrame:
-    fits = F.filter(F.slice(F.split("text", "\n"), 1, 12), lambda x: F.length(F.trim(x)).between(20, 250))
+    unlike = lambda x: ~x.rlike(T.DOI) & ~F.lower(F.trim(x)).rlike("^(doi|http|www|received|accepted)")
+    fits = F.filter(F.slice(F.split("text", "\n"), 1, 12), lambda x: F.length(F.trim(x)).between(20, 250) & unlike(x))
     return docs.select("doc_id", F.trim(F.get(fits, 0)).alias("title")).where("title IS NOT NULL")
 
 
@@ -82,19 +74,8 @@ def chunk_peak_norm(docs: DataFrame) -> DataFrame:
     return lines(docs).select("doc_id", "pos", F.round(F.length("line") / F.nullif(peak, F.lit(0)), 6).alias("score"))
 
 
-@query("screening_export", "documents", "labels", sql="SELECT d.doc_id, source, coalesce(CAST(quality AS STRING), '') AS decision, CASE WHEN quality = 1 AND toxic = 1 THEN 'conflict' WHEN quality = 1 THEN 'include' WHEN quality = 0 THEN 'exclude' ELSE '' END AS policy FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
-def screening_export(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    policy = F.when((F.col("quality") == 1) & (F.col("toxic") == 1), "conflict").when(F.col("quality") == 1, "include").when(F.col("quality") == 0, "exclude").otherwise("")
-    return docs.join(labels, "doc_id", "left").select("doc_id", "source", F.coalesce(F.col("quality").cast("string"), F.lit("")).alias("decision"), policy.alias("policy"))
-
-
 @query("json_lenient", "events", sql="SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
 def json_lenient(events: DataFrame) -> DataFrame:
-    fenced = F.concat(F.lit("```json\n"), "props", F.lit("\n```"))
-    return events.select("event_id", F.get_json_object(F.regexp_extract(fenced, r"(?s)(\{.*\})", 1), "$.k").cast("bigint").alias("k"))
-
-
-@query("licence_class", "pages", sql="SELECT page_id, CASE WHEN contains(lower(url), '/en/') THEN 'open' WHEN contains(lower(url), '/de/') THEN 'restricted' END AS category FROM pages")
-def licence_class(pages: DataFrame) -> DataFrame:
-    url = F.lower("url")
-    return pages.select("page_id", F.when(url.contains("/en/"), "open").when(url.contains("/de/"), "restricted").alias("category"))
+    """A number out of replies that are fenced or have prose around them."""
+    fenced = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit("```json\n"), "props", F.lit("\n```"))).otherwise(F.concat(F.lit("Sure: "), "props", F.lit(" as asked")))
+    return events.select("event_id", F.get_json_object(salvaged(fenced)["value"], "$.k").cast("bigint").alias("k"))

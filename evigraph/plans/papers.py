@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from evigraph.functions import salvage, text as T
 from evigraph.operators import documents as D
 from evigraph.plans.registry import query
+from evigraph.plans.text_sql import plain_sql
 
 LINES = "lines AS (SELECT doc_id, i - 1 AS pos, trim(l[i]) AS line, l[i] AS whole FROM (SELECT doc_id, string_split(text, chr(10)) AS l, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i FROM papers))"
 _KINDS = " ".join(f"WHEN regexp_matches(line, '(?i){T.HEADING_PREFIX}{p}') THEN '{k}'" for k, p in T.HEADINGS)
@@ -171,13 +172,6 @@ def document_struct(papers: DataFrame) -> DataFrame:
     return papers.select("doc_id", title.alias("title"), T.find_doi(F.col("text")).alias("doi"), F.length("text").alias("n_chars")).join(chunks, "doc_id", "left")
 
 
-_PLAIN = "trim(regexp_replace(translate(replace(replace(replace({0}, '­', ''), 'ﬁ', 'fi'), 'ﬂ', 'fl'), '‐‑–—‘’“”', '----''''\"\"'), '\\s+', ' ', 'g'))"
-
-
-def plain_sql(column: str) -> str:
-    return f"lower({_PLAIN.format(column)})"
-
-
 ASKED = "asked AS (SELECT item_id AS quote_id, CASE item_id % 3 WHEN 0 THEN text WHEN 1 THEN upper(substr(text, 1, 90)) ELSE replace(substr(text, 10, 60), ' ', '') END AS quote FROM benchmark)"
 
 

@@ -87,6 +87,20 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
                {_level('p_size % 3')} AS level, CASE WHEN p_size % 4 = 0 THEN concat('go:', p_size % 8) END AS curie, p_size AS n_source_rows FROM part
         UNION ALL SELECT p_partkey * 2 + 1, concat(CASE p_size % 4 WHEN 0 THEN 'mitochondrial ' WHEN 1 THEN 'nuclear increased ' WHEN 2 THEN 'NaV1.' ELSE 'voltage gated sodium channel ' END, CASE WHEN p_size % 4 = 2 THEN concat(p_size % 7, ' expression') ELSE lower(p_type) END), {_level('p_size % 4')},
                CASE WHEN p_size % 8 = 0 THEN 'GO:0' END, p_size + 3 FROM part"""),
+    "cells": (("part",), """
+        SELECT p_partkey AS row_id, p_partkey % 97 AS event, concat('increased event ', p_partkey % 97) AS label,
+               CASE p_size % 13 WHEN 0 THEN 'primary hepatocytes' WHEN 1 THEN 'Kupffer cells' WHEN 2 THEN 'rat OPCs' WHEN 3 THEN 'HK-2 line' WHEN 4 THEN 'Astrocytes, GFAP+' WHEN 5 THEN ' ' WHEN 6 THEN 'some other cell' WHEN 7 THEN 'axons of the optic nerve'
+                 WHEN 8 THEN 'HepG2' WHEN 9 THEN 'alveolar type II' WHEN 10 THEN NULL WHEN 11 THEN 'Sertoli cells' ELSE 'unknown line' END AS cell_type,
+               CASE WHEN p_partkey % 97 < 50 THEN p_brand ELSE 'Brand#1' END AS target, CASE p_size % 3 WHEN 0 THEN 'increased' WHEN 1 THEN 'Increased' ELSE 'decreased' END AS change
+        FROM part"""),
+    "tokens": (("part",), """
+        SELECT p_partkey AS token_id, CASE p_size % 10 WHEN 0 THEN concat('SCN', p_size, 'A') WHEN 1 THEN 'NaV1.6' WHEN 2 THEN 'MBP' WHEN 3 THEN 'the' WHEN 4 THEN p_name WHEN 5 THEN lower(p_brand) WHEN 6 THEN 'DNA' WHEN 7 THEN ' ALT ' WHEN 8 THEN 'x' ELSE concat('differentiat', CASE WHEN p_partkey % 2 = 0 THEN 'ion' ELSE 'ing' END) END AS token,
+               CASE p_size % 3 WHEN 0 THEN 'symbol' WHEN 1 THEN 'alias' END AS matched_by, concat(p_name, ' (', p_type, ') [', p_brand, '] Ca2+ "x"') AS phrase
+        FROM part"""),
+    "citations": (("supplier",), """
+        SELECT concat('10.1/', s_suppkey) AS doi, concat('Author', s_suppkey % 9) AS first_author, concat('Second', s_suppkey % 2) AS second_author, s_suppkey % 4 AS n_authors, CASE WHEN s_suppkey % 10 = 0 THEN NULL ELSE 2000 + s_suppkey % 5 END AS year, s_suppkey % 3 > 0 AS resolved,
+               concat('{"issued": {"date-parts": [[', CASE WHEN s_suppkey % 3 = 0 THEN 'null' ELSE CAST(2000 + s_suppkey % 5 AS STRING) END, ']]}, "published": {"date-parts": [[', 1990 + s_suppkey % 5, ', 2]]}}') AS message
+        FROM supplier"""),
     "telemetry": (("events",), "SELECT event_id, ts, user_id AS run_id, event_type, value, props FROM events"),
     "workflow_log": (("orders",), """
         SELECT o_orderkey AS log_id, o_custkey AS target_id, CASE WHEN o_custkey % 2 = 0 THEN 'ke' ELSE 'ker' END AS target_type, o_orderdate AS logged_at,
