@@ -17,11 +17,6 @@ def latest_states(log: DataFrame) -> DataFrame:
     return log.groupBy(*TARGET).agg(F.max_by("state", F.struct("logged_at", "log_id")).alias("state"), F.max("log_id").alias("last_log"))
 
 
-@query("state_frame", "workflow_log", sql=f"WITH {LATEST} SELECT target_type, target_id, state, substr(sha256(target_type || ':' || target_id || ':' || state), 1, 32) AS fingerprint FROM latest")
-def state_frame(log: DataFrame) -> DataFrame:
-    return latest_states(log).select(*TARGET, "state", F.substring(F.sha2(F.concat_ws(":", "target_type", "target_id", "state"), 256), 1, 32).alias("fingerprint"))
-
-
 @query("content_hash", "workflow_log", sql="SELECT log_id, substr(sha256(concat_ws('|', log_id, state, note)), 1, 32) AS hash FROM workflow_log")
 def content_hash(log: DataFrame) -> DataFrame:
     return log.select("log_id", F.substring(F.sha2(F.concat_ws("|", "log_id", "state", "note"), 256), 1, 32).alias("hash"))
@@ -39,11 +34,6 @@ def approval_gate(log: DataFrame) -> DataFrame:
     return latest_states(log).groupBy("target_type").agg(F.count("*").alias("n_targets"), F.count(F.when(~passed, 1)).alias("n_blocking"), F.bool_and(passed).alias("allowed"))
 
 
-@query("drifted", "workflow_log", sql=f"WITH {LATEST} SELECT target_type, target_id, state IN ('approved', 'synthesized') AND last_log % 3 = 0 AS drifted FROM latest")
-def drifted(log: DataFrame) -> DataFrame:
-    return latest_states(log).select(*TARGET, (F.col("state").isin("approved", "synthesized") & (F.col("last_log") % 3 == 0)).alias("drifted"))
-
-
 @query("approval_log", "workflow_log", sql="SELECT log_id, target_id, state FROM workflow_log WHERE target_type = 'ke' ORDER BY log_id DESC LIMIT 50")
 def approval_log(log: DataFrame) -> DataFrame:
     return log.where("target_type = 'ke'").select("log_id", "target_id", "state").orderBy(F.desc("log_id")).limit(50)
