@@ -15,19 +15,19 @@ that can only add pairs to verify.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.llm.workspace import ROW_KEY, Workspace, filed, located
 
 #: Similarity from which on the later line goes, as a fraction.
 PART, WHOLE = 4, 5
-#: Hash buckets in which words are counted, as bits; bits of the sieves that let most unwanted rows go before a shuffle.
-RARITY_BITS, SIEVE_BITS = 16, 20
+#: Hash buckets in which words are counted, as bits; places of the sieves that let most unwanted rows go before a shuffle, as bits.
+RARITY_BITS, SIEVE_BITS = 17, 22
 #: Prefix words that similar lines have in common at least (lines of one word: one).
 SHARED = 2
 #: A word in the prefixes of more lines than this first meets so many early lines of each band of sizes.
-HOT, PIVOTS = 256, 8
+HOT, PIVOTS = 512, 8
 #: Bands of line sizes in a doubling: sizes of similar lines differ by a factor of 1.25 at most, so by one band.
 BANDS = 3
 #: Bits of a word's 63-bit key that the join doesn't see.
@@ -46,25 +46,28 @@ def words_of(line: Column) -> Column:
     return F.array_except(_split(line), F.array(F.lit("")))
 
 
-def _constant(numbers: list[int], kind: str) -> Column:
-    """An array of fixed size as a constant of the plan, which the optimiser folds; joined in, it would be copied for every row."""
-    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
+def _table(cells: DataFrame, size: int, space: Workspace, name: str) -> DataFrame:
+    """``cells`` (at, value) as one row with an array of ``size`` numbers, a fixed bound; places without a cell are 0.
+
+    Used as a scalar subquery, the array is read from its place in memory; as a literal its numbers would be objects
+    and stand in every plan's text, and joined in it would be copied for every row.
+    """
+    every = cells.sparkSession.range(size).withColumnRenamed("id", "at").join(cells.select(F.col("at").cast("bigint").alias("at"), "value"), "at", "left")
+    listed = F.transform(F.sort_array(F.collect_list(F.struct("at", F.coalesce("value", F.lit(0).cast("bigint")).alias("value")))), lambda c: c["value"])
+    return space.put(every.agg(listed.alias("cells")).coalesce(1), name)
 
 
-def _sieve(rows: DataFrame, number: str) -> list[int]:
-    """The low SIEVE_BITS bits of the column ``number`` of all rows as a bitmap, 64 places to an entry."""
+def _sieve(rows: DataFrame, number: str, space: Workspace, name: str) -> DataFrame:
+    """The low SIEVE_BITS bits of the column ``number`` of all rows as a bitmap, 64 places to a number."""
     place = F.col(number).cast("bigint").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    marks = rows.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({number} & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("bits"))
-    sieve = [0] * (1 << (SIEVE_BITS - 6))
-    for at, bits in marks.toLocalIterator():
-        sieve[at] = bits
-    return sieve
+    marks = rows.select(F.shiftright(place, 6).alias("at"), F.expr(f"shiftleft(1L, cast({number} & 63 AS int))").alias("bit")).groupBy("at").agg(F.bit_or("bit").alias("value"))
+    return _table(marks, 1 << (SIEVE_BITS - 6), space, name)
 
 
-def _passes(sieve: list[int], number: str) -> Column:
+def _passes(sieve: DataFrame, number: str) -> Column:
     """Whether a number may be one of the sieve's; true for all of them and for some others."""
     place = F.col(number).cast("bigint").bitwiseAND(F.lit((1 << SIEVE_BITS) - 1))
-    return F.getbit(F.get(_constant(sieve, "bigint"), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+    return F.getbit(F.get(sieve.scalar(), F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
 
 
 def _lines(docs: DataFrame, text_col: str, *more: str | Column) -> DataFrame:
@@ -77,29 +80,25 @@ def _prints() -> list[Column]:
     return [F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(11), "line").alias("h2")]
 
 
-def _rarity(docs: DataFrame, text_col: str) -> list[int]:
-    """How often words of every hash bucket occur: a list of fixed size."""
-    size = 1 << RARITY_BITS
+def _rarity(docs: DataFrame, text_col: str, space: Workspace) -> DataFrame:
+    """(bucket, n): how often words of every hash bucket occur, for a fixed number of buckets."""
     text = _split(F.replace(F.coalesce(F.col(text_col), F.lit("")), F.lit("\n"), F.lit(" ")))
     words = docs.select(F.explode(text).alias("w")).where("w <> ''")
-    counts = [0] * size
-    for bucket, n in words.groupBy(F.xxhash64("w").bitwiseAND(F.lit(size - 1)).alias("bucket")).agg(F.count("*").alias("n")).toLocalIterator():
-        counts[bucket] = n
-    return counts
+    bucket = F.xxhash64("w").bitwiseAND(F.lit((1 << RARITY_BITS) - 1)).alias("bucket")
+    return space.put(words.groupBy(bucket).agg(F.count("*").alias("n")), "rarity")
 
 
-def _unique(docs: DataFrame, counts: list[int], space: Workspace) -> DataFrame:
+def _unique(docs: DataFrame, counts: DataFrame, space: Workspace) -> DataFrame:
     """Each different line that has words: uid, h1, h2, n (occurrences), at (the first), size, prefix and bits."""
-    mask = (1 << RARITY_BITS) - 1
-    ranks = [0] * len(counts)
-    for rank, bucket in enumerate(sorted(range(len(counts)), key=lambda k: (counts[k], k))):
-        ranks[bucket] = rank << (63 - RARITY_BITS)
-    table = _constant(ranks, "bigint")
+    size = 1 << RARITY_BITS
+    every = docs.sparkSession.range(size).withColumnRenamed("id", "bucket").join(counts, "bucket", "left")
+    rank = F.row_number().over(Window.orderBy(F.coalesce("n", F.lit(0)), "bucket")) - 1  # of a fixed number of buckets
+    ranks = _table(every.select(F.col("bucket").alias("at"), F.shiftleft(rank.cast("bigint"), 63 - RARITY_BITS).alias("value")), size, space, "ranks")
     # The rank of the bucket in place of the bucket keeps all but one of the bits of the hash.  Keys that can't be null are
     # sorted as plain numbers.
-    own = lambda w: F.coalesce(F.get(table, F.xxhash64(w).bitwiseAND(F.lit(mask)).cast("int")), F.lit(0).cast("bigint"))
+    own = lambda w: F.coalesce(F.get("ranks", F.xxhash64(w).bitwiseAND(F.lit(size - 1)).cast("int")), F.lit(0).cast("bigint"))
     key = lambda w: own(w).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), RARITY_BITS + 1))
-    lines = _lines(docs, "text", "doc_id", *ROW_KEY)
+    lines = _lines(docs, "text", "doc_id", *ROW_KEY).withColumn("ranks", ranks.scalar())
     keyed = lines.select("doc_id", *ROW_KEY, "pos", *_prints(), F.sort_array(F.transform(words_of(F.col("line")), key)).alias("keys")).where("size(keys) > 0")
     size = F.size("keys")
     # The longest prefix that may hold the first common word is size - ceil(size * T) + 1.
@@ -143,7 +142,7 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, space: Work
     pairs = space.put(pairs, f"{name}-pairs")
     known = unique.select("uid", "h1", "h2", "at")
     wanted = space.put(pairs.select(F.explode(F.array("a", "b")).alias("uid")).distinct().join(known.hint("merge"), "uid"), f"{name}-wanted")
-    kept = _lines(docs, "text").select("line", *_prints()).where(_passes(_sieve(wanted, "h1"), "h1"))
+    kept = _lines(docs, "text").select("line", *_prints()).where(_passes(_sieve(wanted, "h1", space, f"{name}-sieve"), "h1"))
     one = kept.groupBy("h1", "h2").agg(F.first("line").alias("line"))
     texts = space.put(wanted.join(one.hint("merge"), ["h1", "h2"]).select("uid", "at", "line"), f"{name}-texts", compression="zstd")
     # Short hashes of words, of which a set may have fewer than words: their overlap is taken as at least that of the words.
@@ -174,19 +173,20 @@ def _confirmed(pairs: DataFrame, unique: DataFrame, docs: DataFrame, space: Work
     return gone
 
 
-def _removed(docs: DataFrame, unique: DataFrame, counts: list[int], space: Workspace) -> DataFrame:
+def _removed(docs: DataFrame, unique: DataFrame, counts: DataFrame, space: Workspace) -> DataFrame:
     """The different lines (uid) that an earlier one removes."""
-    # A word in many prefixes is in a bucket of many words, and buckets are ordered by their number.
-    first_common = sum(n <= HOT for n in counts) << (31 - RARITY_BITS)
-    often = unique.select(F.explode("prefix").alias("word")).where(F.col("word") >= F.lit(min(first_common, 2**31 - 1))).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT)
-    sieve = _sieve(often, "word")
+    # A word in many prefixes is in a bucket of many words, and words are ordered by the number of their bucket.
+    rare = (1 << RARITY_BITS) - counts.where(F.col("n") > HOT).count()
+    often = space.put(unique.select(F.explode("prefix").alias("word")).where(F.col("word") >= F.lit(min(rare << (31 - RARITY_BITS), 2**31 - 1))).groupBy("word").agg(F.count("*").alias("n")).where(F.col("n") > HOT), "often")
+    any_hot = not often.isEmpty()
+    sieve = _sieve(often, "word", space, "often-sieve") if any_hot else None
     spot = F.shiftleft(F.col("size").cast("bigint"), 32).bitwiseOR(F.col("place0") + 1)
     posted = unique.select("uid", "at", "size", "bits", F.posexplode("prefix").alias("place0", "word")).withColumn("spot", spot)
-    is_hot = _passes(sieve, "word") if any(sieve) else F.lit(False)
+    is_hot = _passes(sieve, "word") if any_hot else F.lit(False)
     small = posted.where(~is_hot).select("word", "uid", "spot", "bits")
     met = _met(small, small, ["word"], F.col("a.uid") < F.col("b.uid"))
     first = None
-    if any(sieve):
+    if any_hot:
         band = F.floor(F.log2("size") * BANDS).cast("int")
         hot = space.put(posted.where(is_hot).select("word", "uid", "at", "spot", "bits", band.alias("band")), "hot", compression="zstd")
         near = lambda rows: rows.withColumn("band", F.explode(F.array(F.col("band") - 1, F.col("band"), F.col("band") + 1)))
@@ -212,12 +212,12 @@ def line_marks(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     space = Workspace(docs.sparkSession, "lines")
     docs = located(filed(docs, space), F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    counts = _rarity(docs, "text")
+    counts = _rarity(docs, "text", space)
     unique = _unique(docs, counts, space)
     gone = _removed(docs, unique, counts, space).withColumn("gone", F.lit(True))
     told = unique.select("uid", "n", "h1", "h2", "at").join(gone.hint("merge"), "uid", "left").select("n", "h1", "h2", "at", F.coalesce("gone", F.lit(False)).alias("gone"))
     told = space.put(told.where("gone OR n > 1").drop("n"), "told", compression="zstd")
-    places = _lines(docs, "text", *ROW_KEY).select(*ROW_KEY, "pos", *_prints()).where(_passes(_sieve(told, "h1"), "h1"))
+    places = _lines(docs, "text", *ROW_KEY).select(*ROW_KEY, "pos", *_prints()).where(_passes(_sieve(told, "h1", space, "told-sieve"), "h1"))
     own = F.col("pos") == F.col("at.pos")
     for name in ROW_KEY:
         own &= F.col(name) == F.col(f"at.{name}")
