@@ -150,11 +150,6 @@ def insert_if_absent(alias: DataFrame, canonical: DataFrame) -> DataFrame:
     return alias.select(F.lower(F.trim("raw_label")).alias("name")).distinct().join(have, "name", "left_anti")
 
 
-@query("agreed_abbrev", "alias", sql="SELECT upper(substr(raw_label, 1, 3)) AS abbrev, count(DISTINCT raw_label) AS n_forms, CASE WHEN count(DISTINCT raw_label) = 1 THEN min(raw_label) END AS agreed FROM alias GROUP BY 1")
-def agreed_abbrev(alias: DataFrame) -> DataFrame:
-    return alias.groupBy(F.upper(F.substring("raw_label", 1, 3)).alias("abbrev")).agg(F.countDistinct("raw_label").alias("n_forms"), F.when(F.countDistinct("raw_label") == 1, F.min("raw_label")).alias("agreed"))
-
-
 @query("recount_source_rows", "claims", sql="SELECT event, count(*) AS n_source_rows FROM (SELECT up_id AS event FROM claims UNION ALL SELECT down_id FROM claims WHERE down_id <> up_id) GROUP BY event")
 def recount_source_rows(claims: DataFrame) -> DataFrame:
     return claims.select("record_key", F.explode(F.array_distinct(F.array("up_id", "down_id"))).alias("event")).groupBy("event").agg(F.count("*").alias("n_source_rows"))

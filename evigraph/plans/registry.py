@@ -22,7 +22,9 @@ def query(name: str, *tables: str, sql: str | None = None) -> Callable:
         if sql is not None:
             views = [t for t in tables if t in VIEWS]
             body = sql.strip()
-            if views and body[:5].upper() == "WITH ":
+            if views and body[:15].upper() == "WITH RECURSIVE ":
+                body = f"WITH RECURSIVE {view_sql(*views)[5:]}, {body[15:]}"
+            elif views and body[:5].upper() == "WITH ":
                 body = f"{view_sql(*views)}, {body[5:]}"
             elif views:
                 body = f"{view_sql(*views)} {body}"
