@@ -14,12 +14,15 @@ from evigraph.functions.labels import token_key
 WEIGHTS = {"sequence": 0.45, "jaccard": 0.40, "containment": 0.15}
 
 
-@F.pandas_udf("double")
-def sequence_ratio(left: pd.Series, right: pd.Series) -> pd.Series:
-    """How much of two texts matches in order, from 0 to 1."""
+def _ratios(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, *pair, autojunk=False).ratio() for pair in zip(left, right, strict=True)], dtype="float64")
 
 
+def sequence_ratio(left: Column | str, right: Column | str) -> Column:
+    """How much of two texts matches in order, from 0 to 1."""
+    return F.pandas_udf(_ratios, "double")(left, right)
+
+
 def label_similarity(a: Column | str, b: Column | str) -> Column:
     """A blend of sequence ratio (as written or with words sorted, whichever is better), shared words and containment; 0 to 1."""
     left, right = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))

@@ -1,7 +1,9 @@
-"""Entity resolution: labels to events, by the rules for registry ids, token order and similarity (the CURIE rule is left out)."""
+"""Entity resolution: labels to events, by the rules for registry ids, ontology terms, token order and similarity, in the order of their authority."""
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,9 +13,24 @@ from evigraph.operators.graphs import components
 
 
 def buckets(labels: DataFrame) -> DataFrame:
-    """One row per normal form of ``labels`` (label, level, wiki_id)."""
+    """One row per normal form of ``labels`` (label, level, wiki_id, and perhaps curie and match, how sure the term is)."""
+    for name, kind in (("curie", "string"), ("match", "double")):
+        if name not in labels.columns:
+            labels = labels.withColumn(name, F.lit(None).cast(kind))
     rows = labels.withColumn("normal", L.normalise(F.col("label"))).where("normal <> ''")
-    return rows.groupBy("normal").agg(F.min("level").alias("level"), F.min("wiki_id").alias("wiki_id"), F.min(L.polarity(F.col("label"))).alias("polarity"), F.count("*").alias("n_labels"))
+    surest = F.max_by(F.upper("curie"), F.struct("match", F.upper("curie")))
+    return rows.groupBy("normal").agg(F.min("level").alias("level"), F.min("wiki_id").alias("wiki_id"), surest.alias("curie"), F.max("match").alias("match"), F.min(L.polarity(F.col("label"))).alias("polarity"), F.count("*").alias("n_labels"))
+
+
+#: How sure a term must be for labels to be joined by it (fixed value).
+SURE_TERM = 0.75
+
+
+def curie_links(forms: DataFrame) -> DataFrame:
+    """(a, b): forms and the first form of the same ontology term, if both are sure and don't point opposite ways."""
+    sure = forms.where((F.col("curie").isNotNull()) & (F.col("match") >= SURE_TERM))
+    anchors = sure.groupBy("curie").agg(F.min("normal").alias("b"), F.min_by("polarity", "normal").alias("p"))
+    return sure.join(anchors, "curie").where((F.col("normal") != F.col("b")) & (F.col("polarity") * F.col("p") >= 0)).select(F.col("normal").alias("a"), "b")
 
 
 def fuzzy_pairs(forms: DataFrame, threshold: float = 0.86) -> DataFrame:
@@ -45,10 +62,12 @@ def canonical_events(labels: DataFrame, threshold: float = 0.86) -> DataFrame:
     forms = forms.withColumn("tokens", L.token_key(F.col("normal")))
     same_tokens = forms.groupBy("tokens", "level", "polarity").agg(F.min("normal").alias("b"))
     by_tokens = forms.join(same_tokens, ["tokens", "level", "polarity"]).where("normal <> b").select(F.col("normal").alias("a"), "b")
-    rules = [anchored("wiki_id").withColumn("rule", F.lit(1)), by_tokens.withColumn("rule", F.lit(2)), fuzzy_pairs(forms, threshold).select("a", "b").withColumn("rule", F.lit(3))]
-    links = rules[0].union(rules[1]).union(rules[2])
+    rules = (anchored("wiki_id"), curie_links(forms), by_tokens, fuzzy_pairs(forms, threshold).select("a", "b"))
+    links = reduce(DataFrame.union, (pairs.withColumn("rule", F.lit(i)) for i, pairs in enumerate(rules, 1)))
     comps = components(forms.select(F.col("normal").alias("node")), links)
     touched = links.select(F.explode(F.array("a", "b")).alias("normal"), "rule").groupBy("normal").agg(F.min("rule").alias("rule"))
-    basis = F.when(F.col("rule") == 1, "registry").when(F.col("rule") == 2, "token_order").when(F.col("rule") == 3, "similar").otherwise("own_group")
+    basis = F.lit("own_group")
+    for i, name in enumerate(("registry", "term", "token_order", "similar"), 1):
+        basis = F.when(F.col("rule") == i, name).otherwise(basis)
     rows = labels.withColumn("normal", L.normalise(F.col("label")))
     return rows.join(comps.toDF("normal", "event"), "normal").join(touched, "normal", "left").select("label", "normal", "event", basis.alias("basis"))

@@ -10,15 +10,17 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The checkpoint folder of the session; a temporary one only where none is named."""
+    """The checkpoint folder of the session; a temporary one only where a local session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
     folder = tempfile.mkdtemp(prefix="evigraph-")
     atexit.register(shutil.rmtree, folder, True)
     spark.sparkContext.setCheckpointDir(f"file://{folder}")
@@ -35,6 +37,16 @@ def stored(frame: DataFrame) -> DataFrame:
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def numbered(frame: DataFrame, *order: Column) -> DataFrame:
+    """``frame`` with ``index`` from 0 in an order, without bringing its rows to one task: ranges are numbered by themselves,
+    and begin where the ranges before them end."""
+    ranged = stored(frame.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # a row for each range
+    starts = sizes.withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0))).select("_part", "_first", "_start")
+    return ranged.join(F.broadcast(starts), "_part").withColumn("index", F.col("_start") + F.col("_at") - F.col("_first")).drop("_part", "_at", "_first", "_start")
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) for every row of ``nodes`` (node): the least node connected by ``links`` (a, b).
 

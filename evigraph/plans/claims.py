@@ -30,9 +30,9 @@ def scan_claims(claims: DataFrame) -> DataFrame:
     return claims.select("record_id", "record_key", "up_name", "down_name", "direction", "doi").orderBy("record_id", "record_key")
 
 
-@query("point_lookup", "claims", sql="SELECT record_key, up_id, down_id, doi FROM claims WHERE record_id = 8011")
+@query("point_lookup", "claims", sql="SELECT record_key, up_id, down_id, doi FROM claims WHERE record_id = 11")
 def point_lookup(claims: DataFrame) -> DataFrame:
-    return claims.where("record_id = 8011").select("record_key", "up_id", "down_id", "doi")
+    return claims.where("record_id = 11").select("record_key", "up_id", "down_id", "doi")
 
 
 @query("distinct_dois", "claims", sql="SELECT DISTINCT doi FROM claims WHERE doi IS NOT NULL")
@@ -140,24 +140,24 @@ ITEMS = "i AS (SELECT up_id, trim(unnest(string_split(stressor, ';'))) AS item F
 
 @query("rank_items", "claims", sql=f"WITH {ITEMS} SELECT up_id, item, n, row_number() OVER (PARTITION BY up_id ORDER BY n DESC, length(item) DESC, item) AS rank FROM r")
 def rank_items(claims: DataFrame) -> DataFrame:
-    from evigraph.operators.edges import ranked_items
+    from evigraph.operators.edges import Text, ranked_items
 
     order = Window.partitionBy("up_id").orderBy(F.desc("n"), F.desc(F.length("item")), "item")
-    return ranked_items(claims, "up_id", {"s": "stressor"}).select("up_id", "item", "n", F.row_number().over(order).alias("rank"))
+    return ranked_items(claims, ["up_id"], {"s": Text(("stressor",))}).select("up_id", "item", "n", F.row_number().over(order).alias("rank"))
 
 
 @query("join_unique_topn", "claims", sql=f"WITH {ITEMS} SELECT up_id, array_to_string(list(item ORDER BY n DESC, length(item) DESC, item)[1:8], '; ') AS stressors FROM r GROUP BY up_id")
 def join_unique_topn(claims: DataFrame) -> DataFrame:
-    from evigraph.operators.edges import ranked_lists
+    from evigraph.operators.edges import Text, ranked_lists
 
-    return ranked_lists(claims, "up_id", {"stressors": ("stressor", 8)})
+    return ranked_lists(claims, ["up_id"], {"stressors": Text(("stressor",), 8)})
 
 
 @query("consensus_value", "claims", sql=f"WITH {ITEMS} SELECT up_id, arg_min(item, (-n, -length(item), item)) AS stressor FROM r GROUP BY up_id")
 def consensus_value(claims: DataFrame) -> DataFrame:
-    from evigraph.operators.edges import ranked_lists
+    from evigraph.operators.edges import Text, ranked_lists
 
-    return ranked_lists(claims, "up_id", {"stressor": ("stressor", 1)})
+    return ranked_lists(claims, ["up_id"], {"stressor": Text(("stressor",), 1)})
 
 
 @query("confidence_score", "claims", sql="""WITH g AS (SELECT up_id, count(DISTINCT doi) AS s, count(*) FILTER (contradicts) AS k, sum(n_verified) / sum(n_spans) AS v FROM claims GROUP BY up_id)
@@ -184,9 +184,19 @@ def event_claims(claims: DataFrame) -> DataFrame:
     return claims.where("up_id = 13 OR down_id = 13").select("record_key", side.alias("side"), F.when(side == "up", F.col("up_change")).otherwise(F.col("down_change")).alias("change")).where("change IS NOT NULL")
 
 
-@query("node_evidence", "claims", sql=f"WITH {ENDS} SELECT event, count(*) AS n_claims, count(DISTINCT doi) AS n_papers, list_sort(list_distinct(list(cell_type) FILTER (cell_type IS NOT NULL)))[1:4] AS cells FROM ends GROUP BY event")
+def first_items(rows: DataFrame, keys: list[str], column: str, most: int, out: str) -> DataFrame:
+    """(keys, out): the first items of a column by key; what is beyond them is dropped before anything is collected."""
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(column))
+    kept = rows.where(F.col(column).isNotNull()).select(*keys, column).distinct().withColumn("place", place).where(F.col("place") <= most)
+    return kept.groupBy(*keys).agg(F.sort_array(F.collect_list(column)).alias(out))
+
+
+@query("node_evidence", "claims", sql=f"WITH {ENDS} SELECT event, count(*) AS n_claims, count(DISTINCT doi) AS n_papers, list_sort(list_distinct(list(change) FILTER (change IS NOT NULL)))[1:6] AS changes, coalesce(list_sort(list_distinct(list(cell_type) FILTER (cell_type IS NOT NULL)))[1:4], []) AS cells FROM ends GROUP BY event")
 def node_evidence(claims: DataFrame) -> DataFrame:
-    return ends(claims).groupBy("event").agg(F.count("*").alias("n_claims"), F.countDistinct("doi").alias("n_papers"), F.slice(F.sort_array(F.collect_set("cell_type")), 1, 4).alias("cells"))
+    rows = ends(claims)
+    counted = rows.groupBy("event").agg(F.count("*").alias("n_claims"), F.countDistinct("doi").alias("n_papers"))
+    listed = counted.join(first_items(rows, ["event"], "change", 6, "changes"), "event", "left").join(first_items(rows, ["event"], "cell_type", 4, "cells"), "event", "left")
+    return listed.withColumn("cells", F.coalesce("cells", F.array().cast("array<string>")))
 
 
 CHANGES = f"WITH {ENDS}, ch AS (SELECT event, change, count(*) AS n FROM ends WHERE change IS NOT NULL GROUP BY 1, 2)"
@@ -211,9 +221,19 @@ def context_conflicts(claims: DataFrame) -> DataFrame:
     return ends(claims).groupBy("event").agg(F.countDistinct("cell_type").alias("n_contexts")).where("n_contexts > 1")
 
 
-@query("label_evidence", "claims", sql=f"WITH {ENDS} SELECT label, count(*) AS n_claims, count(DISTINCT doi) AS n_papers, min(level) AS level FROM ends GROUP BY label")
+@query("label_evidence", "claims", sql=f"""WITH {ENDS}, m AS (SELECT label, arg_min(level, (-n, lane)) AS level FROM (SELECT label, level, count(*) AS n, list_position(['MIE','Molecular','Cellular','Tissue','Organ','Individual','Population'], level) AS lane FROM ends GROUP BY 1, 2) GROUP BY label),
+    t AS (SELECT label, list(change ORDER BY n DESC, change)[1:3] AS changes FROM (SELECT label, change, count(*) AS n FROM ends WHERE change IS NOT NULL GROUP BY 1, 2) GROUP BY label)
+    SELECT e.label, count(*) AS n_claims, count(DISTINCT doi) AS n_papers, m.level, t.changes FROM ends e JOIN m ON m.label = e.label LEFT JOIN t ON t.label = e.label GROUP BY e.label, m.level, t.changes""")
 def label_evidence(claims: DataFrame) -> DataFrame:
-    return ends(claims).groupBy("label").agg(F.count("*").alias("n_claims"), F.countDistinct("doi").alias("n_papers"), F.min("level").alias("level"))
+    """Claims, papers, the usual level and the three most frequent changes of every label."""
+    from evigraph.operators.edges import modal_level
+
+    rows = ends(claims)
+    counted = rows.where("change IS NOT NULL").groupBy("label", "change").agg(F.count("*").alias("n"))
+    place = F.row_number().over(Window.partitionBy("label").orderBy(F.desc("n"), "change"))
+    top = counted.withColumn("place", place).where("place <= 3").groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "change"))), lambda s: s["change"]).alias("changes"))
+    summed = rows.groupBy("label").agg(F.count("*").alias("n_claims"), F.countDistinct("doi").alias("n_papers"))
+    return summed.join(modal_level(rows, "label", "level", "level"), "label").join(top, "label", "left")
 
 
 @query("relationship_roster", "claims", sql="SELECT up_id, down_id, count(*) AS n_claims, count(DISTINCT doi) AS n_papers, up_id % 2 = 0 AND down_id % 3 > 0 AS both_approved FROM claims GROUP BY up_id, down_id")
@@ -225,8 +245,11 @@ def relationship_roster(claims: DataFrame) -> DataFrame:
 @query("approved_edges", "claims", sql="""SELECT up_id, down_id, n AS n_claims, CASE WHEN k * 2 > n THEN 'contradictory' WHEN k > 0 THEN 'mixed' ELSE 'supporting' END AS verdict, any_adjacent, dois[1:6] AS dois FROM (
     SELECT up_id, down_id, count(*) AS n, count(*) FILTER (contradicts) AS k, bool_or(adjacency = 'Adjacent') AS any_adjacent, coalesce(list_sort(list_distinct(list(doi) FILTER (doi IS NOT NULL))), []) AS dois FROM claims WHERE up_id % 2 = 0 AND down_id % 3 > 0 GROUP BY 1, 2)""")
 def approved_edges(claims: DataFrame) -> DataFrame:
-    g = claims.where("up_id % 2 = 0 AND down_id % 3 > 0").groupBy("up_id", "down_id").agg(F.count("*").alias("n_claims"), F.count(F.when(F.col("contradicts"), 1)).alias("k"), F.bool_or(F.col("adjacency") == "Adjacent").alias("any_adjacent"), F.slice(F.sort_array(F.collect_set("doi")), 1, 6).alias("dois"))
-    return g.select("up_id", "down_id", "n_claims", F.when(F.col("k") * 2 > F.col("n_claims"), "contradictory").when(F.col("k") > 0, "mixed").otherwise("supporting").alias("verdict"), "any_adjacent", "dois")
+    rows = claims.where("up_id % 2 = 0 AND down_id % 3 > 0")
+    g = rows.groupBy("up_id", "down_id").agg(F.count("*").alias("n_claims"), F.count(F.when(F.col("contradicts"), 1)).alias("k"), F.bool_or(F.col("adjacency") == "Adjacent").alias("any_adjacent"))
+    g = g.join(first_items(rows, ["up_id", "down_id"], "doi", 6, "dois"), ["up_id", "down_id"], "left")
+    verdict = F.when(F.col("k") * 2 > F.col("n_claims"), "contradictory").when(F.col("k") > 0, "mixed").otherwise("supporting")
+    return g.select("up_id", "down_id", "n_claims", verdict.alias("verdict"), "any_adjacent", F.coalesce("dois", F.array().cast("array<string>")).alias("dois"))
 
 
 @query("available_edges", "claims", sql="SELECT up_id % 2 = 0 AND down_id % 3 > 0 AS allowed, count(DISTINCT (up_id, down_id)) AS n_edges, count(DISTINCT doi) AS n_papers FROM claims GROUP BY 1")
@@ -250,10 +273,10 @@ def papers_rollup(claims: DataFrame) -> DataFrame:
 
 
 @query("corpus_counts", "claims", sql=f"""SELECT (SELECT count(*) FROM claims) AS n_claims, (SELECT count(DISTINCT {PAPER}) FROM claims) AS n_papers, (SELECT count(*) FROM (SELECT DISTINCT up_id, down_id FROM claims)) AS n_edges,
-    (SELECT count(*) FROM (SELECT up_name FROM claims UNION ALL SELECT down_name FROM claims)) AS n_mentions, (SELECT count(*) FROM (SELECT up_name FROM claims UNION SELECT down_name FROM claims)) AS n_labels""")
+    (SELECT count(*) FROM (SELECT up_name FROM claims UNION ALL SELECT down_name FROM claims)) AS n_mentions, (SELECT count(*) FROM (SELECT up_name FROM claims UNION SELECT down_name FROM claims)) AS n_labels, (SELECT count(*) FROM claims WHERE contradicts) AS n_contradicting, (SELECT CAST(sum(n_spans) AS BIGINT) FROM claims) AS n_spans""")
 def corpus_counts(claims: DataFrame) -> DataFrame:
     labels = ends(claims).agg(F.count("label").alias("n_mentions"), F.countDistinct("label").alias("n_labels"))
-    counted = claims.agg(F.count("*").alias("n_claims"), F.countDistinct(_paper()).alias("n_papers"), F.countDistinct("up_id", "down_id").alias("n_edges"))
+    counted = claims.agg(F.count("*").alias("n_claims"), F.countDistinct(_paper()).alias("n_papers"), F.countDistinct("up_id", "down_id").alias("n_edges"), F.count(F.when(F.col("contradicts"), 1)).alias("n_contradicting"), F.sum("n_spans").alias("n_spans"))
     return counted.crossJoin(labels)  # one row each
 
 
@@ -274,9 +297,12 @@ def node_level_mode(claims: DataFrame) -> DataFrame:
     return modal_level(ends(claims), "event", "noisy_level", "level")
 
 
-@query("initial_order", "claims", sql=f"WITH {ENDS}, n AS (SELECT DISTINCT event, level FROM ends) SELECT event, level, row_number() OVER (PARTITION BY level ORDER BY event) - 1 AS place FROM n")
+@query("initial_order", "claims", sql=f"WITH {ENDS}, m AS (SELECT event, arg_min(level, (-n, lane)) AS level FROM (SELECT event, level, count(*) AS n, list_position(['MIE','Molecular','Cellular','Tissue','Organ','Individual','Population'], level) AS lane FROM ends GROUP BY 1, 2) GROUP BY event) SELECT event, level, row_number() OVER (PARTITION BY level ORDER BY event) - 1 AS place FROM m")
 def initial_order(claims: DataFrame) -> DataFrame:
-    return ends(claims).select("event", "level").distinct().withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("event")) - 1)
+    from evigraph.operators.edges import modal_level
+
+    placed = modal_level(ends(claims), "event", "level", "level")
+    return placed.withColumn("place", F.row_number().over(Window.partitionBy("level").orderBy("event")) - 1)
 
 
 @query("role_graph", "claims", sql="SELECT DISTINCT up_id, down_id FROM claims WHERE up_id <> down_id")
@@ -296,35 +322,23 @@ def override_ends(claims: DataFrame) -> DataFrame:
     return claims.join(over, "record_key", "left").select("record_key", F.coalesce("new_up", "up_id").alias("up_id"), F.coalesce("new_down", "down_id").alias("down_id"))
 
 
-@query("synthesis_blocks", "claims", sql="""WITH r AS (SELECT up_id, record_id, record_key, row_number() OVER (PARTITION BY up_id ORDER BY lower(doi) NULLS FIRST, record_id, record_key) AS k, concat_ws(' | ', doi, essentiality, quantitative) AS body FROM claims WHERE down_id = 4)
-    SELECT up_id, string_agg('[' || k || '] ' || body, chr(10) ORDER BY k) AS prompt FROM r GROUP BY up_id""")
-def synthesis_blocks(claims: DataFrame) -> DataFrame:
-    return blocks_by(claims.where("down_id = 4"), "up_id")
-
-
-@query("synthesis_blocks_all", "claims", sql="""WITH r AS (SELECT up_id, down_id, record_id, record_key, row_number() OVER (PARTITION BY up_id, down_id ORDER BY lower(doi) NULLS FIRST, record_id, record_key) AS k, concat_ws(' | ', doi, essentiality, quantitative) AS body FROM claims)
+@query("synthesis_blocks", "claims", sql="""WITH r AS (SELECT up_id, down_id, concat_ws(' | ', doi, essentiality, quantitative) AS body, row_number() OVER (PARTITION BY up_id, down_id ORDER BY lower(doi) NULLS FIRST, record_id, record_key, concat_ws(' | ', doi, essentiality, quantitative)) AS k FROM claims)
     SELECT up_id, down_id, string_agg('[' || k || '] ' || body, chr(10) ORDER BY k) AS prompt FROM r GROUP BY up_id, down_id""")
-def synthesis_blocks_all(claims: DataFrame) -> DataFrame:
-    """The prompts of all edges, where ``synthesis_blocks`` has those to one event only."""
+def synthesis_blocks(claims: DataFrame) -> DataFrame:
     return blocks_by(claims, "up_id", "down_id")
 
 
 def blocks_by(claims: DataFrame, *keys: str) -> DataFrame:
     """One prompt for each key: numbered claims in a fixed order."""
-    order = Window.partitionBy(*keys).orderBy(F.lower("doi"), "record_id", "record_key")
-    rows = claims.select(*keys, F.row_number().over(order).alias("k"), F.concat_ws(" | ", "doi", "essentiality", "quantitative").alias("body"))
+    body = F.concat_ws(" | ", "doi", "essentiality", "quantitative")
+    order = Window.partitionBy(*keys).orderBy(F.lower("doi"), "record_id", "record_key", body)
+    rows = claims.select(*keys, F.row_number().over(order).alias("k"), body.alias("body"))
     blocks = F.transform(F.sort_array(F.collect_list(F.struct("k", "body"))), lambda s: F.concat(F.lit("["), s["k"].cast("string"), F.lit("] "), s["body"]))
     return rows.groupBy(*keys).agg(F.array_join(blocks, "\n").alias("prompt"))
 
 
-@query("scan_spans_citation", "claims", sql="SELECT record_key, concat_ws(' — ', coalesce(doi, filename), 'p. ' || n_spans) AS citation, n_verified = n_spans AS verified FROM claims WHERE up_id < 20")
+@query("scan_spans_citation", "claims", sql="SELECT record_key, concat_ws(' — ', coalesce(doi, filename), 'p. ' || n_spans) AS citation, n_verified = n_spans AS verified FROM claims")
 def scan_spans_citation(claims: DataFrame) -> DataFrame:
-    return scan_spans_citation_all(claims.where("up_id < 20"))
-
-
-@query("scan_spans_citation_all", "claims", sql="SELECT record_key, concat_ws(' — ', coalesce(doi, filename), 'p. ' || n_spans) AS citation, n_verified = n_spans AS verified FROM claims")
-def scan_spans_citation_all(claims: DataFrame) -> DataFrame:
-    """The citations of all claims, where ``scan_spans_citation`` has those of some events only."""
     return claims.select("record_key", F.concat_ws(" — ", F.coalesce("doi", "filename"), F.concat(F.lit("p. "), "n_spans")).alias("citation"), (F.col("n_verified") == F.col("n_spans")).alias("verified"))
 
 

@@ -202,7 +202,7 @@ def curation_overlay(claims: DataFrame) -> DataFrame:
     return edges.join(rulings, "ker_key", "left").where(~status.isin("merged", "rejected")).select("ker_key", F.coalesce("display", F.concat("upstream_name", F.lit(" leads to "), "downstream_name")).alias("ker_name"), status.alias("status"))
 
 
-@query("hidden_neighbours", "claims", sql=f"{NARROW}, h AS (SELECT up_id, down_id FROM edges WHERE confidence_band = 'Low') SELECT event, count(*) AS n_hidden FROM (SELECT up_id AS event FROM h UNION ALL SELECT down_id FROM h) GROUP BY event")
+@query("hidden_neighbours", "claims", sql=f"{NARROW}, low AS (SELECT up_id, down_id FROM edges WHERE confidence_band = 'Low') SELECT event, count(*) AS n_hidden FROM (SELECT up_id AS event FROM low UNION ALL SELECT down_id FROM low) GROUP BY event")
 def hidden_neighbours(claims: DataFrame) -> DataFrame:
     hidden = E.canonical_edges(claims, "up_level").where("confidence_band = 'Low'")
     return hidden.select(F.explode(F.array("up_id", "down_id")).alias("event")).groupBy("event").agg(F.count("*").alias("n_hidden"))

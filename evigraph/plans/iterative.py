@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evigraph.functions import labels as L
 from evigraph.functions.similarity import label_similarity
 from evigraph.operators import entities, graphs
+from evigraph.operators.edges import edge_papers
 from evigraph.plans.registry import query
 
 
@@ -33,16 +33,25 @@ def er_crosswalk(labels: DataFrame) -> DataFrame:
 
 @query("canonical_index", "labels_")
 def canonical_index(labels: DataFrame) -> DataFrame:
-    """Events ordered by their number of labels, as one list."""
+    """Events numbered by their number of labels, the largest first."""
     sizes = entities.canonical_events(labels).groupBy("event").agg(F.count("*").alias("n_labels"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n_labels")).alias("fewer"), "event")))  # one short row per event
-    return sizes.agg(order.alias("o")).select(F.posexplode("o").alias("index", "o")).select("index", "o.event", (-F.col("o.fewer")).alias("n_labels"))
+    return graphs.numbered(sizes, F.desc("n_labels"), F.asc("event")).select("index", "event", "n_labels")
+
+
+@query("er_alias_basis", "labels_")
+def er_alias_basis(labels: DataFrame) -> DataFrame:
+    """Why each label belongs to its event: the first rule that joined it to another."""
+    return entities.canonical_events(labels).select("label", "event", "basis").distinct()
 
 
 @query("label_similarity", "labels_")
 def label_similarity_query(labels: DataFrame) -> DataFrame:
-    rows = labels.select("label", L.normalise(F.col("label")).alias("normal"))
-    return rows.select("label", label_similarity("normal", L.token_key(F.col("normal"))).alias("score"))
+    """How alike labels of one level are that share a word, each pair once."""
+    forms = entities.buckets(labels)
+    words = forms.select("normal", "level", F.explode(F.array_distinct(F.split("normal", " "))).alias("w"))
+    a, b = words.alias("a"), words.alias("b")
+    met = a.join(b, (F.col("a.w") == F.col("b.w")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.normal") < F.col("b.normal"))).select(F.col("a.normal").alias("left"), F.col("b.normal").alias("right")).distinct()
+    return met.select("left", "right", label_similarity("left", "right").alias("score"))
 
 
 @query("causal_depth", "claims")
@@ -52,4 +61,14 @@ def causal_depth(claims: DataFrame) -> DataFrame:
 
 @query("pathway_chains", "claims")
 def pathway_chains(claims: DataFrame) -> DataFrame:
-    return graphs.simple_paths(forward(claims), 4).select("path", F.size("path").alias("n_events"))
+    """All chains of at most three edges from a source to a sink, with the papers that span them; chains that none spans are inferred."""
+    chains = graphs.simple_paths(forward(claims), 3).select("path", F.size("path").alias("n_events"))
+    return chain_papers(chains, claims).orderBy(F.desc("evidenced"), F.desc("n_events"), "path")
+
+
+def chain_papers(chains: DataFrame, claims: DataFrame) -> DataFrame:
+    """``chains`` (path, n_events) with n_spanning, the papers on every one of their edges, and whether there is one."""
+    hops = chains.select("path", "n_events", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_events") - 2), lambda i: F.struct(F.get("path", i).alias("up_id"), F.get("path", i + 1).alias("down_id")))).alias("h")).select("path", "n_events", "h.*")
+    each = hops.join(edge_papers(claims), ["up_id", "down_id"]).groupBy("path", "n_events", "doi").agg(F.count("*").alias("n")).where("n = n_events - 1")
+    spanned = each.groupBy("path").agg(F.count("*").alias("n_spanning"))
+    return chains.join(spanned, "path", "left").select("path", "n_events", F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"), F.col("n_spanning").isNotNull().alias("evidenced"))

@@ -132,9 +132,9 @@ def alias_crosswalk(alias: DataFrame, canonical: DataFrame) -> DataFrame:
     return alias.join(canonical, "canonical_id").select("raw_label", "canonical_id", "canonical_name", "level", (F.lower(F.trim("raw_label")) == F.lower(F.trim("canonical_name"))).alias("is_event_name"))
 
 
-@query("canonical_with_aliases", "alias", "canonical", sql="SELECT canonical_id, canonical_name, coalesce(a.labels, '') AS labels, coalesce(a.n, 0) AS n_aliases FROM canonical LEFT JOIN (SELECT canonical_id, string_agg(raw_label, '; ' ORDER BY raw_label) AS labels, count(*) AS n FROM alias WHERE n_uses > 20 GROUP BY 1) a USING (canonical_id)")
+@query("canonical_with_aliases", "alias", "canonical", sql="SELECT canonical_id, canonical_name, coalesce(a.labels, '') AS labels, coalesce(a.n, 0) AS n_aliases FROM canonical LEFT JOIN (SELECT canonical_id, string_agg(raw_label, '; ' ORDER BY raw_label) AS labels, count(*) AS n FROM alias GROUP BY 1) a USING (canonical_id)")
 def canonical_with_aliases(alias: DataFrame, canonical: DataFrame) -> DataFrame:
-    folded = alias.where("n_uses > 20").groupBy("canonical_id").agg(F.array_join(F.sort_array(F.collect_list("raw_label")), "; ").alias("labels"), F.count("*").alias("n_aliases"))
+    folded = alias.groupBy("canonical_id").agg(F.array_join(F.sort_array(F.collect_list("raw_label")), "; ").alias("labels"), F.count("*").alias("n_aliases"))
     return canonical.join(folded, "canonical_id", "left").select("canonical_id", "canonical_name", F.coalesce("labels", F.lit("")).alias("labels"), F.coalesce("n_aliases", F.lit(0)).alias("n_aliases"))
 
 

@@ -63,7 +63,9 @@ VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
         UNION ALL SELECT p_partkey, concat(CASE p_size % 4 WHEN 0 THEN 'increased ' WHEN 1 THEN 'decreased ' WHEN 2 THEN 'No change in ' ELSE 'loss of ' END, lower(p_type)), p_size + 1 FROM part"""),
     "labels_": (("part",), f"""
         SELECT DISTINCT concat(CASE p_size % 4 WHEN 0 THEN 'Increased ' WHEN 1 THEN 'decrease in ' WHEN 2 THEN 'Impairment of ' ELSE '' END, p_type, CASE p_size % 3 WHEN 0 THEN ' levels' WHEN 1 THEN ' (ROS)' ELSE '' END) AS label,
-               {_level('p_size % 7')} AS level, CASE WHEN p_size % 5 = 0 THEN p_size END AS wiki_id FROM part"""),
+               {_level('p_size % 7')} AS level, CASE WHEN p_size % 5 = 0 THEN p_size END AS wiki_id FROM part
+        UNION SELECT concat(CASE p_size % 3 WHEN 0 THEN 'Increased ' WHEN 1 THEN 'decreased ' ELSE 'increased ' END, CASE WHEN p_size % 2 = 0 THEN p_name ELSE concat(split_part(p_name, ' ', 2), ' ', split_part(p_name, ' ', 1)) END), {_level('p_size % 2')}, NULL FROM part
+        UNION SELECT concat('Increased ', p_name, ' brass casing edge shape', CASE WHEN p_size % 2 = 0 THEN ' form' ELSE '' END), 'Cellular', NULL FROM part"""),
     "papers": (("documents",), """
         SELECT doc_id, source, concat('A study of something in ', coalesce(source, 'nothing'), chr(10), 'received 2020, doi: 10.', 1000 + doc_id % 9000, '/AB.', doc_id, ').', chr(10), 'Abstract', chr(10), substr(coalesce(text, ''), 1, 700), chr(10), chr(10),
                '1. Introduction', chr(10), substr(coalesce(text, ''), 701, 1500), chr(10), chr(10), 'see https://doi.org/10.5555/other.', doc_id % 7, chr(10), '3.2 Markers of stress', chr(10), substr(coalesce(text, ''), 2201, 4000), chr(10), chr(10),

@@ -69,6 +69,38 @@ def test_row_order_does_not_count(spark):
         assert got == first
 
 
+def test_relation_kind_is_the_usual_one_unless_any_claim_says_marker(spark):
+    assert one(spark, {"relation_kind": "definitional"}, {"relation_kind": "Definitional"}, {"relation_kind": "causal"}).relation_kind == "definitional"
+    assert one(spark, {"relation_kind": "definitional"}, {"relation_kind": "definitional"}, {"relation_kind": "marker"}).relation_kind == "marker"
+    assert one(spark, {"relation_kind": None}).relation_kind == "causal"
+
+
+def test_levels_are_modes_with_ties_upstream(spark):
+    assert one(spark, {"up_level": "Organ"}, {"up_level": "Cellular"}).up_level == "Cellular"
+    assert one(spark, {"up_level": "Organ"}, {"up_level": "Organ"}, {"up_level": "Cellular"}).up_level == "Organ"
+    assert one(spark, {"up_level": None}).up_level == "Molecular"
+
+
+def test_names_are_the_most_common_spelling(spark):
+    row = one(spark, {"up_name": "ROS rise"}, {"up_name": "ros rise"}, {"up_name": "Oxidative burst"})
+    assert (row.upstream_name, row.merged_upstream_labels, row.n_distinct_raw_kers) == ("ROS rise", "ROS rise; Oxidative burst", 3)
+
+
+def test_only_what_is_asked_for_is_ranked(spark):
+    row = E.canonical_edges(claims(spark, {}), "stressors").collect()[0].asDict()
+    assert row["stressors"] == "x" and "all_dois" not in row and row["n_papers_total"] == 1
+
+
+def test_edges_without_ids_go_by_names(spark):
+    rows = claims(spark, {"up_id": None}, {"up_id": None, "up_name": " Increased ros"}, {"up_id": None, "up_name": "other"})
+    assert sorted((r.ker_key, r.n_source_rows) for r in E.canonical_edges(rows).collect()) == [("name::increased ros::increased apoptosis", 2), ("name::other::increased apoptosis", 1)]
+
+
+def test_junctions_of_common_papers(spark):
+    rows = claims(spark, {"up_id": 1, "down_id": 2, "doi": "x"}, {"up_id": 2, "down_id": 3, "doi": "X"}, {"up_id": 2, "down_id": 3, "doi": "y"}, {"up_id": 2, "down_id": 4, "doi": "z"}, {"up_id": 1, "down_id": 2, "doi": None})
+    assert [tuple(r) for r in E.spanning_papers(rows).collect()] == [(1, 2, 3, 1)]
+
+
 def test_reverse_pairs(spark):
     edges = E.canonical_edges(claims(spark, {"up_id": 1, "down_id": 2}, {"up_id": 2, "down_id": 1}, {"up_id": 3, "down_id": 3}))
     assert [(r.forward, r.backward) for r in E.reverse_pairs(edges).collect()] == [("canon::1::2", "canon::2::1")]

@@ -20,29 +20,23 @@ def test_every_oracle_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", ["edge_evidence", "node_evidence", "state_counts", "page_offsets", "normalise_label", "error_streaks"])
-def test_columns_and_counts_match(spark, name):
-    con = duckdb.connect()
-    for t in TABLES.split():
-        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    found, want = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
-    assert sorted(found.columns) == sorted(want.columns)
-    assert found.count() == len(want.fetchall())
+QUICK = [
+    "table2_canonical", "infer_roles", "chain_provenance", "field_drift", "edge_evidence", "node_evidence", "state_counts", "page_offsets", "normalise_label", "error_streaks", "locate_quote", "chunk_density", "term_match", "span_dedup", "entailment_check",
+    "lineage_conflicts", "citation_keys", "merge_equivalent", "state_frame", "scd2_history", "decisions_union", "pathway_rows", "ontology_ancestors", "backbone", "abbrev_overlap", "synthesis_blocks"]
 
 
-@pytest.mark.parametrize("name", ["chain_provenance", "synthesis_blocks", "scan_spans_citation"])
-def test_whole_tables_and_parts_match(spark, name):
+def tidy(value):
+    return round(value, 9) if isinstance(value, float) else tuple(map(tidy, value)) if isinstance(value, (list, tuple)) else value
+
+
+@pytest.mark.parametrize("name", QUICK)
+def test_values_match(spark, name):
     con = duckdb.connect()
     for t in TABLES.split():
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
-    sizes = []
-    for key in (name, f"{name}_all"):
-        found, want = entry.queries()[key](spark, SF), con.sql(entry.oracle_sql()[key])
-        rows = sorted(map(repr, map(tuple, found.select(*want.columns).collect())))
-        assert rows == sorted(map(repr, want.fetchall()))
-        sizes.append(len(rows))
-    assert sizes[1] > 3 * sizes[0]
-    print(name, sizes)
+    found, want = entry.queries()[name](spark, SF), con.sql(entry.oracle_sql()[name])
+    assert sorted(found.columns) == sorted(want.columns)
+    assert sorted(repr(tidy(tuple(r))) for r in found.select(*want.columns).collect()) == sorted(repr(tidy(r)) for r in want.fetchall())
 
 
 def test_readme_names_what_is_not_built():
