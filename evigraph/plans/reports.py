@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evigraph.functions import claims as C
+from evigraph.functions.vocabulary import norm_event
 from evigraph.operators import edges as E
 from evigraph.plans.edge_sql import CANONICAL_KEY, NARROW
 from evigraph.plans.registry import query
@@ -341,3 +342,42 @@ def assemble_claims(claims: DataFrame) -> DataFrame:
     replies = claims.select("record_key", F.explode(F.array(F.struct(F.lit("classify").alias("step"), F.col("up_level").alias("v")), F.when(F.col("n_spans") > 1, F.struct(F.lit("evidence").alias("step"), F.col("evidence_type").alias("v"))))).alias("r")).where("r IS NOT NULL").select("record_key", "r.*")
     step = lambda name: F.max(F.when(F.col("step") == name, F.col("v")))
     return replies.groupBy("record_key").agg(step("classify").alias("level"), step("evidence").alias("evidence"), F.count("*").alias("n_steps"))
+
+
+@query("canonical_anchor", "claims", sql="""SELECT record_key, CASE WHEN up_id IN (3, 11) AND NOT (up_id = 11 AND l = 'hepatocyte') THEN 'anchor ' || up_id ELSE 'increased event ' || up_id END AS event FROM (SELECT *, CASE WHEN cell_type LIKE 'Brand#1%' THEN 'hepatocyte' WHEN cell_type IS NULL THEN 'unspecified' ELSE 'neuron' END AS l FROM claims)""")
+def canonical_anchor(claims: DataFrame) -> DataFrame:
+    """Events of steps under the name of the anchor that they are, unless the cells that a step was seen in are of another lineage
+    than the anchor's; the first anchor is of no lineage, the second of neurons."""
+    cells = F.when(F.col("cell_type").startswith("Brand#1"), "hepatocyte").when(F.col("cell_type").isNull(), "unspecified").otherwise("neuron")
+    steps = claims.select("record_key", F.lower(F.trim("up_name")).alias("event"), cells.alias("lineage"))
+    anchors = {"increased event 3": ("anchor 3", None), "Increased  event-11": ("anchor 11", "neuron")}
+    return steps.select("record_key", anchored(F.col("event"), F.col("lineage"), anchors).alias("event"))
+
+
+def anchored(event: F.Column, lineage: F.Column, anchors: dict[str, tuple[str, str | None]]) -> F.Column:
+    """The anchor's name for an event that is written like it, if the lineages don't contradict; silence contradicts nothing."""
+    out = event
+    for written, (name, own) in anchors.items():
+        same = norm_event(event) == norm_event(F.lit(written))
+        fits = F.lit(True) if own is None else (lineage == own) | (lineage == "unspecified")
+        out = F.when(same & fits, name).otherwise(out)
+    return out
+
+
+def wrapped(label: F.Column, width: int = 22, lines: int = 3) -> F.Column:
+    """A label in lines of a width for drawing, the last one marked where something is left out."""
+    step = lambda acc, w: F.when(F.size(acc) == 0, F.array(w)).when(F.length(F.element_at(acc, -1)) + F.length(w) < width, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat_ws(" ", F.element_at(acc, -1), w)))).otherwise(F.concat(acc, F.array(w)))
+    made = F.aggregate(F.split(label, " "), F.array().cast("array<string>"), step)
+    return F.when(F.size(made) <= lines, F.array_join(made, "\n")).otherwise(F.concat(F.array_join(F.slice(made, 1, lines), "\n"), F.lit("…")))
+
+
+def shown(value: F.Column, dash: str = "—") -> F.Column:
+    """A value for display: a dash for nothing, with bars and line ends that would break a table escaped."""
+    text = F.regexp_replace(F.regexp_replace(value.cast("string"), r"\|", r"\\|"), r"\s*\n\s*", " ")
+    return F.when(C.is_missing(value.cast("string")), dash).otherwise(text)
+
+
+def tooltip(edges: DataFrame) -> DataFrame:
+    """(ker_key, text): what is told of an edge (ker_key, ker_name, direction, confidence_score, n_papers_supporting, n_papers_contradicting) beside its arrow."""
+    contra = F.when(F.col("n_papers_contradicting") > 0, F.concat(F.lit("contradicted by "), "n_papers_contradicting"))
+    return edges.select("ker_key", F.concat_ws("\n", "ker_name", F.concat(F.lit("direction: "), "direction"), F.concat(F.lit("papers: "), "n_papers_supporting"), contra, F.concat(F.lit("confidence: "), "confidence_score")).alias("text"))
