@@ -32,7 +32,7 @@ LEVELS = 64
 #: falling: from a near-uniform start they are small at first and grow.
 TOLERANCE = 0.001
 #: Expected counts are taken over blocks of so many tokens, which hand messages to each other; tokens handled at once; words counted at once.
-BLOCK, SLICE, COUNTED = 2048, 1 << 21, 300_000
+BLOCK, SLICE, COUNTED = 1024, 1 << 21, 300_000
 #: Added to every count.
 SMOOTH = 0.1
 LENGTHS = 3, 5, 7, 9, 12, 16
@@ -189,40 +189,43 @@ class Chain:
         order = np.argsort(-lengths, kind="stable")
         falling, at_sorted = -lengths[order], at[order]
         steps_of = [int(np.searchsorted(falling, -t, side="left")) for t in range(int(lengths.max()) + 1)]  # blocks with more than t tokens
-        codes = [flat[at_sorted[:n] + t] for t, n in enumerate(steps_of) if n]
-        alpha, scale = [], []
-        for t, own_codes in enumerate(codes):
-            n = len(own_codes)
-            own = (step.T @ alpha[t - 1][:, :n] if t else begin[:, order]) * np.take(emit, own_codes, axis=1)
-            scale.append(own.sum(axis=0))
-            alpha.append(own / scale[t])
-        likely = float(sum(np.log10(x).sum(dtype=np.float64) for x in scale))
+        widths = [n for n in steps_of if n]
+        offset = np.concatenate([[0], np.cumsum(widths)])
+        # Tokens step by step, all blocks' first ones first: what belongs to a step stands together in every array.
+        on = np.concatenate([flat[at_sorted[:n] + t] for t, n in enumerate(widths)])
+        seen, alpha, scale = emit[:, on], np.empty((states, len(on)), np.float32), np.empty(len(on), np.float32)
+        for t, n in enumerate(widths):
+            here = slice(offset[t], offset[t] + n)
+            own = (step.T @ alpha[:, offset[t - 1] : offset[t - 1] + n] if t else begin[:, order]) * seen[:, here]
+            np.sum(own, axis=0, out=scale[here])
+            np.divide(own, scale[here], out=alpha[:, here])
+        likely = float(np.log10(scale).sum(dtype=np.float64))
         # What comes after a block's last token, scaled so that the chances of its states add up to 1.
-        ends = np.empty((states, len(at)), np.float32)
-        for t in range(len(codes)):
-            stop = np.arange(steps_of[t + 1], steps_of[t])
-            ends[:, stop] = alpha[t][:, stop]
+        last = offset[lengths[order] - 1] + np.arange(len(at))
+        ends = alpha[:, last]
         beta = finish[:, order]
         beta /= (ends * beta).sum(axis=0)
+        seen /= scale
+        first_seen = seen[:, : len(at)].copy()
         steps, emits = np.zeros((states, states)), np.zeros_like(self.emit)
-        for t in range(len(codes) - 1, -1, -1):
-            if t + 1 < len(codes):
-                m = len(codes[t + 1])
-                ahead = np.take(emit, codes[t + 1], axis=1) * beta[:, :m] / scale[t + 1]
-                steps += (alpha[t][:, :m] @ ahead.T) * self.step
+        for t in range(len(widths) - 1, -1, -1):
+            if t + 1 < len(widths):
+                m = widths[t + 1]
+                ahead = seen[:, offset[t + 1] : offset[t + 1] + m]
+                ahead *= beta[:, :m]
+                steps += alpha[:, offset[t] : offset[t] + m] @ ahead.T
                 beta[:, :m] = step @ ahead
-            alpha[t] *= beta[:, : len(codes[t])]  # from here on the chance of each state
+            alpha[:, offset[t] : offset[t] + widths[t]] *= beta[:, : widths[t]]  # from here on the chance of each state
         # Steps from one block into the next.
         back = np.empty(len(order), np.int64)
         back[order] = np.arange(len(order))
         into = np.flatnonzero(place > 0)
         if len(into):
-            ahead = np.take(emit, flat[at[into]], axis=1) * beta[:, back[into]] / scale[0][back[into]]
-            steps += (ends[:, back[into - 1]] @ ahead.T) * self.step
-        on = np.concatenate(codes)
+            steps += ends[:, back[into - 1]] @ (first_seen[:, back[into]] * beta[:, back[into]]).T
+        steps *= self.step
         for s in range(states):
-            emits[s] = np.bincount(on, np.concatenate([a[s] for a in alpha]), self.emit.shape[1])
-        return alpha[0][:, back[place == 0]].sum(axis=1, dtype=np.float64), steps, emits, likely
+            emits[s] = np.bincount(on, alpha[s], self.emit.shape[1])
+        return alpha[:, : len(at)][:, back[place == 0]].sum(axis=1, dtype=np.float64), steps, emits, likely
 
     def _messages(self, flat: np.ndarray, at: np.ndarray, lengths: np.ndarray, place: np.ndarray, is_last: np.ndarray, emit: np.ndarray, step: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What each block gets from the left (the chance of its first state) and from the right (up to a factor)."""
@@ -235,9 +238,10 @@ class Chain:
         order = some[np.argsort(-lengths[some], kind="stable")]
         # passed[n, i, j]: of state i at the first token, all ways to state j at the last one, tokens included.
         passed = np.repeat(np.eye(states, dtype=np.float32)[None], len(order), axis=0)
-        for t in range(int(lengths[order[0]])):
-            n = int(np.searchsorted(-lengths[order], -t, side="left"))
-            own = emit[:, flat[at[order[:n]] + t]].T[:, None, :]
+        falling, begins = -lengths[order], at[order]
+        for t in range(-int(falling[0])):
+            n = int(np.searchsorted(falling, -t, side="left"))
+            own = emit[:, flat[begins[:n] + t]].T[:, None, :]
             moved = (passed[:n].reshape(-1, states) @ step).reshape(n, states, states) if t else passed[:n]
             moved = moved * own
             passed[:n] = moved / moved.max(axis=(1, 2), keepdims=True)
