@@ -16,6 +16,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -272,7 +273,7 @@ class Codec:
         """Search new words, those of one length together, and remember them."""
         if len(self.known) + len(words) > REMEMBERED:
             self.known = {}
-        texts = {w: w.decode().replace(" ", SPACE) for w in words}
+        texts = {w: w.decode("utf-8", "replace").replace(" ", SPACE) for w in words}
         whole = {t for t in texts.values() if len(t) <= LONG}
         cut = {t: self._cut(t) for t in texts.values() if len(t) > LONG}
         by_length: dict[int, list[str]] = {}
@@ -330,8 +331,8 @@ def sentencepiece_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id
     """One row per row of ``docs``: doc_id, n_tokens, token_ids, round_trip.
 
     ``round_trip`` says whether decoding the ids gives the text back byte for byte, which holds for every
-    text without U+2581, a character that the format itself uses for spaces.  Null and empty texts have no
-    tokens.  Repeated rows each get their row, an empty table gives an empty result, other columns are ignored.
+    text without U+2581, a character that the format itself uses for spaces.  Bytes that aren't valid UTF-8 are read as
+    U+FFFD and don't come back.  Null and empty texts have no tokens.  Repeated rows each get their row, an empty table gives an empty result, other columns are ignored.
     """
     shared = docs.sparkSession.sparkContext.broadcast(load(model_path))
 
@@ -350,3 +351,19 @@ def sentencepiece_tokens(docs: DataFrame, model_path: str, id_col: str = "doc_id
 
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(encode, "doc_id bigint, n_tokens bigint, token_ids array<int>, round_trip boolean")
+
+
+def sentencepiece_texts(tokens: DataFrame, model_path: str, ids_col: str = "token_ids") -> DataFrame:
+    """``tokens`` with ``text``, what their ids stand for, and no other change; null and empty lists stand for an empty text.
+
+    Ids that the model doesn't have stand for nothing.  An empty table gives an empty result.
+    """
+    shared = tokens.sparkSession.sparkContext.broadcast(load(model_path))
+
+    def decode(lists: pd.Series) -> pd.Series:
+        codec = shared.value
+        size = len(codec.decoded)
+        own = [np.array([i for i in (x if x is not None else ()) if i is not None and 0 <= i < size], np.int32) for x in lists]
+        return pd.Series([t.decode("utf-8", "replace") for t in codec.decode(own)], dtype=object)
+
+    return tokens.withColumn("text", F.pandas_udf(decode, "string")(ids_col))

@@ -70,6 +70,23 @@ def test_sentencepiece(docs, spark):
     assert rows_of(sentencepiece_codec.sentencepiece_tokens(frame(spark, []), PIECES)) == []
 
 
+def test_decoded_texts(spark):
+    texts = ["plain words", "", "Größe 日本語 🙂", "  two  blanks "]
+    tokens = sentencepiece_codec.sentencepiece_tokens(frame(spark, list(enumerate(texts))), PIECES)
+    assert {r["doc_id"]: r["text"] for r in rows_of(sentencepiece_codec.sentencepiece_texts(tokens, PIECES))} == dict(enumerate(texts))
+    odd = spark.createDataFrame([(None,), ([],), ([10**7, -4],)], "token_ids array<int>")
+    assert [r["text"] for r in rows_of(sentencepiece_codec.sentencepiece_texts(odd, PIECES))] == ["", "", ""]
+
+
+def test_texts_that_are_not_utf8(spark):
+    docs = spark.createDataFrame([(1, b"good words \xff\xfe token = abcdefgh1"), (2, b"\x80")], "doc_id bigint, raw binary").selectExpr("doc_id", "cast(raw AS string) AS text", "'en' AS lang", "'s' AS source")
+    assert [len(r["token_ids"]) > 0 for r in rows_of(sentencepiece_codec.sentencepiece_tokens(docs, PIECES))] == [True, True]
+    assert {r["n_assign"] for r in rows_of(secrets.span_digest(secrets.scan_secrets(docs, secrets.fit(docs))))} == {0, 1}
+    model = quality.fit(docs, spark.createDataFrame([(1, 1)], "doc_id bigint, quality int"))
+    assert quality.keep_good(docs, model).count() in (0, 1, 2) and len(rows_of(quality.score_quality(docs, model))) == 2
+    assert len(rows_of(exact_dedup(docs))) == 2 and len(rows_of(hmm.lm_scores(docs))) == 2
+
+
 def test_sentencepiece_random_strings():
     codec, library = sentencepiece_codec.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
     rng = random.Random(5)
