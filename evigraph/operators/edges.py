@@ -62,14 +62,13 @@ def ranked_items(claims: DataFrame, keys: list[str], texts: dict[str, Text]) ->
 
     ``text`` is the output's place in ``texts``.  The spelling that stands for an item is the longest, then the first.
     """
-    entries = []
-    for number, text in enumerate(texts.values()):
-        for name in _present(claims, text):
-            value = F.expr(name).cast("string")
-            parts = F.split(value, ";") if text.split else F.array(value)
-            entries.append(F.struct(F.lit(number).alias("text"), F.when(~C.is_missing(value), parts).alias("items")))
+    # What is said of every value is said once, after the unpivot, so that the code for it stays small.
+    entries = [F.struct(F.lit(n).alias("text"), F.expr(name).cast("string").alias("value")) for n, t in enumerate(texts.values()) for name in _present(claims, t)]
     modal = [n for n, t in enumerate(texts.values()) if t.modal]
-    long = claims.select(*keys, F.explode(F.array(*entries)).alias("e")).where("e.items IS NOT NULL").select(*keys, "e.text", F.explode("e.items").alias("item"))
+    lists = [n for n, t in enumerate(texts.values()) if t.split]
+    values = claims.select(*keys, F.explode(F.array(*entries)).alias("e")).select(*keys, "e.*").where(~C.is_missing(F.col("value")))
+    parts = F.when(F.col("text").isin(lists), F.split("value", ";")).otherwise(F.array("value")) if lists else F.array("value")
+    long = values.select(*keys, "text", F.explode(parts).alias("item"))
     # Items as they are written are counted by hash; only what is left is brought together by spelling.
     exact = long.withColumn("item", F.trim("item")).where("item <> ''").groupBy(*keys, "text", "item").agg(F.count("*").alias("n"))
     is_modal = F.col("text").isin(modal) if modal else F.lit(False)

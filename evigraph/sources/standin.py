@@ -125,4 +125,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     sql = sql.replace("{", "{{").replace("}", "}}")
     for read in reads:  # names in the SQL are bound to frames, so no view is left behind in the session
         sql = sql.replace(f"FROM {read}", f"FROM {{{read}}}").replace(f"JOIN {read} ", f"JOIN {{{read}}} ")
-    return spark.sql(sql, **{read: table(spark, sf_dir, read) for read in reads})
+    return spark.sql(sql, **{read: _spread(table(spark, sf_dir, read)) if read in SPREAD else table(spark, sf_dir, read) for read in reads})
+
+
+#: Tables that come as one file each, which one task would read and work through alone.
+SPREAD = ("lineitem",)
+
+
+def _spread(frame: DataFrame) -> DataFrame:
+    return frame.repartition(frame.sparkSession.sparkContext.defaultParallelism)
