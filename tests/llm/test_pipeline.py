@@ -34,3 +34,19 @@ def test_stages(spark, tmp_path):
             assert after.count() == current.count()
         current = after
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == current.count()
+
+
+def test_bad_documents_go(spark, tmp_path):
+    good = [(i, f"plain prose about thing {i} and what became of it in the end, told at some length") for i in range(80)]
+    bad = [(100 + i, " ".join(f"$$#{i}@{k}!!" for k in range(12))) for i in range(80)]
+    spark.createDataFrame([(i, 1, 0) for i, _ in good] + [(i, 0, 1) for i, _ in bad], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    left = corpus_pipeline.good_quality(spark, frame(spark, good + bad + [(None, None)]), str(tmp_path))
+    kept = {r["doc_id"] for r in rows_of(left)}
+    assert {i for i, _ in good} <= kept and not kept & {i for i, _ in bad}
+
+
+def test_empty_tables(spark, tmp_path):
+    spark.createDataFrame([], "doc_id bigint, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    frame(spark, []).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
