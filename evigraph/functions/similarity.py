@@ -23,12 +23,17 @@ def sequence_ratio(left: Column | str, right: Column | str) -> Column:
     return F.pandas_udf(_ratios, "double")(left, right)
 
 
+def word_overlap(a: Column | str, b: Column | str) -> tuple[Column, Column]:
+    """The Jaccard index of the words of two texts, and 1 if one holds the other, else 0."""
+    left, right = (F.col(c) if isinstance(c, str) else c for c in (a, b))
+    words = [F.filter(F.split(c, r"\s+"), lambda w: w != "") for c in (left, right)]
+    return F.size(F.array_intersect(*words)) / F.size(F.array_union(*words)), F.when(F.contains(left, right) | F.contains(right, left), 1.0).otherwise(0.0)
+
+
 def label_similarity(a: Column | str, b: Column | str) -> Column:
     """A blend of sequence ratio (as written or with words sorted, whichever is better), shared words and containment; 0 to 1."""
     left, right = (F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit("")) for c in (a, b))
     ratio = F.greatest(sequence_ratio(left, right), sequence_ratio(token_key(left), token_key(right)))
-    words = [F.filter(F.split(c, r"\s+"), lambda w: w != "") for c in (left, right)]
-    jaccard = F.size(F.array_intersect(*words)) / F.size(F.array_union(*words))
-    held = F.when(F.contains(left, right) | F.contains(right, left), 1.0).otherwise(0.0)
+    jaccard, held = word_overlap(left, right)
     blend = F.round(WEIGHTS["sequence"] * ratio + WEIGHTS["jaccard"] * jaccard + WEIGHTS["containment"] * held, 4)
     return F.when((left == "") | (right == ""), 0.0).when(left == right, 1.0).otherwise(blend)

@@ -86,3 +86,20 @@ def test_stream_equals_table(spark, tmp_path):
     assert running.awaitTermination(60)
     got = {(r.start, r.event_type): r.n for r in spark.table("counts").collect()}
     assert got == {(r.start, r.event_type): r.n for r in telemetry.windowed_counts(events).collect()}
+
+
+def test_labels_are_read_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("Increased liver weight", "Organ", None), ("increased weight of liver", "Organ", None), ("Loss of cells", "Cellular", 3), ("nothing alike", "Cellular", 3), ("swollen limb", "Organ", None)]
+    labels = spark.createDataFrame(rows, "label string, level string, wiki_id int")
+    got = {r.label: (r.event, r.basis) for r in entities.canonical_events(labels.mapInArrow(counted, labels.schema)).collect()}
+    assert seen.value == len(rows)
+    assert got == {
+        "Increased liver weight": ("increased liver weight", "token_order"), "increased weight of liver": ("increased liver weight", "token_order"), "Loss of cells": ("decreased cell", "registry"),
+        "nothing alike": ("decreased cell", "registry"), "swollen limb": ("swollen limb", "own_group")}
