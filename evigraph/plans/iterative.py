@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evigraph.functions.similarity import label_similarity
 from evigraph.operators import entities, graphs
-from evigraph.operators.edges import edge_papers
+from evigraph.operators.edges import claim_papers
 from evigraph.plans.registry import query
 
 
@@ -62,13 +64,32 @@ def causal_depth(claims: DataFrame) -> DataFrame:
 @query("pathway_chains", "claims")
 def pathway_chains(claims: DataFrame) -> DataFrame:
     """All chains of at most three edges from a source to a sink, with the papers that span them; chains that none spans are inferred."""
+    claims = graphs.stored(claims.where("up_id < down_id").select("up_id", "down_id", "doi"))  # read for the edges and for the papers
     chains = graphs.simple_paths(forward(claims), 3).select("path", F.size("path").alias("n_events"))
     return chain_papers(chains, claims).orderBy(F.desc("evidenced"), F.desc("n_events"), "path")
 
 
 def chain_papers(chains: DataFrame, claims: DataFrame) -> DataFrame:
-    """``chains`` (path, n_events) with n_spanning, the papers on every one of their edges, and whether there is one."""
-    hops = chains.select("path", "n_events", F.explode(F.transform(F.sequence(F.lit(0), F.col("n_events") - 2), lambda i: F.struct(F.get("path", i).alias("up_id"), F.get("path", i + 1).alias("down_id")))).alias("h")).select("path", "n_events", "h.*")
-    each = hops.join(edge_papers(claims), ["up_id", "down_id"]).groupBy("path", "n_events", "doi").agg(F.count("*").alias("n")).where("n = n_events - 1")
-    spanned = each.groupBy("path").agg(F.count("*").alias("n_spanning"))
-    return chains.join(spanned, "path", "left").select("path", "n_events", F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"), F.col("n_spanning").isNotNull().alias("evidenced"))
+    """``chains`` (path, n_events) with n_spanning, the papers on every one of their edges, and whether there is one.
+
+    Papers are bits, 64 to a number.  Beginnings that chains share grow by an edge at a time, with the papers that
+    are on all edges so far; they go where none is left.
+    """
+    chains = graphs.stored(chains)
+    most = chains.agg(F.max("n_events")).first()[0] or 0
+    papers = claim_papers(claims)
+    number = graphs.numbered(papers.select("doi").distinct(), F.asc("doi")).select("doi", "index")
+    bit = F.expr("shiftleft(1L, cast(index & 63 AS int))")
+    bits = graphs.stored(papers.join(number, "doi").groupBy("up_id", "down_id", F.shiftright("index", 6).alias("part")).agg(F.bit_or(bit).alias("bits")))
+    grown, spanned = bits.select(F.array("up_id", "down_id").alias("path"), "part", "bits"), []
+    for n in range(2, most + 1):
+        if n > 2:
+            edge = bits.select(F.col("up_id").alias("last"), "part", "down_id", F.col("bits").alias("more"))
+            both = grown.withColumn("last", F.element_at("path", -1)).join(edge, ["last", "part"]).where(F.col("bits").bitwiseAND(F.col("more")) != 0)
+            grown = both.select(F.concat("path", F.array("down_id")).alias("path"), "part", F.col("bits").bitwiseAND(F.col("more")).alias("bits"))
+        begun = chains.where(F.col("n_events") >= n).select(F.slice("path", 1, n).alias("path"), (F.col("n_events") == n).alias("whole"))
+        grown = graphs.stored(grown.join(begun.groupBy("path").agg(F.max("whole").alias("whole")), "path"))
+        spanned.append(grown.where("whole").groupBy("path").agg(F.sum(F.bit_count("bits")).alias("n_spanning")))
+        grown = grown.drop("whole")
+    found = reduce(DataFrame.union, spanned) if spanned else chains.select("path", F.lit(0).cast("bigint").alias("n_spanning")).limit(0)
+    return chains.join(found, "path", "left").select("path", "n_events", F.coalesce("n_spanning", F.lit(0)).alias("n_spanning"), F.col("n_spanning").isNotNull().alias("evidenced"))

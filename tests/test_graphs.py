@@ -103,3 +103,21 @@ def test_labels_are_read_once(spark):
     assert got == {
         "Increased liver weight": ("increased liver weight", "token_order"), "increased weight of liver": ("increased liver weight", "token_order"), "Loss of cells": ("decreased cell", "registry"),
         "nothing alike": ("decreased cell", "registry"), "swollen limb": ("swollen limb", "own_group")}
+
+
+def test_papers_of_chains_are_no_rows_of_their_own(spark, monkeypatch):
+    """300 papers on both edges of a chain and 100 more on one of them: a few numbers for each edge, whatever the count."""
+    rows = [(a, b, f" 10.1/X{i} ") for i in range(300) for a, b in ((0, 1), (1, 2))] + [(0, 1, f"10.1/y{i}") for i in range(100)] + [(0, 1, "nan"), (1, 2, None), (1, 2, "10.1/x7")]
+    frame = spark.createDataFrame(rows, "up_id bigint, down_id bigint, doi string")
+    chains = spark.createDataFrame([([0, 1, 2], 3), ([0, 1], 2), ([1, 9], 2)], "path array<bigint>, n_events int")
+    sizes, put = {}, graphs.stored
+
+    def counted(frame):
+        out = put(frame)
+        sizes[tuple(out.columns)] = out.count()
+        return out
+
+    monkeypatch.setattr(graphs, "stored", counted)
+    got = {tuple(r.path): (r.n_spanning, r.evidenced) for r in iterative.chain_papers(chains, frame).collect()}
+    assert got == {(0, 1, 2): (300, True), (0, 1): (400, True), (1, 9): (0, False)}
+    assert sizes["up_id", "down_id", "part", "bits"] == 7 + 5 and sizes["path", "part", "bits", "whole"] == 5
