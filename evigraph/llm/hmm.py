@@ -13,12 +13,12 @@ other words are looked up by a shuffled join with the table of counts, so no wor
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,34 +29,63 @@ STATES, OWN, HEAD, WORD_BYTES = 8, 2000, 250_000, 64
 #: Steps of the logarithm of a count in which words are told apart when the frequent ones are chosen.
 LEVELS = 64
 #: Baum-Welch ends when the training likelihood gains less than this in a round, in log10 a token, and gains are
-#: falling: from a near-uniform start they are small at first and grow.
+#: falling: near a saddle they are small at first and grow.
 TOLERANCE = 0.001
-#: Expected counts are taken over blocks of so many tokens, which hand messages to each other; tokens handled at once; words counted at once.
-BLOCK, SLICE, COUNTED = 1024, 1 << 21, 300_000
+#: Rounds over pairs of neighbours, which give the start, end when one gains less than this, in log10 a pair.
+PAIR_TOLERANCE = 1e-5
+#: Expected counts are taken over blocks of so many tokens, which hand messages to each other; tokens, bytes of text and sums handled at once.
+BLOCK, SLICE, TEXT_BYTES, COUNTED = 1024, 1 << 21, 1 << 24, 300_000
 #: Added to every count.
 SMOOTH = 0.1
 LENGTHS = 3, 5, 7, 9, 12, 16
 SHAPES = 8 * (len(LENGTHS) + 1)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words between ASCII white space, A-Z in lower case (the end of the text is added by the callers)."""
-    return text.lower().split()
+def _words(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray, pa.Array]]:
+    """Batches in parts of about TEXT_BYTES: rows, the row of each word, its place among the part's different words, and these.
 
-
-def shape(word: bytes) -> int:
-    """The class of a word by its length, digits, other than ASCII characters and final punctuation."""
-    last = word[-1]
-    point = not (97 <= last <= 122 or 48 <= last <= 57 or last >= 128)
-    digit = not word.isalpha() and any(48 <= c <= 57 for c in word)
-    return ((sum(len(word) >= n for n in LENGTHS) * 2 + digit) * 2 + (not word.isascii())) * 2 + point
+    Words stand between ASCII white space, A-Z in lower case; the end of a text is added by the callers.
+    """
+    for batch in batches:
+        every = pc.fill_null(batch["text"].cast(pa.binary()), b"")
+        ends = np.cumsum(pc.binary_length(every).to_numpy(), dtype=np.int64)
+        start = 0
+        while start < len(every):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + TEXT_BYTES, side="right")))
+            # Kernels for ASCII take other bytes as they are, valid UTF-8 or not.
+            listed = pc.ascii_split_whitespace(pc.ascii_lower(every[start:stop].view(pa.string())))
+            coded = listed.flatten().view(pa.binary()).dictionary_encode()
+            at = np.repeat(np.arange(stop - start), np.diff(listed.offsets.to_numpy()))
+            code, words = coded.indices.to_numpy(), coded.dictionary
+            blank = pc.index(words, b"").as_py()
+            if blank >= 0:  # at the ends of texts
+                full = code != blank
+                at, code = at[full], code[full]
+            yield batch.slice(start, stop - start), at, code, words
+            start = stop
+
+
+def shapes(words: pa.Array) -> np.ndarray:
+    """The classes of words by length, digits, other than ASCII characters and final punctuation."""
+    ends = np.cumsum(pc.binary_length(words).to_numpy(), dtype=np.int64)
+    size = np.diff(ends, prepend=0)
+    data = np.frombuffer(b"".join(words.to_pylist()), np.uint8) if len(words) else np.empty(0, np.uint8)
+
+    def any_of(marks: np.ndarray) -> np.ndarray:
+        before = np.concatenate([[0], np.cumsum(marks)])
+        return before[ends] > before[ends - size]
+
+    last = data[ends - 1] if len(data) else np.zeros(len(words), np.uint8)
+    point = ~((last >= 97) & (last <= 122) | (last >= 48) & (last <= 57) | (last >= 128))
+    long = np.searchsorted(LENGTHS, size, side="right")
+    return ((long * 2 + any_of((data >= 48) & (data <= 57))) * 2 + any_of(data >= 128)) * 2 + point
 
 
 @dataclass
 class Counts:
     """What is known of the training texts' words; the end of a text is the last symbol."""
 
-    words: dict[bytes, int]  # the frequent ones, most frequent first
+    words: pa.Array  # the frequent ones, most frequent first
     often: np.ndarray
     total: int
     distinct: int
@@ -77,18 +106,10 @@ def count_words(rows: DataFrame, space: Workspace) -> tuple[DataFrame, Counts]:
     """The table (word, shape, n) over the training rows of ``rows``, and its frequent part."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def flush() -> pa.RecordBatch:
-            own = list(found)
-            return pa.RecordBatch.from_arrays([pa.array(own, pa.binary()), pa.array([shape(w) for w in own], pa.int32()), pa.array(list(found.values()), pa.int64())], names=["word", "shape", "n"])
-
-        found: Counter[bytes] = Counter()
-        for batch in batches:
-            for text in batch["text"].to_pylist():
-                found.update(tokens(text or b""))
-                if len(found) > COUNTED:
-                    yield flush()
-                    found = Counter()
-        yield flush()
+        for _, _, code, words in _words(batches):
+            times = np.bincount(code, minlength=len(words))
+            own = words.filter(pa.array(times > 0))
+            yield pa.RecordBatch.from_arrays([own, pa.array(shapes(own), pa.int32()), pa.array(times[times > 0])], names=["word", "shape", "n"])
 
     training = rows.where("not held_out")
     counts = space.put(training.select("text").mapInArrow(count, "word binary, shape int, n bigint").groupBy("word", "shape").agg(F.sum("n").alias("n")), "counts")
@@ -104,13 +125,13 @@ def count_words(rows: DataFrame, space: Workspace) -> tuple[DataFrame, Counts]:
         least, held = r["level"], held + r["words"]
     head = short.where(level >= (least if least is not None else 1 << 20)).toArrow()  # HEAD words at most
     head = head.cast(pa.schema([("word", pa.binary()), ("shape", pa.int32()), ("n", pa.int64())])).sort_by([("n", "descending"), ("word", "ascending")])
-    words, often, shapes = head["word"].to_pylist(), head["n"].to_numpy(), head["shape"].to_numpy()
+    words, often, classes = pa.array(head["word"].to_pylist(), pa.binary()), head["n"].to_numpy(), head["shape"].to_numpy()
     mass = np.full(SHAPES, SMOOTH)  # a word that no training text has
     for r in counts.groupBy("shape").agg(F.sum("n").alias("n"), F.count("*").alias("words")).collect():
         mass[r["shape"]] += r["n"] + SMOOTH * r["words"]
     for i in range(min(OWN, len(words))):
-        mass[shapes[i]] -= often[i] + SMOOTH
-    return counts, Counts({w: k for k, w in enumerate(words)}, often, sums["n"] + ends, sums["words"] + (ends > 0), ends, np.maximum(mass, SMOOTH))
+        mass[classes[i]] -= often[i] + SMOOTH
+    return counts, Counts(words, often, sums["n"] + ends, sums["words"] + (ends > 0), ends, np.maximum(mass, SMOOTH))
 
 
 def encode(rows: DataFrame, known: Counts) -> DataFrame:
@@ -120,31 +141,33 @@ def encode(rows: DataFrame, known: Counts) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = shared.value
-        ids = have.words
         log_count = np.append(np.log10(have.often + SMOOTH), 0.0)
         log_mass = np.log10(have.mass)
-        symbol = np.arange(len(ids) + 1, dtype=np.uint16) if len(ids) < OWN else np.concatenate([np.arange(OWN), [OWN + shape(w) for w in list(ids)[OWN:]], [0]]).astype(np.uint16)
+        symbol = np.append(np.arange(len(have.words)), 0)
+        symbol[OWN:-1] = OWN + shapes(have.words[OWN:])
         end = have.symbols - 1
-        for batch in batches:
-            out: list[list] = [[] for _ in range(8)]
-            for text in batch["text"].to_pylist():
-                own = tokens(text or b"")
-                at = np.fromiter(map(ids.get, own, (-1,) * len(own)), np.int64, len(own))
-                codes = symbol[at]
-                unknown = np.flatnonzero(at < 0)
-                rare = Counter(own[i] for i in unknown.tolist())
-                shapes = {w: OWN + shape(w) for w in rare}
-                codes[unknown] = [shapes[own[i]] for i in unknown.tolist()]
-                logs = log_count[at]
-                by_shape = codes >= OWN
-                values = (
-                    len(own) + 1, len(own) - len(unknown) + (have.ends > 0), np.append(codes, end).astype(np.uint16).tobytes(),
-                    float(logs[at >= 0].sum() + np.log10(have.ends + SMOOTH)), float(logs[(at >= 0) & by_shape].sum()), float(log_mass[codes[by_shape] - OWN].sum()), list(rare), list(rare.values()))
-                for column, value in zip(out, values, strict=True):
-                    column.append(value)
-            kinds = pa.int64(), pa.int64(), pa.binary(), pa.float64(), pa.float64(), pa.float64(), pa.list_(pa.binary()), pa.list_(pa.int64())
-            names = ["n_tokens", "n_known", "symbols", "all_logs", "shape_logs", "mass_logs", "rare", "times"]
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["held_out"], *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], names=["doc_id", "held_out", *names])
+        for part, row, code, words in _words(batches):
+            n = part.num_rows
+            known = pc.fill_null(pc.index_in(words, value_set=have.words), -1).to_numpy()  # of the different words
+            codes = np.where(known < 0, OWN + shapes(words), symbol[known])[code]
+            at = known[code]
+            size = np.bincount(row, minlength=n)
+            # Symbols of a text and its end stand together.
+            flat = np.full(len(code) + n, end, np.uint16)
+            flat[np.arange(len(code)) + row] = codes
+            ends = np.concatenate([[0], np.cumsum(size + 1)])
+            symbols = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer((ends * 2).astype(np.int32)), pa.py_buffer(flat)])
+            logs, is_known, by_shape = log_count[at], at >= 0, codes >= OWN
+            sums = lambda of, values, row=row, n=n: np.bincount(row[of], values[of], n).astype(np.float64)
+            masses = log_mass[np.where(by_shape, codes - OWN, 0)]
+            # Words to look up: of each text, each once.
+            asked, times = np.unique(row[~is_known] * len(words) + code[~is_known], return_counts=True)
+            first = pa.array(np.searchsorted(asked, np.arange(n + 1) * len(words)).astype(np.int32))
+            columns = {
+                "doc_id": part["doc_id"], "held_out": part["held_out"], "n_tokens": pa.array(size + 1), "n_known": pa.array(np.bincount(row[is_known], minlength=n) + (have.ends > 0)), "symbols": symbols,
+                "all_logs": pa.array(sums(is_known, logs) + np.log10(have.ends + SMOOTH)), "shape_logs": pa.array(sums(is_known & by_shape, logs)), "mass_logs": pa.array(sums(by_shape, masses)),
+                "rare": pa.ListArray.from_arrays(first, words.take(pa.array(asked % max(len(words), 1)))), "times": pa.ListArray.from_arrays(first, pa.array(times))}
+            yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, symbols binary, all_logs double, shape_logs double, mass_logs double, rare array<binary>, times array<bigint>"
     return rows.mapInArrow(run, schema).withColumn("key", F.monotonically_increasing_id())
@@ -160,12 +183,42 @@ class Chain:
 
     @classmethod
     def first(cls, symbols: int, states: int = STATES) -> Chain:
-        """Where training begins: near uniform, states told apart by fixed pseudo-random weights."""
+        """Near uniform, states told apart by fixed pseudo-random weights."""
         rng = np.random.default_rng(7)
         step = np.eye(states) * 0.5 + 0.5 / states
         emit = rng.uniform(0.5, 1.5, (states, symbols)) / np.arange(10, symbols + 10)
         return cls(np.full(states, 1 / states), step, emit / emit.sum(axis=1, keepdims=True))
 
+    @classmethod
+    def of_pairs(cls, pairs: np.ndarray, states: int = STATES) -> Chain:
+        """Where training begins: the chain under which neighbours in all texts are likeliest, each pair by itself.
+
+        ``pairs`` has, by symbol and next symbol, how often they stand side by side: all that such pairs tell, so
+        rounds over them need no text.
+        """
+        chain = cls.first(len(pairs), states)
+        total = float(pairs.sum(dtype=np.float64))
+        if not total:
+            return chain
+        emit, both = chain.emit.astype(np.float32), (chain.start[:, None] * chain.step).astype(np.float32)
+        some = pairs > 0
+        last = -np.inf
+        while True:
+            expected = emit.T @ (both @ emit)
+            likely = float(np.log10(expected[some]).dot(pairs[some])) / total
+            if likely - last < PAIR_TOLERANCE:
+                break
+            last = likely
+            np.divide(pairs, expected, out=expected)
+            after = expected @ emit.T
+            counted = both * (emit @ after)
+            emit *= both @ after.T + (both.T @ emit) @ expected
+            emit += SMOOTH
+            emit /= emit.sum(axis=1, keepdims=True)
+            both = (counted + SMOOTH) / (counted + SMOOTH).sum()
+        both, emit = both.astype(np.float64), emit.astype(np.float64)
+        return cls(both.sum(axis=1), both / both.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
+
     def expected(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Expected counts of starts, steps and emissions over the texts."""
         return self.counted(texts)[:3]
@@ -193,10 +246,12 @@ class Chain:
         offset = np.concatenate([[0], np.cumsum(widths)])
         # Tokens step by step, all blocks' first ones first: what belongs to a step stands together in every array.
         on = np.concatenate([flat[at_sorted[:n] + t] for t, n in enumerate(widths)])
-        seen, alpha, scale = emit[:, on], np.empty((states, len(on)), np.float32), np.empty(len(on), np.float32)
+        seen, alpha, scale = np.take(emit, on, axis=1), np.empty((states, len(on)), np.float32), np.empty(len(on), np.float32)
+        back_step = np.ascontiguousarray(step.T)
         for t, n in enumerate(widths):
             here = slice(offset[t], offset[t] + n)
-            own = (step.T @ alpha[:, offset[t - 1] : offset[t - 1] + n] if t else begin[:, order]) * seen[:, here]
+            own = back_step @ alpha[:, offset[t - 1] : offset[t - 1] + n] if t else begin[:, order]
+            own *= seen[:, here]
             np.sum(own, axis=0, out=scale[here])
             np.divide(own, scale[here], out=alpha[:, here])
         likely = float(np.log10(scale).sum(dtype=np.float64))
@@ -236,24 +291,29 @@ class Chain:
         if not len(some):
             return begin, finish
         order = some[np.argsort(-lengths[some], kind="stable")]
-        # passed[n, i, j]: of state i at the first token, all ways to state j at the last one, tokens included.
-        passed = np.repeat(np.eye(states, dtype=np.float32)[None], len(order), axis=0)
+        # passed[j, i, n]: of state i at the first token, all ways to state j at the last one, tokens included.
+        passed = np.repeat(np.eye(states, dtype=np.float32)[:, :, None], len(order), axis=2)
         falling, begins = -lengths[order], at[order]
+        relative, back_step = emit / emit.max(axis=0), np.ascontiguousarray(step.T)  # messages count up to a factor
         for t in range(-int(falling[0])):
             n = int(np.searchsorted(falling, -t, side="left"))
-            own = emit[:, flat[begins[:n] + t]].T[:, None, :]
-            moved = (passed[:n].reshape(-1, states) @ step).reshape(n, states, states) if t else passed[:n]
-            moved = moved * own
-            passed[:n] = moved / moved.max(axis=(1, 2), keepdims=True)
+            moved = (back_step @ passed[:, :, :n].reshape(states, -1)).reshape(states, states, n) if t else passed[:, :, :n].copy()
+            moved *= np.take(relative, flat[begins[:n] + t], axis=1)[:, None]
+            if t % 2:  # in two steps nothing gets too small
+                moved /= moved.max(axis=(0, 1))
+            if n == len(order):
+                passed = moved
+            else:
+                passed[:, :, :n] = moved
         where = np.full(len(at), -1, np.int64)
         where[order] = np.arange(len(order))
         for k in range(1, int(place.max()) + 1):
             now = np.flatnonzero(place == k)
-            got = np.einsum("in,nij->jn", begin[:, now - 1], passed[where[now - 1]])
+            got = np.einsum("in,jin->jn", begin[:, now - 1], passed[:, :, where[now - 1]])
             begin[:, now] = step.T @ (got / got.sum(axis=0))
         for k in range(int(place.max()) - 1, -1, -1):
             now = np.flatnonzero((place == k) & ~is_last)
-            got = np.einsum("nij,jn->in", passed[where[now + 1]], finish[:, now + 1])
+            got = np.einsum("jin,jn->in", passed[:, :, where[now + 1]], finish[:, now + 1])
             finish[:, now] = step @ (got / got.sum(axis=0))
         return begin, finish
 
@@ -291,9 +351,29 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             yield batch.slice(start), whole[start:]
 
 
+def _pairs(encoded: DataFrame, symbols: int) -> np.ndarray:
+    """How often each symbol is followed by each other one in the training rows; the last of a text by none."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(symbols * symbols, np.int64)
+        for _, texts in _slices(batches):
+            flat = np.concatenate(texts).astype(np.int64)
+            cells = flat[:-1] * symbols + flat[1:]
+            total += np.bincount(np.delete(cells, np.cumsum([len(t) for t in texts])[:-1] - 1), minlength=len(total))
+        some = np.flatnonzero(total)
+        for i in range(0, len(some), COUNTED):
+            part = some[i : i + COUNTED]
+            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
+
+    cells = encoded.where("not held_out").select("symbols").mapInArrow(count, "cell int, n bigint").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()  # symbols x symbols numbers
+    total = np.zeros(symbols * symbols, np.float32)
+    total[cells["cell"].to_numpy()] = cells["n"].to_numpy()
+    return total.reshape(symbols, symbols)
+
+
 def train(encoded: DataFrame, symbols: int, tolerance: float = TOLERANCE, states: int = STATES) -> Chain:
     """Baum-Welch over all training rows, until rounds gain ever less and the last one less than ``tolerance``."""
-    chain = Chain.first(symbols, states)
+    chain = Chain.of_pairs(_pairs(encoded, symbols), states)
     width = 1 + states + symbols
     means: list[float] = []
     while True:
@@ -319,7 +399,7 @@ def train(encoded: DataFrame, symbols: int, tolerance: float = TOLERANCE, states
         start, step, emit = total[:, 0] + SMOOTH, total[:, 1 : 1 + states] + SMOOTH, total[:, 1 + states :] + SMOOTH
         chain = Chain(start / start.sum(), step / step.sum(axis=1, keepdims=True), emit / emit.sum(axis=1, keepdims=True))
         means.append(likely / max(total[:, 1 + states :].sum(), 1))
-        gains = np.diff(means[1:]).round(7)  # the first round only finds the words' frequencies
+        gains = np.diff(means).round(7)
         if not likely or len(gains) > 2 and gains[-1] < tolerance and gains[-1] <= gains[-2] <= gains[-3]:
             return chain
 

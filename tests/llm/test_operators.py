@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 
@@ -175,6 +176,31 @@ def test_training_goes_on_until_it_gains_little(spark):
     assert sum(r["base_score"] for r in got) / sum(r["n_tokens"] for r in got) < -1.25
 
 
+def test_pairs_give_a_start_near_the_end():
+    rng = random.Random(4)
+    texts = [np.array([10 * ((i + k // 20) % 2) + rng.randrange(10) for k in range(100)] + [20], np.uint16) for i in range(200)]
+    pairs = np.zeros((21, 21), np.float32)
+    for t in texts:
+        np.add.at(pairs, (t[:-1], t[1:]), 1)
+    mean = lambda chain: chain.log10(texts).sum() / sum(map(len, texts))
+    assert mean(hmm.Chain.first(21, 4)) < -1.25 and mean(hmm.Chain.of_pairs(pairs, 4)) > -1.15
+    assert np.allclose(hmm.Chain.of_pairs(0 * pairs, 4).emit, hmm.Chain.first(21, 4).emit)
+
+
+@pytest.mark.parametrize("size", [1, 9, 1 << 20])
+def test_words_in_parts(size, monkeypatch):
+    monkeypatch.setattr(hmm, "TEXT_BYTES", size)
+    texts = [b" Ab\xff\x0bc ab\n", None, b"", b"  ", b"q\x1cR \xc2\xa0x 7.", b"c"]
+    got = [[] for _ in texts]
+    start = 0
+    for part, row, code, words in hmm._words(iter([pa.record_batch([pa.array(texts, pa.binary())], names=["text"])])):
+        for r, c in zip(row.tolist(), code.tolist(), strict=True):
+            got[start + r].append(words[c].as_py())
+        start += part.num_rows
+    assert start == len(texts) and got == [(t or b"").lower().split() for t in texts]
+    assert hmm.shapes(pa.array([b"ab", b"abc", b"a7c.", b"\xc3\xa9"])).tolist() == [0, 8, 13, 2]
+
+
 def contaminated(text, items):
     split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
     own, hit, found = split(text), set(), set()
