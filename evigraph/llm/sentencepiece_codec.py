@@ -33,6 +33,8 @@ BATCH_WORDS, REMEMBERED, BATCH_BYTES = 4096, 600_000, 6 << 20
 #: Longer words are first cut where no piece can span.
 LONG = 48
 MIX, MEMO_BITS = 0x9E3779B97F4A7C15, 21
+#: Leading bits of hashes of pieces in a table that lets most other substrings go before they are looked up.
+SIEVE_BITS = 20
 
 
 def _fields(data: bytes) -> Iterator[tuple[int, bytes | int]]:
@@ -148,6 +150,8 @@ class Codec:
         if len(keys) != len(usable):
             raise ValueError("two pieces have one hash")
         self.keys = np.array(sorted(keys), np.uint64)
+        self.sieve = np.zeros(1 << SIEVE_BITS, np.bool_)
+        self.sieve[(self.keys >> np.uint64(64 - SIEVE_BITS)).astype(np.int64)] = True
         self.ids = np.array([keys[k] for k in sorted(keys)], np.int32)
         self.codes = np.array([[ord(c) for c in p.text[i].ljust(self.longest, "\0")] for i in self.ids], np.uint32)
         self.n, self.known = n, {}
@@ -213,11 +217,13 @@ class Codec:
             far = min(i, reach)
             lengths = np.arange(1, far + 1)
             sub = hashes[:, i, None] - hashes[:, i - lengths] * power[lengths]
-            at = np.minimum(np.searchsorted(self.keys, sub.ravel()), len(self.keys) - 1)
-            found = (self.keys[at] == sub.ravel()).reshape(count, far)
-            at = at.reshape(count, far)
-            r, k = np.nonzero(found)
-            which = at[r, k]
+            r, k = np.nonzero(self.sieve.take((sub >> np.uint64(64 - SIEVE_BITS)).view(np.int64)))
+            key = sub[r, k]
+            which = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+            found = self.keys[which] == key
+            r, k, which = r[found], k[found], which[found]
+            other = np.ones(count, np.bool_)  # whether the last character is no piece
+            other[r[k == 0]] = False
             # The stored characters are compared too, the ends at least: first, last and the length.
             same = (self.codes[which, 0] == codes[r, i - 1 - k]) & (self.codes[which, k] == codes[r, i - 1])
             r, k, ids = r[same], k[same], self.ids[which[same]]
@@ -229,13 +235,14 @@ class Codec:
                 inner = before > 0
                 ok = np.ones(len(r), np.bool_)
                 ok[inner] = self._stable(piece[r[inner], before[inner]], ids[inner])
-                r, k, ids, value = r[ok], k[ok], ids[ok], np.zeros(int(ok.sum()))
-            else:
-                value = value + self.score[ids]
+                # One path is open at most, so there is no maximum to find; a character that is no piece stands alone.
+                best[r[ok], i], piece[r[ok], i], back[r[ok], i] = 0, ids[ok], before[ok]
+                alone = other & np.isfinite(best[:, i - 1])
+                best[alone, i], piece[alone, i], back[alone, i] = 0, self.n, i - 1
+                continue
             table, chosen = np.full((count, far), -np.inf), np.zeros((count, far), np.int32)
-            table[r, k], chosen[r, k] = value, ids
-            alone = ~np.isfinite(table[:, 0]) & ~found[:, 0]  # a character that is no piece
-            table[alone, 0], chosen[alone, 0] = best[alone, i - 1] + (0 if self.bpe else self.score[self.n]), self.n
+            table[r, k], chosen[r, k] = value + self.score[ids], ids
+            table[other, 0], chosen[other, 0] = best[other, i - 1] + self.score[self.n], self.n
             top = table.argmax(axis=1)
             best[:, i], piece[:, i], back[:, i] = table[rows, top], chosen[rows, top], i - 1 - top
         if not np.isfinite(best[:, size]).all():
@@ -246,19 +253,17 @@ class Codec:
             ends = np.where(live, back[rows, ends], 0)
             live = ends > 0
         ids = np.stack([s for s, _ in steps[::-1]], axis=1)
-        out = []
-        plain = (ids != self.n).all(axis=1)
-        for w in range(count):
-            row = ids[w][ids[w] >= 0]
-            if plain[w]:
-                out.append(row.astype(np.int32).tobytes())
-                continue
+        real = ids >= 0
+        data, ends = ids[real].astype(np.int32).tobytes(), np.cumsum([0, *(4 * real.sum(axis=1))]).tolist()
+        out = [data[a:b] for a, b in zip(ends, ends[1:], strict=False)]
+        for w in np.flatnonzero((ids == self.n).any(axis=1)).tolist():
+            row = ids[w][real[w]]
             places = [int(e[w]) for s, e in steps[::-1] if s[w] >= 0]
             parts = [[int(t)] if t != self.n else self._fallback(words[w][e - 1]) for t, e in zip(row, places, strict=True)]
             flat = [x for part in parts for x in part]
             if not self.has_bytes:  # neighbouring unknown characters are one unknown piece
                 flat = [x for i, x in enumerate(flat) if x != self.unknown or i == 0 or flat[i - 1] != x]
-            out.append(np.array(flat, np.int32).tobytes())
+            out[w] = np.array(flat, np.int32).tobytes()
         return out
 
     def _fallback(self, char: str) -> list[int]:

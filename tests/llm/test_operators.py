@@ -98,6 +98,18 @@ def test_sentencepiece_random_strings():
     assert [t.decode() for t in codec.decode(ids)] == [t.replace("▁", " ") for t in texts]
 
 
+def test_sentencepiece_looks_few_substrings_up(monkeypatch):
+    codec, library = sentencepiece_codec.load(PIECES), sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    asked, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda keys, values: (asked.append(np.size(values) if keys is codec.keys else 0), search(keys, values))[1])
+    rng = random.Random(6)
+    own = {"".join(rng.choice("etaoinshrdlué漢😀") for _ in range(rng.randrange(1, 14))) for _ in range(500)}
+    text = " ".join(sorted(own))
+    assert codec.encode([text.encode()])[0].tolist() == library.encode(text)
+    every = sum(min(i, codec.longest) for w in own for i in range(1, len(w) + 2))  # with the space before the word
+    assert 0 < sum(asked) < every / 2
+
+
 def test_unigram_viterbi():
     pieces = sentencepiece_codec.Pieces(["<unk>", "▁", "a", "b", "ab", "▁ab", "aba"], [0, -5, -2, -2.5, -3, -4, -3.5], [2, 1, 1, 1, 1, 1, 1], sentencepiece_codec.UNIGRAM, True)
     codec = sentencepiece_codec.Codec(pieces)
